@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skein.llm.bpe import encode_decode
 from skein.llm.decontamination import find_contamination
+from skein.llm.minhash import near_duplicates
+from skein.llm.pii import KINDS, pseudonymise
 from skein.llm.secrets import digest, find_secrets
 from skein.llm.sharding import shard_by_bytes
 
@@ -36,9 +39,31 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("pii", lambda r, k=k: r["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return done.select("doc_id", "text", *counts)
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_secrets": op3_secrets,
+    "op5_pii": op5_pii,
+    "op6_minhash": op6_minhash,
+    "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
