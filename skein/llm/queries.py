@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.llm.bpe import encode_decode
 from skein.llm.decontamination import find_contamination
+from skein.llm.html import extract_main_text
+from skein.llm.language import identify
 from skein.llm.minhash import near_duplicates
 from skein.llm.pii import KINDS, pseudonymise
 from skein.llm.secrets import digest, find_secrets
 from skein.llm.sharding import shard_by_bytes
+from skein.llm.urls import judge
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("pii", lambda r, k=k: r["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
@@ -49,6 +56,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -62,8 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_secrets": op3_secrets,
+    "op4_url_filters": op4_url_filters,
     "op5_pii": op5_pii,
     "op6_minhash": op6_minhash,
+    "op8_language": op8_language,
+    "op9_html": op9_html,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
