@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skein.llm.ann import nearest_neighbours
 from skein.llm.bpe import encode_decode
 from skein.llm.decontamination import find_contamination
 from skein.llm.html import extract_main_text
@@ -56,6 +57,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), every=100, count=10)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": op4_url_filters,
     "op5_pii": op5_pii,
     "op6_minhash": op6_minhash,
+    "op7_ann": op7_ann,
     "op8_language": op8_language,
     "op9_html": op9_html,
     "op10_bpe": op10_bpe,
