@@ -1,10 +1,486 @@
-"""The registered queries of the sequence and graph operators, with their DuckDB equivalents."""
+"""The registered queries of the sequence and graph operators, with their DuckDB equivalents.
+
+Each query applies an operator to a whole supplied table through an adapter of skein.fixtures;
+its SQL says the same over the adapter's SQL form.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from skein import fixtures as X
+from skein.functions import sequence as S
+from skein.operators import contigs as C, debruijn as G, histogram as H, kmers as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function as the query of its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_RC = "reverse(translate({0},'ACGT','TGCA'))"
+
+
+def _windows_sql(k: int, source: str = "contigs", key: str = "contig_id", seq: str = "seq", name: str = "win") -> str:
+    """CTE win(key, pos, w): every k-window."""
+    return f"{name} AS (SELECT {key}, unnest(range(0, greatest(length({seq}) - {k} + 1, 0))) AS pos, {seq} AS whole FROM {source}), {name}s AS (SELECT {key}, pos, substr(whole, pos + 1, {k}) AS w FROM {name})"
+
+
+def _canon_sql(k: int, source: str = "contigs", name: str = "win", out: str = "canon") -> str:
+    return _windows_sql(k, source, name=name) + f", {out} AS (SELECT contig_id, pos, w, least(w, {_RC.format('w')}) AS kmer FROM {name}s)"
+
+
+# --- k-mers -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {X.contigs_sql()}, {_canon_sql(21)}, n AS (SELECT kmer, count(*) AS n FROM canon GROUP BY 1) SELECT n AS value, count(*) AS n FROM n GROUP BY 1")
+def kmer_coverage_histogram(spark, sf_dir):
+    return K.coverage_histogram(K.count_kmers(X.contigs(spark, sf_dir), 21))
+
+
+@query(f"WITH {X.contigs_sql()}, {_canon_sql(9)} SELECT kmer, least(count(*) FILTER (w = kmer), 32767) AS cov_fwd, least(count(*) FILTER (w <> kmer), 32767) AS cov_rev FROM canon GROUP BY 1")
+def kmer_counts(spark, sf_dir):
+    return K.count_kmers(X.contigs(spark, sf_dir), 9)
+
+
+@query(f"WITH {X.contigs_sql()}, {_canon_sql(15)} SELECT kmer, count(*) FILTER (w = kmer) AS cov_fwd, count(*) FILTER (w <> kmer) AS cov_rev FROM canon GROUP BY 1 HAVING count(*) >= 12")
+def kmer_threshold(spark, sf_dir):
+    return K.apply_threshold(K.count_kmers(X.contigs(spark, sf_dir), 15), 12)
+
+
+@query(
+    f"WITH {X.READS_SQL}, {_windows_sql(9, 'reads', 'id', 'masked')} SELECT upper(w) AS kmer, least(count(*) FILTER (NOT regexp_matches(w,'[acgt]')), 32767) AS cov_fwd, CAST(0 AS BIGINT) AS cov_rev FROM wins GROUP BY 1"
+)
+def kmer_counts_masked_stranded(spark, sf_dir):
+    return K.count_kmers(X.reads(spark, sf_dir), 9, stranded=True, seq="masked")
+
+
+@query(f"WITH {X.contigs_sql()}, {_canon_sql(15)}, n AS (SELECT kmer, count(*) AS n FROM canon GROUP BY 1) SELECT CAST(floor(log2(n) + 1e-9) AS BIGINT) AS log2, count(*) AS n FROM n GROUP BY 1")
+def kmer_log_counts(spark, sf_dir):
+    return K.log_counts(X.contigs(spark, sf_dir), 15)
+
+
+_SETS = f"WITH {X.contigs_sql()}, {X.contigs_sql('benchmark', 'item_id', 'items')}, {_canon_sql(15)}, {_canon_sql(15, 'items', 'bwin', 'bcanon')}, a AS (SELECT DISTINCT kmer FROM canon), b AS (SELECT DISTINCT kmer FROM bcanon)"
+
+
+def _two_sets(spark, sf_dir):
+    return K.kmer_set(X.contigs(spark, sf_dir), 15), K.kmer_set(X.contigs(spark, sf_dir, "benchmark", "item_id"), 15)
+
+
+@query(
+    _SETS
+    + """, c AS (SELECT count(*) FILTER (a.kmer IS NOT NULL AND b.kmer IS NOT NULL) AS both_sets, count(*) FILTER (b.kmer IS NULL) AS only_a, count(*) FILTER (a.kmer IS NULL) AS only_b FROM a FULL JOIN b ON a.kmer = b.kmer)
+ SELECT *, both_sets::DOUBLE / (both_sets + only_a + only_b) AS jaccard, 2 * both_sets::DOUBLE / (2 * both_sets + only_a + only_b) AS czekanowski, both_sets::DOUBLE * (both_sets + only_a + only_b) / ((both_sets + only_a)::DOUBLE * (both_sets + only_b)) AS forbes FROM c"""
+)
+def bloom_compare(spark, sf_dir):
+    return K.compare_sets(*_two_sets(spark, sf_dir))
+
+
+@query(_SETS + " SELECT kmer FROM a INTERSECT SELECT kmer FROM b")
+def bloom_intersect(spark, sf_dir):
+    return K.intersect_sets(*_two_sets(spark, sf_dir))
+
+
+@query(_SETS + ", u AS (SELECT kmer FROM a UNION SELECT kmer FROM b) SELECT substr(kmer, 1, 4) AS prefix, count(*) AS n FROM u GROUP BY 1")
+def bloom_union(spark, sf_dir):
+    return K.union_sets(*_two_sets(spark, sf_dir)).groupBy(F.left("kmer", F.lit(4)).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+@query(_SETS + " SELECT contig_id, pos, pos + 15 AS \"end\", w AS kmer FROM canon WHERE kmer IN (SELECT kmer FROM b)")
+def kmer_membership(spark, sf_dir):
+    return K.member_windows(X.contigs(spark, sf_dir), _two_sets(spark, sf_dir)[1], 15, "contig_id")
+
+
+@query(_SETS + " SELECT contig_id, pos, pos + 15 AS \"end\", w AS kmer FROM bcanon WHERE kmer NOT IN (SELECT kmer FROM a)")
+def kmer_membership_inverse(spark, sf_dir):
+    return K.member_windows(X.contigs(spark, sf_dir, "benchmark", "item_id"), _two_sets(spark, sf_dir)[0], 15, "contig_id", inverse=True)
+
+
+_SOLID = f"WITH {X.contigs_sql()}, {_canon_sql(15)}, solid AS (SELECT kmer FROM canon GROUP BY 1 HAVING count(*) >= 3), hits AS (SELECT contig_id, pos FROM canon WHERE kmer IN (SELECT kmer FROM solid))"
+
+
+@query(
+    _SOLID
+    + """, h AS (SELECT contig_id, count(*) AS n FROM hits GROUP BY 1), r AS (SELECT contig_id, seq, CAST(greatest(length(seq) - 14, 0) AS BIGINT) AS n_windows, coalesce(n, 0) AS n_solid FROM contigs LEFT JOIN h USING (contig_id))
+ SELECT contig_id, n_windows, n_solid, CASE WHEN length(seq) < 15 THEN 'SHORTER_THAN_K' WHEN n_solid < n_windows THEN 'NOT_SOLID' ELSE 'SOLID' END AS state FROM r"""
+)
+def read_solidity(spark, sf_dir):
+    c = X.contigs(spark, sf_dir)
+    return K.solidity(c, K.kmer_set(c, 15, 3), 15, "contig_id")
+
+
+_RUNS = _SOLID + ", i AS (SELECT *, pos - row_number() OVER (PARTITION BY contig_id ORDER BY pos) AS island FROM hits), runs AS (SELECT contig_id, min(pos) AS start, count(*) AS n FROM i GROUP BY contig_id, island)"
+
+
+@query(_RUNS + ", best AS (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY n DESC, start) AS r FROM runs) SELECT contig_id, start, substr(seq, start + 1, n + 14) AS seq FROM best JOIN contigs USING (contig_id) WHERE r = 1")
+def read_trim_to_solid(spark, sf_dir):
+    c = X.contigs(spark, sf_dir)
+    return K.trim_to_solid(c, K.kmer_set(c, 15, 3), 15, "contig_id")
+
+
+@query(
+    _SETS
+    + """, v AS (SELECT c.contig_id, pos, CAST(a.kmer IS NOT NULL AS INTEGER) AS value FROM bcanon c LEFT JOIN a ON c.kmer = a.kmer),
+ i AS (SELECT *, pos - row_number() OVER (PARTITION BY contig_id, value ORDER BY pos) AS island FROM v)
+ SELECT contig_id, min(pos) AS start, count(*) AS length, value FROM i GROUP BY contig_id, value, island"""
+)
+def coverage_track(spark, sf_dir):
+    return K.coverage_track(X.contigs(spark, sf_dir, "benchmark", "item_id"), _two_sets(spark, sf_dir)[0], 15, "contig_id")
+
+
+@query(f"WITH {X.contigs_sql()}, {_windows_sql(12)} SELECT substr(w, 1, 4) || substr(w, 9, 4) AS key, count(*) AS n FROM wins GROUP BY 1")
+def spaced_seed_counts(spark, sf_dir):
+    return K.spaced_counts(X.contigs(spark, sf_dir), S.spaced_mask(12, "pair", 4))
+
+
+@query(
+    f"""WITH {X.contigs_sql()}, {_windows_sql(20)}, p AS (SELECT substr(w, 1, 4) AS a, substr(w, 17, 4) AS b FROM wins), q AS (SELECT a, b, {_RC.format('b')} AS ra, {_RC.format('a')} AS rb FROM p)
+ SELECT CASE WHEN (a, b) <= (ra, rb) THEN a ELSE ra END AS a, CASE WHEN (a, b) <= (ra, rb) THEN b ELSE rb END AS b, count(*) AS n FROM q GROUP BY 1, 2"""
+)
+def kmer_pair_counts(spark, sf_dir):
+    return K.kmer_pairs(X.contigs(spark, sf_dir), 4, 20)
+
+
+# --- de Bruijn graph ----------------------------------------------------------------------------------------
+
+_DBG = f"""WITH {X.contigs_sql('benchmark', 'item_id')}, {_canon_sql(9)}, k AS (SELECT DISTINCT kmer FROM canon),
+ o AS (SELECT kmer AS canon, kmer AS w FROM k UNION SELECT kmer, {_RC.format('kmer')} FROM k),
+ e AS (SELECT a.w AS u, b.w AS v FROM o a JOIN o b ON substr(a.w, 2) = substr(b.w, 1, 8)),
+ xo AS (SELECT u AS kmer, bit_or(CASE right(v, 1) WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END) AS m FROM e GROUP BY 1),
+ xi AS (SELECT v AS kmer, bit_or(CASE left(u, 1) WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END) AS m FROM e GROUP BY 1),
+ adj AS (SELECT kmer, coalesce(xo.m, 0) AS ext_out, coalesce(xi.m, 0) AS ext_in FROM k LEFT JOIN xo USING (kmer) LEFT JOIN xi USING (kmer))"""
+
+
+def _small_graph(spark, sf_dir):
+    return K.kmer_set(X.contigs(spark, sf_dir, "benchmark", "item_id"), 9)
+
+
+@query(_DBG + " SELECT kmer, ext_out, ext_in FROM adj")
+def dbg_adjacency(spark, sf_dir):
+    return G.adjacency(_small_graph(spark, sf_dir))
+
+
+@query(_DBG + " SELECT CASE WHEN ext_out = 0 AND ext_in = 0 THEN 'ISLAND' WHEN ext_out = 0 OR ext_in = 0 THEN 'ENDPOINT' ELSE 'CONTIGUOUS' END AS kind, count(*) AS n FROM adj GROUP BY 1")
+def dbg_contiguity(spark, sf_dir):
+    return G.contiguity_class(G.adjacency(_small_graph(spark, sf_dir))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(_DBG + ", d AS (SELECT w, count(v) AS d FROM o LEFT JOIN e ON o.w = e.u GROUP BY 1) SELECT d AS out_degree, count(*) AS n FROM d GROUP BY 1")
+def dbg_statistics(spark, sf_dir):
+    k = _small_graph(spark, sf_dir)
+    return G.graph_statistics(G.edges(k), G.oriented_kmers(k).select("w"))
+
+
+@query(
+    _DBG
+    + f""", one AS (SELECT u, v FROM e WHERE u IN (SELECT u FROM e GROUP BY 1 HAVING count(*) = 1) AND v IN (SELECT v FROM e GROUP BY 1 HAVING count(*) = 1) AND u <> {_RC.format('v')})
+ SELECT u, v FROM one"""
+)
+def dbg_unambiguous_edges(spark, sf_dir):
+    e = G.unambiguous_edges(G.edges(_small_graph(spark, sf_dir)))
+    return e.where(F.col("u") != S.reverse_complement(F.col("v")))
+
+
+@query()
+def dbg_unitigs(spark, sf_dir):
+    return G.unitigs(K.count_kmers(X.contigs(spark, sf_dir, "benchmark", "item_id"), 15))
+
+
+@query()
+def dbg_erode(spark, sf_dir):
+    return G.erode(K.count_kmers(X.contigs(spark, sf_dir, "benchmark", "item_id"), 15), 2, max_rounds=3)
+
+
+@query()
+def dbg_trim_tips(spark, sf_dir):
+    return G.trim_tips(K.count_kmers(X.contigs(spark, sf_dir, "benchmark", "item_id"), 11), 11, 2)
+
+
+@query()
+def dbg_pop_bubbles(spark, sf_dir):
+    return G.pop_bubbles(K.count_kmers(X.contigs(spark, sf_dir, "benchmark", "item_id"), 11), 11, 30)[1]
+
+
+# --- histograms ---------------------------------------------------------------------------------------------
+
+_H = f"WITH {X.HISTOGRAM_SQL}"
+
+
+@query(
+    _H
+    + """, s AS (SELECT CAST(sum(n) AS BIGINT) AS size, CAST(sum(value * n) AS BIGINT) AS total, sum(value * value * n) AS sq, min(value) AS least, max(value) AS most FROM hist)
+ SELECT size, total, round(total / size, 6) AS mean, round((sq - total::DOUBLE * total / size) / size, 4) AS variance, round(sqrt((sq - total::DOUBLE * total / size) / size), 6) AS sd, least, most FROM s"""
+)
+def histogram_statistics(spark, sf_dir):
+    s = H.statistics(X.histogram(spark, sf_dir))
+    return s.select("size", "total", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), F.round("sd", 6).alias("sd"), "least", "most")
+
+
+_HRANK = _H + ", r AS (SELECT value, n, sum(n) OVER (ORDER BY value) AS run, sum(n) OVER () AS \"all\", sum(n * value) OVER (ORDER BY value) AS wrun, sum(n * value) OVER () AS wall FROM hist)"
+
+
+@query(_HRANK + " SELECT min(value) FILTER (run >= ceil(0.25::DOUBLE * \"all\")) AS p25, min(value) FILTER (run >= ceil(0.5::DOUBLE * \"all\")) AS p50, min(value) FILTER (run >= ceil(0.75::DOUBLE * \"all\")) AS p75 FROM r")
+def histogram_percentiles(spark, sf_dir):
+    return H.percentiles(X.histogram(spark, sf_dir), [0.25, 0.5, 0.75])
+
+
+@query(_HRANK + " SELECT min(value) FILTER (wrun >= ceil(0.25::DOUBLE * wall)) AS w25, min(value) FILTER (wrun >= ceil(0.5::DOUBLE * wall)) AS w50, min(value) FILTER (wrun >= ceil(0.75::DOUBLE * wall)) AS w75 FROM r")
+def histogram_weighted_percentiles(spark, sf_dir):
+    return H.weighted_percentiles(X.histogram(spark, sf_dir), [0.25, 0.5, 0.75])
+
+
+@query(
+    _H
+    + """, a AS (SELECT value, n, coalesce(lag(value) OVER (ORDER BY value) < value - 1, true) AND coalesce(lead(value) OVER (ORDER BY value) > value + 1, true) AS alone FROM hist)
+ SELECT value, n FROM a WHERE NOT alone OR ((SELECT bool_and(alone) FROM a) AND value = (SELECT max(value) FROM a))"""
+)
+def histogram_remove_noise(spark, sf_dir):
+    return H.remove_noise(X.histogram(spark, sf_dir))
+
+
+@query(_HRANK + ", q AS (SELECT min(value) FILTER (run >= ceil(0.25::DOUBLE * \"all\")) AS a, min(value) FILTER (run >= ceil(0.75::DOUBLE * \"all\")) AS b FROM r) SELECT value, n FROM hist, q WHERE value BETWEEN a - 2 * (b - a) AND b + 2 * (b - a)")
+def histogram_remove_outliers(spark, sf_dir):
+    return H.remove_outliers(X.histogram(spark, sf_dir), 2)
+
+
+@query(_HRANK + " SELECT value, n FROM r WHERE run / \"all\" > 0.05 AND (run - n) / \"all\" < 0.95")
+def histogram_trim_fraction(spark, sf_dir):
+    return H.trim_fraction(X.histogram(spark, sf_dir), 0.1)
+
+
+@query(_H + ", b AS (SELECT min(value) AS lo, greatest(CAST(ceil((max(value) - min(value) + 1) / 12) AS BIGINT), 1) AS w FROM hist) SELECT CAST(floor((value - lo) / w) AS BIGINT) AS bin, CAST(sum(n) AS BIGINT) AS n FROM hist, b GROUP BY 1")
+def histogram_bins(spark, sf_dir):
+    return H.bins(X.histogram(spark, sf_dir), 12)
+
+
+@query(_H + ", s AS (SELECT sum(n) AS size, max(value) AS most FROM hist), v AS (SELECT unnest(range(0, most + 1)) AS value FROM s) SELECT v.value, round(coalesce(n, 1) / size::DOUBLE, 9) AS p FROM v LEFT JOIN hist ON v.value = hist.value, s")
+def histogram_probabilities(spark, sf_dir):
+    return H.probabilities(X.histogram(spark, sf_dir)).select("value", F.round("p", 9).alias("p"))
+
+
+_FAC = """WITH d AS (SELECT source, length(text) AS length FROM documents), h AS (SELECT source, length AS value, count(*) AS n FROM d GROUP BY 1, 2),
+ r AS (SELECT *, sum(n * value) OVER (PARTITION BY source ORDER BY value) AS run, sum(n * value) OVER (PARTITION BY source) AS "all" FROM h WHERE value >= 500),
+ s AS (SELECT source, CAST(sum(n) AS BIGINT) AS n, min(value) AS least, min(value) FILTER (run >= ceil(0.25::DOUBLE * "all")) AS n75, min(value) FILTER (run >= ceil(0.5::DOUBLE * "all")) AS n50, min(value) FILTER (run >= ceil(0.75::DOUBLE * "all")) AS n25,
+ round(sum(value * value * n) / sum(value * n)::DOUBLE, 6) AS e_size, max(value) AS most, CAST(sum(value * n) AS BIGINT) AS total,
+ CASE WHEN max("all") < 50000 / 2 THEN min(value) ELSE min(value) FILTER (run >= "all" - 25000) END AS ng50 FROM r GROUP BY 1)
+ SELECT s.source, CAST(sum(h.n) AS BIGINT) AS n_all, any_value(s.n) AS n, CAST(sum(h.n) FILTER (value >= n50) AS BIGINT) AS l50, CAST(sum(h.n) FILTER (value >= ng50) AS BIGINT) AS lg50, any_value(ng50) AS ng50, any_value(least) AS least,
+ any_value(n75) AS n75, any_value(n50) AS n50, any_value(n25) AS n25, any_value(e_size) AS e_size, any_value(most) AS most, any_value(total) AS total FROM h JOIN s ON h.source = s.source GROUP BY s.source"""
+
+
+@query(_FAC)
+def contiguity_by_source(spark, sf_dir):
+    lengths = X.table(spark, sf_dir, "documents").select("source", F.length("text").alias("length"))
+    return H.contiguity(lengths, ["source"], 500, 50_000).withColumn("e_size", F.round("e_size", 6))
+
+
+# --- sequences ----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {X.READS_SQL} SELECT id, reverse(translate(masked,'ACGTacgt','TGCAtgca')) AS rc, least(seq, {_RC.format('seq')}) AS canon, seq = {_RC.format('seq')} AS palindrome, CAST(length(seq) AS BIGINT) AS acgt FROM reads")
+def reverse_complements(spark, sf_dir):
+    seq = F.col("seq")
+    return X.reads(spark, sf_dir).select("id", S.reverse_complement(F.col("masked")).alias("rc"), S.canonical(seq).alias("canon"), S.is_palindrome(seq).alias("palindrome"), S.count_acgt(seq).cast("long").alias("acgt"))
+
+
+@query(
+    f"""WITH {X.READS_SQL}, b AS (SELECT *, length(regexp_extract(qual, '^([\\x21-\\x34]*)', 1)) AS lead, length(regexp_extract(qual, '([\\x35-\\x7e](?:.*[\\x35-\\x7e])?)', 1)) AS kept FROM reads)
+ SELECT id, CASE WHEN kept > 0 THEN substr(seq, lead + 1, kept) ELSE substr(seq, 1, 1) END AS seq, CASE WHEN kept > 0 THEN substr(qual, lead + 1, kept) ELSE substr(qual, 1, 1) END AS qual FROM b"""
+)
+def quality_trim(spark, sf_dir):
+    seq, qual = S.quality_trim(F.col("seq"), F.col("qual"), 20)
+    return X.reads(spark, sf_dir).select("id", seq.alias("seq"), qual.alias("qual"))
+
+
+@query(
+    f"""WITH {X.READS_SQL} SELECT id, array_to_string(list_transform(list_zip(regexp_extract_all(seq, '.'), regexp_extract_all(qual, '.')), lambda x: CASE WHEN unicode(x[2]) - 33 >= 15 THEN x[1] ELSE 'N' END), '') AS seq FROM reads"""
+)
+def quality_mask(spark, sf_dir):
+    return X.reads(spark, sf_dir).select("id", S.quality_mask(F.col("seq"), F.col("qual"), 15).alias("seq"))
+
+
+@query(f"WITH {X.READS_SQL} SELECT id, regexp_replace(masked, '^[a-z]+|[a-z]+$', '', 'g') AS seq FROM reads")
+def trim_masked(spark, sf_dir):
+    return X.reads(spark, sf_dir).select("id", S.trim_masked(F.col("masked")).alias("seq"))
+
+
+@query(
+    f"""WITH {X.contigs_sql('benchmark', 'item_id')}, c AS (SELECT contig_id, seq, list_transform(regexp_extract_all(seq, '.'), lambda x: instr('ACGT', x) - 1) AS d FROM contigs)
+ SELECT contig_id, array_to_string(list_transform(range(1, len(d)), lambda i: xor(d[i], d[i + 1])), '') AS colours, substr(seq, 2) AS decoded FROM c"""
+)
+def colour_space(spark, sf_dir):
+    c = X.contigs(spark, sf_dir, "benchmark", "item_id").withColumn("colours", S.colour_encode(F.col("seq")))
+    return c.select("contig_id", "colours", S.colour_decode(F.left("seq", F.lit(1)), F.col("colours")).alias("decoded"))
+
+
+# --- contig graphs ------------------------------------------------------------------------------------------
+
+
+def _est(spark, sf_dir):
+    return X.estimates(spark, sf_dir).withColumnsRenamed({"src": "u", "dst": "v"})
+
+
+def _oe(spark, sf_dir):
+    return X.oriented(spark, sf_dir).toDF("u", "v")
+
+
+_E = f"WITH {X.ESTIMATES_SQL}, e AS (SELECT src AS u, dst AS v, n, distance FROM est), od AS (SELECT u AS w, count(*) AS outs FROM e GROUP BY 1), idg AS (SELECT v AS w, count(*) AS ins FROM e GROUP BY 1), dg AS (SELECT coalesce(od.w, idg.w) AS w, coalesce(outs, 0) AS outs, coalesce(ins, 0) AS ins FROM od FULL JOIN idg ON od.w = idg.w)"
+_O = f"WITH {X.ORIENTED_SQL}, e AS (SELECT src AS u, dst AS v FROM oe), od AS (SELECT u AS w, count(*) AS outs FROM e GROUP BY 1), idg AS (SELECT v AS w, count(*) AS ins FROM e GROUP BY 1), dg AS (SELECT coalesce(od.w, idg.w) AS w, coalesce(outs, 0) AS outs, coalesce(ins, 0) AS ins FROM od FULL JOIN idg ON od.w = idg.w)"
+
+
+@query(_O + " SELECT u, v FROM e")
+def graph_complements(spark, sf_dir):
+    e = _oe(spark, sf_dir)
+    return C.add_complements(e)
+
+
+@query(_O + " SELECT w, CAST(outs AS BIGINT) AS outs, CAST(ins AS BIGINT) AS ins FROM dg")
+def graph_degrees(spark, sf_dir):
+    return C.degrees(_oe(spark, sf_dir))
+
+
+@query(_O + " SELECT u, v FROM e WHERE (SELECT outs FROM dg WHERE w = u) = 1 AND (SELECT ins FROM dg WHERE w = v) = 1")
+def graph_contiguous(spark, sf_dir):
+    return C.contiguous(_oe(spark, sf_dir)).select("u", "v")
+
+
+@query(
+    _O
+    + """, t AS (SELECT DISTINCT v AS w FROM e JOIN dg a ON a.w = u JOIN dg b ON b.w = v WHERE a.outs > 1 AND b.ins = 1 AND b.outs = 0), g AS (SELECT w FROM t UNION SELECT xor(w, 1) FROM t)
+ SELECT u, v FROM e WHERE u NOT IN (SELECT w FROM g) AND v NOT IN (SELECT w FROM g)"""
+)
+def graph_prune_tips(spark, sf_dir):
+    return C.prune_tips(_oe(spark, sf_dir))[0]
+
+
+_TRANS = ", tr AS (SELECT DISTINCT a.u, b.v FROM e a JOIN e b ON a.v = b.u JOIN e c ON c.u = a.u AND c.v = b.v WHERE a.u <> a.v AND b.u <> b.v AND a.u <> b.v)"
+
+
+@query(_E + _TRANS + " SELECT u, v FROM tr")
+def graph_transitive_edges(spark, sf_dir):
+    return C.transitive_edges(_est(spark, sf_dir)).select("u", "v")
+
+
+@query(_O + _TRANS + ", g AS (SELECT u, v FROM tr UNION SELECT xor(v, 1), xor(u, 1) FROM tr) SELECT u, v FROM e WHERE (u, v) NOT IN (SELECT u, v FROM g)")
+def graph_transitive_reduction(spark, sf_dir):
+    return C.reduce_transitive(_oe(spark, sf_dir))
+
+
+@query(_E + " SELECT a.u, a.v, a.n, a.distance FROM e a JOIN e b ON a.u = b.v AND a.v = b.u")
+def graph_two_cycles(spark, sf_dir):
+    return C.two_cycles(_est(spark, sf_dir))
+
+
+@query(
+    _E
+    + """, g AS (SELECT u, v FROM e WHERE distance <= 0), f AS (SELECT DISTINCT x.v AS a, y.v AS b FROM g x JOIN g y ON x.u = y.u AND x.v < y.v),
+ w AS (SELECT a, b, EXISTS (SELECT 1 FROM e WHERE u = a AND v = b) AS ab, EXISTS (SELECT 1 FROM e WHERE u = b AND v = a) AS ba FROM f),
+ o AS (SELECT CASE WHEN ab THEN a ELSE b END AS u, CASE WHEN ab THEN b ELSE a END AS v FROM w WHERE ab <> ba) SELECT DISTINCT u, v FROM o WHERE (u, v) NOT IN (SELECT u, v FROM g)"""
+)
+def graph_fork_edges(spark, sf_dir):
+    full = _est(spark, sf_dir)
+    return C.fork_edges(full.where("distance <= 0"), full)
+
+
+@query(
+    _E
+    + """ SELECT DISTINCT a.v AS w FROM e a JOIN e b ON b.u = a.v JOIN e c ON c.u = a.u AND c.v = b.v JOIN e d ON d.u = a.v AND d.v <> b.v
+ WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.u = b.v AND x.v = d.v) AND NOT EXISTS (SELECT 1 FROM e x WHERE x.u = d.v AND x.v = b.v)"""
+)
+def graph_repeats(spark, sf_dir):
+    return C.repeats(_est(spark, sf_dir))
+
+
+@query(
+    _E
+    + """ SELECT DISTINCT m.u, m.v FROM e m JOIN dg a ON a.w = m.u AND a.outs = 2 JOIN dg b ON b.w = m.v AND b.ins = 2
+ JOIN e l ON l.u = m.u AND l.v <> m.v JOIN dg c ON c.w = l.v AND c.ins = 1 JOIN e r ON r.v = m.v AND r.u <> m.u JOIN dg d ON d.w = r.u AND d.outs = 1 WHERE m.n < l.n AND m.n < r.n"""
+)
+def graph_weak_edges(spark, sf_dir):
+    return C.weak_edges(_est(spark, sf_dir))
+
+
+@query(_E + " SELECT u, v, n, distance FROM e WHERE distance <= -20")
+def graph_drop_long(spark, sf_dir):
+    return C.drop_long(_est(spark, sf_dir), -20)
+
+
+_PAR = f"""WITH {X.LINE_ITEMS_SQL}, p AS (SELECT l_partkey % 50 AS u, l_suppkey % 10 AS v, CAST(l_quantity AS BIGINT) - 25 AS distance, CAST(1 AS BIGINT) AS n, 1 + l_discount * 100 AS sd FROM li)"""
+
+
+def _parallel(spark, sf_dir):
+    return X.line_items(spark, sf_dir).select(
+        (F.col("l_partkey") % 50).alias("u"), (F.col("l_suppkey") % 10).alias("v"), (F.col("l_quantity").cast("long") - 25).alias("distance"), F.lit(1).cast("long").alias("n"), (1 + F.col("l_discount") * 100).alias("sd")
+    )
+
+
+@query(_PAR + ", r AS (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY sd, distance DESC) AS r, count(*) OVER (PARTITION BY u, v) AS m FROM p) SELECT u, v, distance, m AS n, sd FROM r WHERE r = 1")
+def merge_better_estimates(spark, sf_dir):
+    return C.merge_better(_parallel(spark, sf_dir))
+
+
+@query(_PAR + " SELECT u, v, CAST(round(sum(distance / (sd * sd)) / sum(1 / (sd * sd))) AS BIGINT) AS distance, count(*) AS n, round(1 / sqrt(sum(1 / (sd * sd))), 6) AS sd FROM p GROUP BY 1, 2")
+def merge_weighted_estimates(spark, sf_dir):
+    return C.merge_weighted(_parallel(spark, sf_dir)).withColumn("sd", F.round("sd", 6))
+
+
+@query(
+    f"WITH {X.contigs_sql('benchmark', 'item_id')}, o AS (SELECT contig_id * 2 AS w, seq FROM contigs UNION ALL SELECT contig_id * 2 + 1, {_RC.format('seq')} FROM contigs) SELECT a.w AS u, b.w AS v, CAST(-4 AS BIGINT) AS distance FROM o a JOIN o b ON right(a.seq, 4) = left(b.seq, 4) WHERE length(a.seq) > 4 AND length(b.seq) > 4"
+)
+def exact_overlaps(spark, sf_dir):
+    return C.exact_overlaps(X.contigs(spark, sf_dir, "benchmark", "item_id"), 4)
+
+
+@query(
+    f"""WITH {X.contigs_sql('benchmark', 'item_id')}, o AS (SELECT contig_id * 2 AS w, seq FROM contigs UNION ALL SELECT contig_id * 2 + 1, {_RC.format('seq')} FROM contigs),
+ e AS (SELECT a.w AS u, b.w AS v FROM o a JOIN o b ON right(a.seq, 5) = left(b.seq, 5) WHERE length(a.seq) > 5 AND length(b.seq) > 5), s AS (SELECT unnest([3, 4]) AS size),
+ t AS (SELECT w, seq, size FROM o, s WHERE w NOT IN (SELECT u FROM e)), h AS (SELECT w, seq, size FROM o, s WHERE w NOT IN (SELECT v FROM e))
+ SELECT t.w AS u, h.w AS v, CAST(-max(t.size) AS BIGINT) AS distance FROM t JOIN h ON t.size = h.size AND right(t.seq, t.size) = left(h.seq, h.size) WHERE t.w <> h.w AND length(t.seq) > t.size AND length(h.seq) > h.size GROUP BY 1, 2"""
+)
+def shorter_overlaps(spark, sf_dir):
+    c = X.contigs(spark, sf_dir, "benchmark", "item_id")
+    return C.shorter_overlaps(c, C.exact_overlaps(c, 5), 3, 4)
+
+
+@query()
+def graph_assemble_paths(spark, sf_dir):
+    return C.assemble_paths(_oe(spark, sf_dir))
+
+
+def _contig_lengths(spark, sf_dir):
+    return X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("contig_id"), (F.col("p_size") * 20).cast("long").alias("length"))
+
+
+def _scaffold_input(spark, sf_dir):
+    d = X.estimates(spark, sf_dir).select((F.col("src") * 2).alias("u"), (F.col("dst") * 2).alias("v"), "n", "distance")
+    return C.add_complements(d), _contig_lengths(spark, sf_dir)
+
+
+@query()
+def scaffold_simplify(spark, sf_dir):
+    e, c = _scaffold_input(spark, sf_dir)
+    return C.scaffold_graph(e, c, 1, 200)
+
+
+@query()
+def scaffold_paths(spark, sf_dir):
+    e, c = _scaffold_input(spark, sf_dir)
+    return C.scaffold_paths(C.scaffold_graph(e, c, 1, 200), e)
+
+
+@query()
+def scaffold_optimise(spark, sf_dir):
+    e, c = _scaffold_input(spark, sf_dir)
+    n, s, n50 = C.optimise(e, c, [1, 2], [200])
+    return spark.createDataFrame([(n, s, n50)], "n int, s int, n50 long")
