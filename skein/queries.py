@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein import fixtures as X
 from skein.functions import sequence as S
-from skein.operators import contigs as C, debruijn as G, histogram as H, kmers as K
+from skein.operators import align as L, alignments as A, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, paths as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -484,3 +484,242 @@ def scaffold_optimise(spark, sf_dir):
     e, c = _scaffold_input(spark, sf_dir)
     n, s, n50 = C.optimise(e, c, [1, 2], [200])
     return spark.createDataFrame([(n, s, n50)], "n int, s int, n50 long")
+
+
+# --- alignments ---------------------------------------------------------------------------------------------
+
+_AL = f"""WITH {X.ALIGNMENTS_SQL}, s AS (SELECT *, pos + CASE WHEN reverse THEN 100 ELSE 0 END AS start FROM al),
+ p AS (SELECT coalesce(a.qname, b.qname) AS qname, a.qname IS NOT NULL AND b.qname IS NOT NULL AS mated, a.rname AS r1, b.rname AS r2, a.reverse AS v1, b.reverse AS v2, a.unmapped AS u1, b.unmapped AS u2, a.start AS s1, b.start AS s2
+  FROM (SELECT * FROM s WHERE read = 1) a FULL JOIN (SELECT * FROM s WHERE read = 2) b ON a.qname = b.qname),
+ i AS (SELECT *, CASE WHEN v1 THEN s1 - s2 ELSE s2 - s1 END AS d FROM p),
+ c AS (SELECT *, CASE WHEN NOT mated THEN 'Mateless' WHEN u1 AND u2 THEN 'Unaligned' WHEN u1 OR u2 THEN 'Singleton' WHEN r1 <> r2 THEN 'Different' WHEN v1 = v2 THEN 'FF' WHEN d >= 0 THEN 'FR' ELSE 'RF' END AS kind FROM i)"""
+
+
+def _pairs(spark, sf_dir):
+    al = X.alignments(spark, sf_dir).withColumn("start", F.col("pos") + F.when(F.col("reverse"), 100).otherwise(0))
+    return A.pair_up(al)[0]
+
+
+@query(_AL + " SELECT kind, count(*) AS n FROM c GROUP BY 1")
+def pair_classification(spark, sf_dir):
+    return A.pair_counts(_pairs(spark, sf_dir))
+
+
+@query(_AL + " SELECT qname, kind, CASE WHEN kind IN ('FR', 'RF') THEN d END AS isize FROM c")
+def mate_fixing(spark, sf_dir):
+    return A.classify(_pairs(spark, sf_dir)).select("qname", "kind", "isize")
+
+
+@query(_AL + " SELECT d AS value, count(*) AS n FROM c WHERE kind IN ('FR', 'RF') GROUP BY 1")
+def fragment_sizes(spark, sf_dir):
+    return A.fragment_sizes(_pairs(spark, sf_dir))
+
+
+@query(_AL + ", n AS (SELECT count(*) FILTER (kind = 'FR') AS fr, count(*) FILTER (kind = 'RF') AS rf FROM c) SELECT fr, rf, CASE WHEN fr >= rf THEN 'FR' ELSE 'RF' END AS orientation FROM n")
+def library_orientation(spark, sf_dir):
+    return A.library_orientation(A.fragment_sizes(_pairs(spark, sf_dir)))
+
+
+@query(
+    _AL
+    + """, e AS (SELECT r1 AS rname, least(s1, s2) AS pos, 1 AS d FROM c WHERE kind IN ('FR', 'RF') UNION ALL SELECT r1, greatest(s1, s2), -1 FROM c WHERE kind IN ('FR', 'RF')),
+ g AS (SELECT rname, pos, sum(d) AS d FROM e GROUP BY 1, 2 HAVING sum(d) <> 0) SELECT rname, pos, CAST(sum(d) OVER (PARTITION BY rname ORDER BY pos) AS BIGINT) AS n FROM g"""
+)
+def physical_coverage(spark, sf_dir):
+    return A.physical_coverage(_pairs(spark, sf_dir))
+
+
+_LINKS = (
+    _AL
+    + """, f AS (SELECT DISTINCT r1 * 2 + CAST(v1 AS BIGINT) AS u, r2 * 2 + CAST(NOT v2 AS BIGINT) AS v, CASE WHEN v1 THEN 100000 - s1 ELSE s1 END AS b, 100000 + CASE WHEN v2 THEN s2 ELSE 100000 - s2 END AS e FROM c WHERE kind = 'Different')"""
+)
+
+
+def _targets(spark):
+    return spark.range(10).select(F.col("id").alias("rname"), F.lit(100_000).cast("long").alias("length"))
+
+
+@query(_LINKS + " SELECT u, v, e - b AS size FROM f")
+def linking_fragments(spark, sf_dir):
+    return A.linking_fragments(_pairs(spark, sf_dir), _targets(spark))
+
+
+def _flat(spark):
+    return spark.range(250_000).select(F.col("id").alias("value"), F.lit(1.0).alias("p"))
+
+
+@query(_LINKS + " SELECT u, v, CAST(round(124999.5 - avg(e - b)) AS BIGINT) AS distance, count(*) AS n FROM f GROUP BY 1, 2 HAVING count(*) >= 3")
+def distance_by_mean(spark, sf_dir):
+    return A.estimate_by_mean(A.linking_fragments(_pairs(spark, sf_dir), _targets(spark)), _flat(spark), 3)
+
+
+@query(
+    _LINKS
+    + """, h AS (SELECT u, v, e - b AS value, count(*) AS n FROM f GROUP BY 1, 2, 3), r AS (SELECT *, sum(n) OVER (PARTITION BY u, v ORDER BY value) AS run, sum(n) OVER (PARTITION BY u, v) AS total FROM h)
+ SELECT u, v, CAST(124999 - min(value) FILTER (run >= ceil(0.5::DOUBLE * total)) AS BIGINT) AS distance, CAST(any_value(total) AS BIGINT) AS n FROM r GROUP BY 1, 2 HAVING any_value(total) >= 3"""
+)
+def distance_by_median(spark, sf_dir):
+    return A.estimate_by_median(A.linking_fragments(_pairs(spark, sf_dir), _targets(spark)), _flat(spark), 3)
+
+
+@query()
+def distance_by_likelihood(spark, sf_dir):
+    sizes = A.linking_fragments(_pairs(spark, sf_dir), _targets(spark)).withColumn("size", (F.col("size") / 500).cast("long"))
+    pmf = spark.range(500).select(F.col("id").alias("value"), (F.exp(-F.pow((F.col("id") - 300) / 60, 2)) + 1e-6).alias("p"))
+    return A.estimate_by_likelihood(sizes, pmf, _targets(spark).withColumn("length", F.lit(200).cast("long")), 2, -100, 300)
+
+
+_HITS = f"WITH {X.LINE_ITEMS_SQL}, h AS (SELECT l_orderkey AS qname, l_suppkey % 10 AS rname, l_returnflag = 'R' AS reverse, rn * 10 AS qstart, rn * 10 + CAST(l_quantity AS BIGINT) AS qend, l_partkey AS tstart FROM li)"
+
+
+def _hits(spark, sf_dir):
+    return X.line_items(spark, sf_dir).select(
+        F.col("l_orderkey").alias("qname"), (F.col("l_suppkey") % 10).alias("rname"), (F.col("l_returnflag") == "R").alias("reverse"), (F.col("rn") * 10).cast("long").alias("qstart"), (F.col("rn") * 10 + F.col("l_quantity").cast("long")).alias("qend"), F.col("l_partkey").alias("tstart")
+    )
+
+
+@query(_HITS + " SELECT x.rname * 2 + CAST(x.reverse AS BIGINT) AS u, y.rname * 2 + CAST(y.reverse AS BIGINT) AS v, count(*) AS n FROM h x JOIN h y ON x.qname = y.qname AND y.qstart > x.qstart AND x.rname <> y.rname AND x.qend < y.qend GROUP BY 1, 2")
+def long_sequence_links(spark, sf_dir):
+    return A.long_sequence_links(_hits(spark, sf_dir))
+
+
+@query(
+    _HITS
+    + """, s AS (SELECT *, lag(rname) OVER w AS pr, lag(reverse) OVER w AS pv, lag(tstart + 20) OVER w AS pt, lag(qend) OVER w AS place FROM h WINDOW w AS (PARTITION BY qname ORDER BY qstart, qend)),
+ k AS (SELECT qname, place, CASE WHEN rname <> pr THEN 'target' WHEN reverse <> pv THEN 'strand' WHEN tstart < pt THEN 'order' END AS kind FROM s WHERE pr IS NOT NULL) SELECT * FROM k WHERE kind IS NOT NULL"""
+)
+def breakpoints(spark, sf_dir):
+    return A.breakpoints(_hits(spark, sf_dir).withColumn("tend", F.col("tstart") + 20))
+
+
+_MATCH = f"""WITH {X.contigs_sql()}, {X.contigs_sql('benchmark', 'item_id', 'items')},
+ b AS (SELECT contig_id AS id, false AS reverse, seq FROM items UNION ALL SELECT contig_id, true, {_RC.format('seq')} FROM items),
+ bw AS (SELECT id, reverse, seq, unnest(range(0, greatest(length(seq) - 23, 0))) AS qpos FROM b), bs AS (SELECT id, reverse, qpos, substr(seq, qpos + 1, 24) AS w FROM bw),
+ {_windows_sql(24)}, hits AS (SELECT id, contig_id, reverse, qpos, pos - qpos AS diagonal FROM bs JOIN wins ON bs.w = wins.w),
+ i AS (SELECT *, qpos - row_number() OVER (PARTITION BY id, contig_id, reverse, diagonal ORDER BY qpos) AS island FROM hits),
+ m AS (SELECT id, contig_id, reverse, min(qpos) AS qstart, max(qpos) + 24 AS qend, min(qpos) + diagonal AS tstart FROM i GROUP BY id, contig_id, reverse, diagonal, island)"""
+
+
+def _items(spark, sf_dir):
+    return X.contigs(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("contig_id", "id")
+
+
+@query(_MATCH + " SELECT * FROM m")
+def exact_matches(spark, sf_dir):
+    return A.exact_matches(_items(spark, sf_dir), X.contigs(spark, sf_dir), 24)
+
+
+@query(
+    _MATCH
+    + """, r AS (SELECT *, qend - qstart AS size, row_number() OVER (PARTITION BY id ORDER BY qend - qstart DESC, reverse, contig_id, tstart, qstart) AS r, count(*) OVER (PARTITION BY id, qend - qstart) AS ties FROM m)
+ SELECT items.contig_id AS id, r.contig_id, tstart AS pos, reverse, CASE WHEN ties > 1 THEN 0 ELSE least(size, 254) END AS mapq,
+ CASE WHEN qstart > 0 THEN qstart || 'S' ELSE '' END || size || 'M' || CASE WHEN length(seq) - qend > 0 THEN (length(seq) - qend) || 'S' ELSE '' END AS cigar
+ FROM items LEFT JOIN r ON items.contig_id = r.id AND r = 1"""
+)
+def map_reads(spark, sf_dir):
+    return A.map_reads(_items(spark, sf_dir), X.contigs(spark, sf_dir), 24)
+
+
+@query()
+def pile_up_consensus(spark, sf_dir):
+    reads, contigs = _items(spark, sf_dir), X.contigs(spark, sf_dir)
+    return A.consensus(contigs, A.pile_up(contigs, A.exact_matches(reads, contigs, 24), reads), 0.9)
+
+
+@query()
+def contained_sequences(spark, sf_dir):
+    return A.contained_sequences(X.contigs(spark, sf_dir))
+
+
+# --- scaffolds and gaps -------------------------------------------------------------------------------------
+
+_AGP = f"""WITH {X.SCAFFOLDS_SQL}, t AS (SELECT scaffold_id, regexp_replace(seq, '^[Nn]+|[Nn]+$', '', 'g') AS seq FROM scaffolds), r AS (SELECT scaffold_id, regexp_extract_all(seq, '[Nn]+|[^Nn]+') AS l FROM t WHERE length(seq) > 0),
+ e AS (SELECT scaffold_id, unnest(l) AS r, unnest(range(1, len(l) + 1)) AS part FROM r),
+ g AS (SELECT *, CAST(sum(length(r)) OVER (PARTITION BY scaffold_id ORDER BY part) AS BIGINT) AS fin FROM e),
+ agp AS (SELECT scaffold_id, fin - length(r) + 1 AS begin, fin, part, CASE WHEN r[1] IN ('N', 'n') THEN 'N' ELSE 'W' END AS kind, CASE WHEN r[1] NOT IN ('N', 'n') THEN r END AS seq FROM g)"""
+
+
+@query(_AGP + ' SELECT scaffold_id, begin, fin AS "end", part, kind, seq FROM agp')
+def scaffold_agp(spark, sf_dir):
+    return B.agp(X.scaffolds(spark, sf_dir))
+
+
+@query(
+    _AGP
+    + """, w AS (SELECT *, lag(seq) OVER (PARTITION BY scaffold_id ORDER BY part) AS l, lead(seq) OVER (PARTITION BY scaffold_id ORDER BY part) AS r FROM agp)
+ SELECT scaffold_id, row_number() OVER (PARTITION BY scaffold_id ORDER BY part) AS gap, begin, fin - begin + 1 AS length, right(l, 30) AS left, left(r, 30) AS right FROM w WHERE kind = 'N'"""
+)
+def scaffold_gaps(spark, sf_dir):
+    return B.gap_table(X.scaffolds(spark, sf_dir), 30)
+
+
+# --- paths --------------------------------------------------------------------------------------------------
+
+_PATHS = f"WITH {X.LINE_ITEMS_SQL}, p AS (SELECT l_orderkey AS path_id, list((l_suppkey % 40) * 2 + CAST(l_returnflag = 'R' AS BIGINT) ORDER BY rn) AS nodes FROM li GROUP BY 1)"
+
+
+def _paths(spark, sf_dir):
+    li = X.line_items(spark, sf_dir).select(F.col("l_orderkey").alias("path_id"), "rn", ((F.col("l_suppkey") % 40) * 2 + (F.col("l_returnflag") == "R").cast("long")).alias("w"))
+    return li.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "w"))), lambda x: x["w"]).alias("nodes"))
+
+
+@query(_PATHS + ", e AS (SELECT path_id, unnest(nodes) AS w FROM p) SELECT path_id, CAST(floor(w / 2) AS BIGINT) AS contig_id, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) > 1")
+def path_repeats(spark, sf_dir):
+    return P.repeated_contigs(_paths(spark, sf_dir))
+
+
+@query(
+    _PATHS
+    + """, b AS (SELECT path_id, 0 AS rev, nodes FROM p UNION ALL SELECT path_id, 1, list_reverse(list_transform(nodes, lambda v: xor(v, 1))) FROM p),
+ s AS (SELECT *, unnest(range(3, len(nodes))) AS o FROM b),
+ t AS (SELECT path_id AS a, rev AS a_rev, o, nodes[len(nodes) - o + 1:] AS m FROM s), h AS (SELECT path_id AS b, rev AS b_rev, o, nodes[1:o] AS m FROM s)
+ SELECT a, a_rev, b, b_rev, max(t.o) AS overlap FROM t JOIN h ON t.o = h.o AND t.m = h.m WHERE a <> b GROUP BY 1, 2, 3, 4"""
+)
+def path_overlaps(spark, sf_dir):
+    return P.path_overlaps(_paths(spark, sf_dir), 3)
+
+
+_LEN = "ln AS (SELECT p_partkey AS c, p_size * 20 AS length FROM part)"
+
+
+@query(
+    _E
+    + f""", {_LEN}, pr AS (SELECT DISTINCT u, v FROM e WHERE distance > 20), one AS (SELECT pr.u, pr.v, x.distance AS d, [pr.u, pr.v] AS nodes FROM pr JOIN e x ON x.u = pr.u AND x.v = pr.v WHERE x.distance <= 900),
+ two AS (SELECT pr.u, pr.v, x.distance + length + y.distance AS d, [pr.u, x.v, pr.v] AS nodes FROM pr JOIN e x ON x.u = pr.u JOIN e y ON y.u = x.v AND y.v = pr.v JOIN ln ON c = x.v WHERE x.v <> pr.v AND x.distance + length <= 900 AND x.distance + length + y.distance <= 900),
+ alls AS (SELECT * FROM one UNION ALL SELECT * FROM two) SELECT u, v, array_to_string(nodes, ' ') AS nodes, CAST(d AS BIGINT) AS distance FROM alls"""
+)
+def constrained_walks(spark, sf_dir):
+    e = _est(spark, sf_dir)
+    pairs = e.where("distance > 20").select(F.struct("u", "v").alias("pair"), "u", "v").distinct()
+    lengths = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("w"), (F.col("p_size") * 20).cast("long").alias("length"))
+    found = P.walks(e, pairs, lengths, 900, 2)
+    return found.select("pair.u", "pair.v", F.array_join(F.transform("nodes", lambda w: w.cast("string")), " ").alias("nodes"), "distance")
+
+
+@query(
+    _O
+    + " SELECT x.u AS a, x.v AS r, y.v AS b FROM e x JOIN e y ON x.v = y.u WHERE x.v IN (SELECT v FROM e GROUP BY 1 HAVING count(*) > 1) AND x.v IN (SELECT u FROM e GROUP BY 1 HAVING count(*) > 1)"
+)
+def repeat_paths(spark, sf_dir):
+    return P.repeat_paths(_oe(spark, sf_dir))
+
+
+@query(
+    f"WITH {X.contigs_sql('benchmark', 'item_id', 'items')} SELECT contig_id AS id, matches, columns FROM (SELECT contig_id, CAST(length(seq) AS BIGINT) AS matches, CAST(length(seq) AS BIGINT) AS columns FROM items)"
+)
+def global_alignment_of_itself(spark, sf_dir):
+    return _items(spark, sf_dir).withColumn("x", L.align_global(F.col("seq"), F.col("seq"))).select("id", "x.matches", "x.columns")
+
+
+@query()
+def overlap_alignment(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    nxt = items.select((F.col("id") - 1).alias("id"), F.col("seq").alias("next"))
+    return items.join(nxt, "id").withColumn("x", L.align_overlap(F.col("seq"), F.col("next"))).select("id", "x.*")
+
+
+@query()
+def merge_read_pairs(spark, sf_dir):
+    cut = _items(spark, sf_dir).where(F.length("seq") >= 60)
+    pairs = cut.select("id", F.left("seq", F.lit(60)).alias("seq1"), S.reverse_complement(F.substr("seq", F.lit(31), F.lit(60))).alias("seq2"))
+    return B.merge_pairs(pairs, 20, 0.9)
