@@ -74,7 +74,7 @@ def _first_graph(nodes: DataFrame, width: int, k: int) -> DataFrame:
 
     celled = nodes.select("node", "code").mapInArrow(assign, "node long, cell int, code binary")
     counts = dict(celled.groupBy("cell").count().collect())  # a row for each centre
-    pieces = F.create_map(*[v for c, m in counts.items() for v in (F.lit(c), F.lit(-(-m // CELL_ROWS)))]) if counts else F.create_map()
+    pieces = F.create_map(*[v for c, m in counts.items() for v in (F.lit(c), F.lit(-(-m // CELL_ROWS)))]) if counts else F.create_map(F.lit(-1), F.lit(1))
     cut = celled.withColumn("piece", F.pmod(F.xxhash64("node", "cell"), pieces[F.col("cell")].cast("long")))
 
     def compare(key, table):
