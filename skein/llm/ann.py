@@ -144,7 +144,7 @@ def neighbour_graph(nodes: DataFrame, width: int, k: int = NEIGHBOURS, rounds: i
 
         proposed = gathered.select("near").mapInArrow(compare, _UPDATE).withColumn("fresh", F.lit(1))
         graph = materialize(_best(graph.withColumn("fresh", F.lit(0)).unionByName(proposed), k))
-        if graph.agg(F.sum("fresh")).first()[0] < LEAST_CHANGE * size:
+        if (graph.agg(F.sum("fresh")).first()[0] or 0) <= LEAST_CHANGE * size:
             break
     return graph.drop("fresh")
 
