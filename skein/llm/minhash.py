@@ -14,7 +14,7 @@ from skein.plans.iterate import connected_components, materialize
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS = 1.2e-7.
 BANDS, ROWS = 40, 5
-#: Signature coordinates whose lowest bits are kept; 0.5 + 0.5 * similarity of them agree on average.
+#: Signature coordinates of which a bit is kept; 0.5 + 0.5 * similarity of them agree on average.
 BITS = 192
 #: Six standard deviations below the agreement expected at similarity 0.8.
 LEAST_AGREEMENT = int(BITS * (0.9 - 6 * (0.09 / BITS) ** 0.5))
@@ -50,23 +50,29 @@ def shingle_set(text: str | None, width: int, cache: dict[bytes, int]) -> np.nda
     return np.unique(h * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _permute(x: np.ndarray, multiplier: int) -> np.ndarray:
-    """A permutation of the universe of 2**32 values: odd multiplications and shifts can be undone."""
-    x ^= x >> np.uint32(16)
-    x *= np.uint32(multiplier)
-    x ^= x >> np.uint32(15)
-    return x
+#: Odd multipliers of the two permutations.
+_SIGMA, _PI = np.uint32(0x7FEB352D), np.uint32(0x846CA68B)
 
 
 def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """Circulant MinHash (Li and Li, "C-MinHash", 2022): a first permutation sigma breaks up the
-    set's structure; coordinate k is the least value of a second one, pi, shifted circularly by k."""
-    sigma = _permute((shingles >> np.uint64(32)).astype(np.uint32), 0x7FEB352D)
+    set's structure; coordinate k is the least value of a second one, pi, shifted circularly by k.
+
+    Both permute 2**32 values: shifts into lower bits and odd multiplications can be undone."""
+    sigma = (shingles >> np.uint64(32)).astype(np.uint32)
+    sigma ^= sigma >> np.uint32(16)
+    sigma *= _SIGMA
+    sigma ^= sigma >> np.uint32(15)
     out = np.full(size, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(sigma), 1 << 14):  # blocks that stay in the processor's cache
-        block = sigma[at : at + (1 << 14)]
-        for k in range(size):
-            out[k] = min(out[k], _permute(block - np.uint32(k), 0x846CA68B).min())
+    shifts = np.arange(size, dtype=np.uint32)[:, None]
+    for at in range(0, len(sigma), 4096):  # many coordinates at once, in blocks that stay in the processor's cache
+        part = sigma[None, at : at + 4096]
+        step = max(1, 32768 // part.shape[1])
+        for k in range(0, size, step):
+            x = part - shifts[k : k + step]
+            x ^= x >> np.uint32(16)
+            x *= _PI
+            np.minimum(out[k : k + step], x.min(axis=1), out=out[k : k + step])
     return out
 
 
@@ -85,7 +91,7 @@ def _sketch(width: int):
                 keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                 sig = signature(s)
                 bands.append([xxhash.xxh3_64_intdigest(sig[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)])
-                odd = (sig[:BITS] & np.uint32(1)).astype(np.uint64).reshape(-1, 64)
+                odd = (sig[:BITS] >> np.uint32(9) & np.uint32(1)).astype(np.uint64).reshape(-1, 64)
                 low.append((odd * bits).sum(axis=1, dtype=np.uint64).view(np.int64).tolist())
             columns = [x["doc_id"], x["row_key"], pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n", "set_key", "bands", "low"])
@@ -110,6 +116,16 @@ def _sets(width: int, wanted):
     return run
 
 
+def _shareable(sets: DataFrame, percent: int) -> DataFrame:
+    """node, shareable: how many of its shingles another of these sets has too, for nodes that can be similar to any.
+
+    No intersection is larger than that, so a set with too many shingles of its own is out."""
+    each = sets.select("node", F.explode("shingles").alias("s"))
+    own = each.groupBy("s").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("own"))
+    size = sets.select("node", F.size("shingles").alias("all")).join(own, "node", "left").select("node", "all", (F.col("all") - F.coalesce("own", F.lit(0))).alias("shareable"))
+    return size.where(100 * F.col("shareable") >= percent * F.col("all")).select("node", "shareable")
+
+
 def _grouped(docs: DataFrame, width: int, percent: int, pivot_rounds: int) -> DataFrame:
     """row_key, doc_id, n, set_key, component_id of every row; see near_duplicates()."""
     spark = docs.sparkSession
@@ -161,19 +177,21 @@ def _grouped(docs: DataFrame, width: int, percent: int, pivot_rounds: int) -> Da
         # buckets that still hold several components
         named = comp.select("node", F.col("comp").alias("c"))
         labelled = met.select("bucket", "node").join(named, "node", "left").select("bucket", "node", F.coalesce("c", "node").alias("c"))
-        labelled = labelled.join(facts, "node")
-        mixed = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "c", "n", *[f"l{i}" for i in range(BITS // 64)])).alias("p")).where("c0 <> c1")
+        mixed = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "c")).alias("p")).where("c0 <> c1")
         if turn < pivot_rounds:
-            # another member of each such bucket is compared with all of the others'
-            y = mixed.select("bucket", "p.*").alias("y")
-            on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & likely("x", "y")
+            # another member of each such bucket, one of its own, is compared with those of other components
+            x = labelled.join(mixed.select("bucket", "p.*").select("bucket", F.col("node").alias("b"), F.col("c").alias("cb")), "bucket").where("c <> cb")
+            pairs = x.select(F.col("node").alias("a"), "b").distinct()
+            pairs = pairs.join(facts.alias("x"), F.col("a") == F.col("x.node")).join(facts.alias("y"), (F.col("b") == F.col("y.node")) & likely("x", "y")).select("a", "b")
         else:
-            # what is left, mostly chance meetings: every pair of different components
-            x0 = labelled.join(mixed.select("bucket"), "bucket", "left_semi")
-            labelled = materialize(x0)
-            y = labelled.alias("y")
+            # what is left, mostly chance meetings: all pairs of different components that can be similar
+            left = materialize(labelled.join(mixed.select("bucket"), "bucket", "left_semi"))
+            left = materialize(left.join(_shareable(sets.join(left.select("node").distinct(), "node", "left_semi"), percent), "node").join(facts, "node"))
             on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & likely("x", "y")
-        pairs = materialize(labelled.alias("x").join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+            common = F.least("x.shareable", "y.shareable")
+            on = on & (100 * common >= percent * (F.col("x.n") + F.col("y.n") - common))
+            pairs = left.alias("x").join(left.alias("y"), on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        pairs = materialize(pairs)
         more = materialize(similar(pairs, few=True))
         if more.isEmpty():
             continue
@@ -186,7 +204,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, pivot_rounds: int) -> Da
     return rows.select("row_key", "doc_id", "n", "set_key").join(of_class, "set_key", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, pivot_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, pivot_rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
     Rows are linked if 100 * |A and B| >= percent * |A or B| for their sets of word
@@ -197,8 +215,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, pivot_
     2. Classes' circulant MinHash signatures are cut into bands; classes that share a band's
        bucket may be similar (see BANDS for what that misses). A bucket's members are compared
        with one member, its pivot, not with each other: a star keeps groups of thousands
-       linear. Buckets left with several components are compared with another pivot, and
-       at last, in buckets that still are mixed, all pairs of different components are.
+       linear. Buckets left with several components are compared with other pivots, and
+       at last, in buckets that still are mixed, all pairs of different components are whose
+       sets can be similar, given how many shingles each has that no other set there has.
        Sizes and the agreement of signature bits rule pairs out before that (see
        LEAST_AGREEMENT); links are confirmed on full sets.
     3. Components are labelled by iterated joins; nothing is collected but a bit table
@@ -217,7 +236,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
 
     The row of the smallest doc_id stays; of repeated rows one; of groups without any doc_id
     one row; rows without words all stay."""
-    grouped = materialize(_grouped(docs, shingle, percent, 2))
+    grouped = materialize(_grouped(docs, shingle, percent, 3))
     linked = grouped.where("n > 0")
     best = linked.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))["row_key"].alias("best"))
     gone = linked.join(best, "comp").where("row_key <> best").select(F.col("row_key").alias("__row_key"))

@@ -49,7 +49,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("pii", lambda r, k=k: r["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("pii.kind", F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in KINDS]
     return done.select("doc_id", "text", *counts)
 
 
