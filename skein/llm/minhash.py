@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.plans.iterate import connected_components, materialize
 
@@ -116,14 +116,20 @@ def _sets(width: int, wanted):
     return run
 
 
-def _shareable(sets: DataFrame, percent: int) -> DataFrame:
-    """node, shareable: how many of its shingles another of these sets has too, for nodes that can be similar to any.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, s, rest: the rarest shingles of each of these sets, as many as make any similar pair share one.
 
-    No intersection is larger than that, so a set with too many shingles of its own is out."""
-    each = sets.select("node", F.explode("shingles").alias("s"))
-    own = each.groupBy("s").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("own"))
-    size = sets.select("node", F.size("shingles").alias("all")).join(own, "node", "left").select("node", "all", (F.col("all") - F.coalesce("own", F.lit(0))).alias("shareable"))
-    return size.where(100 * F.col("shareable") >= percent * F.col("all")).select("node", "shareable")
+    Two sets of similarity percent share at least that part of either, so they cannot do without the
+    first size - ceil(percent * size) + 1 shingles of each in one order; rare ones come first. Shingles
+    that only one of the sets has take their places in the order but pair nothing. rest counts a set's
+    shingles from this one on: what two sets can share at most if this is the first that they do."""
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
+    alone = each.groupBy("s").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("own"))
+    room = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - F.coalesce("own", F.lit(0))
+    met = each.join(alone, "node", "left").withColumn("room", room).where("room > 0").join(often, "s")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("m", "s"))
+    return met.withColumn("r", rank).where(F.col("r") <= F.col("room")).select("node", "s", (F.col("n") - F.coalesce("own", F.lit(0)) - F.col("r") + 1).alias("rest"))
 
 
 def _grouped(docs: DataFrame, width: int, percent: int, pivot_rounds: int) -> DataFrame:
@@ -184,13 +190,14 @@ def _grouped(docs: DataFrame, width: int, percent: int, pivot_rounds: int) -> Da
             pairs = x.select(F.col("node").alias("a"), "b").distinct()
             pairs = pairs.join(facts.alias("x"), F.col("a") == F.col("x.node")).join(facts.alias("y"), (F.col("b") == F.col("y.node")) & likely("x", "y")).select("a", "b")
         else:
-            # what is left, mostly chance meetings: all pairs of different components that can be similar
-            left = materialize(labelled.join(mixed.select("bucket"), "bucket", "left_semi"))
-            left = materialize(left.join(_shareable(sets.join(left.select("node").distinct(), "node", "left_semi"), percent), "node").join(facts, "node"))
-            on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & likely("x", "y")
-            common = F.least("x.shareable", "y.shareable")
+            # what is left, mostly chance meetings: those of different components that share a rare shingle
+            left = materialize(labelled.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "c").distinct())
+            rare = _prefixes(sets.join(left, "node", "left_semi"), percent).join(left, "node").join(facts, "node")
+            rare = materialize(rare)
+            on = (F.col("x.s") == F.col("y.s")) & (F.col("x.c") < F.col("y.c")) & likely("x", "y")
+            common = F.least("x.rest", "y.rest")
             on = on & (100 * common >= percent * (F.col("x.n") + F.col("y.n") - common))
-            pairs = left.alias("x").join(left.alias("y"), on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+            pairs = rare.alias("x").join(rare.alias("y"), on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         pairs = materialize(pairs)
         more = materialize(similar(pairs, few=True))
         if more.isEmpty():
@@ -216,8 +223,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, pivot_
        bucket may be similar (see BANDS for what that misses). A bucket's members are compared
        with one member, its pivot, not with each other: a star keeps groups of thousands
        linear. Buckets left with several components are compared with other pivots, and
-       at last, in buckets that still are mixed, all pairs of different components are whose
-       sets can be similar, given how many shingles each has that no other set there has.
+       at last, the members of buckets that still are mixed by a prefix-filtered join: sets
+       of different components are compared if they share one of their rarest shingles, which
+       similar sets must.
        Sizes and the agreement of signature bits rule pairs out before that (see
        LEAST_AGREEMENT); links are confirmed on full sets.
     3. Components are labelled by iterated joins; nothing is collected but a bit table
