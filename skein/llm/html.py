@@ -31,28 +31,51 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<raw>script|style|noscript|template|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: One attribute whole, so that nothing inside a value is taken for a name.
+_ATTR = re.compile(r"([^\s/=>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Class words that tell how an element looks beside a part of the page, and not that it is this part.
+_MODIFIER = re.compile(r"(?:has|with|without|no)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled)", re.I | re.S)
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a start tag by lower-cased name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(text):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _named_noise(attrs: dict[str, str]) -> bool:
+    words = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    return bool(NOISE_WORDS.search(words)) and bool(NOISE_WORDS.search(" ".join(w for w in words.split() if not _MODIFIER.fullmatch(w))))
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, str]]:
     """(path, in an article or main element, text) of each block of a page that is not noise by presentation.
 
     A path lists the open elements with their first class or id. Elements left open end with
-    what they stand in; a block element ends an open paragraph."""
+    what they stand in; a block element ends an open paragraph. Class words drop neither an article
+    or main element nor what holds one; as that is known at its end, such a page is read twice."""
+    out, holders = _blocks(page or "", frozenset())
+    return _blocks(page or "", holders)[0] if holders else out
+
+
+def _blocks(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, bool, str]], frozenset[int]]:
+    """The blocks, and the places of the elements that are noise by class words but hold an article or main element; those at `kept` are no noise."""
     out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, style, in main, noise
+    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, style, in main, noise, place if noise by class words
     text: list[str] = []
+    holders: set[int] = set()
 
     def flush() -> None:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                top = next((s for s in reversed(stack) if s[0] in BLOCK), stack[-1] if stack else ("", "", False, False))
+                top = next((s for s in reversed(stack) if s[0] in BLOCK), stack[-1] if stack else ("", "", False, False, -1))
                 out.append(("/".join(s[1] for s in stack if s[0] in BLOCK), top[2], joined))
 
     at = 0
-    page = page or ""
     for m in _TOKEN.finditer(page):
         if m.start() > at and not (stack and stack[-1][3]):
             text.append(page[at : m.start()])
@@ -85,26 +108,29 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
                         break
                 if tag == "hr":
                     continue
-            attrs = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(m["attrs"] or "")}
-            inside = any(s[2] for s in stack[-1:]) or tag in ("article", "main") or attrs.get("role") == "main"
-            named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+            attrs = attributes(m["attrs"])
+            main = tag in ("article", "main") or attrs.get("role") == "main"
+            inside = any(s[2] for s in stack[-1:]) or main
+            named = tag in BLOCK | {"span"} and tag not in ("body", "html") and not main and m.start() not in kept and _named_noise(attrs)
+            if main:
+                holders |= {s[4] for s in stack if s[4] >= 0}
             noise = (
                 tag in NOISE
                 or tag == "header" and not any(s[2] for s in stack[-1:])
                 or attrs.get("role", "").lower() in NOISE_ROLES
                 or "hidden" in attrs
                 or attrs.get("aria-hidden") == "true"
-                or tag in BLOCK | {"span"} and tag not in ("body", "html", "main") and bool(NOISE_WORDS.search(named))
+                or named
             )
             if m["attrs"].rstrip().endswith("/") and tag not in BLOCK:
                 continue
             style = (attrs.get("class", "").split() or [attrs.get("id", "")])[0]
-            stack.append((tag, f"{tag}.{style}" if style else tag, inside, noise or any(s[3] for s in stack[-1:])))
+            stack.append((tag, f"{tag}.{style}" if style else tag, inside, noise or any(s[3] for s in stack[-1:]), m.start() if named else -1))
     if at < len(page) and not (stack and stack[-1][3]):
         rest = page[at:]
         text.append(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
     flush()
-    return out
+    return out, frozenset(holders)
 
 
 def _host(url: str | None) -> str:
@@ -158,7 +184,7 @@ def extract_main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTAN
     Left out are blocks in elements that are noise by presentation (menus, footers, forms,
     adverts, comments ... by element, role or class) and, of pages without an article or main
     element, branches of low importance in the host's style tree. If a page has article or main
-    elements, its text is theirs. Character references are decoded, white space in a block is
+    elements, its text is theirs, comments and teasers that it writes as articles among them. Character references are decoded, white space in a block is
     one space, blocks are joined by a newline in page order.
 
     Hosts with very many pages are weighed by pre-combined counts; pages meet their host's few low

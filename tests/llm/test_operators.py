@@ -379,6 +379,25 @@ def test_main_text_cases(spark):
     assert pages_html.extract_main_text(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div style='overflow: hidden'><p>a</p></div>", "a"),
+        ('<div title="a hidden gem" data-x="y role=menu class=ads"><p>a</p></div>', "a"),
+        ("<div hiddenish=1 data-hidden><p>a</p></div>", "a"),
+        ("<div class=x class=ads><p>a</p></div>", "a"),
+        ("<div hidden><p>a</p></div><div title='x' HIDDEN=''><p>b</p></div><div aria-hidden = \"true\">c</div><div id=ads>d</div>e", "e"),
+        ("<div class='page has-sidebar'><article class='post comments-open no-ads'><p>a</p></article><div class=sidebar>b</div></div>", "a"),
+        ("<div class='sidebar'><div class=widget><main><p>a</p></main></div><div class=widget>b</div></div>", "a"),
+        ("<section id=share><div role=main class=related>a<div class=share>b</div></div></section>", "a"),
+        ("<div class='wrap with-sidebar comments-open'><p>a</p><div class='comments'>b</div></div>", "a"),
+        ("<div class=ads><nav><article>a</article></nav></div>", ""),
+    ],
+)
+def test_main_text_of_elements_that_only_look_like_noise(page, want):
+    assert "\n".join(b[2] for b in pages_html.blocks(page)) == want
+
+
 # 10
 
 
