@@ -692,7 +692,7 @@ def constrained_walks(spark, sf_dir):
     e = _est(spark, sf_dir)
     pairs = e.where("distance > 20").select(F.struct("u", "v").alias("pair"), "u", "v").distinct()
     lengths = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("w"), (F.col("p_size") * 20).cast("long").alias("length"))
-    found = P.walks(e, pairs, lengths, 900, 2)
+    found = P.walks(e, pairs, lengths, 900, 2, most_walks=None)
     return found.select("pair.u", "pair.v", F.array_join(F.transform("nodes", lambda w: w.cast("string")), " ").alias("nodes"), "distance")
 
 

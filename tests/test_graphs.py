@@ -122,6 +122,20 @@ def test_shims_are_bridged(spark):
     assert got == {(0, 4, -10), (5, 1, -10)}
 
 
+def test_walks_are_bounded_by_distance_and_solutions(spark):
+    # 0 leads to 1 over a chain of 12 edges and over each of 150 others of 250; 400 has a loop that does not grow
+    chain = [0, *range(2, 13), 1]
+    e = [*zip(chain, chain[1:])] + [(0, i) for i in range(100, 350)] + [(i, 1) for i in range(100, 250)] + [(0, 400), (400, 401), (401, 400)]
+    graph = spark.createDataFrame([(u, v, -10) for u, v in e], "u long, v long, distance long")
+    lengths = spark.createDataFrame([(w, 10 if w >= 400 else 11) for w in {w for x in e for w in x}], "w long, length long")
+    pairs = spark.createDataFrame([(7, 0, 1)], "pair long, u long, v long")
+    got = {tuple(r.nodes): r.distance for r in P.walks(graph, pairs, lengths, 11, None).collect()}
+    assert got == {tuple(chain): 1} | {(0, i, 1): -9 for i in range(100, 250)}
+    assert P.walks(graph, pairs, lengths, 10, None).count() == 150
+    assert P.walks(graph, pairs, lengths, 11, 2).count() == 150
+    assert P.walks(graph, pairs, lengths, 11, None, most_walks=150).count() == 0
+
+
 def test_merge_contigs(spark):
     g = genome(200, 3)
     contigs = spark.createDataFrame([(0, g[:90], 5), (1, rc(g[70:150]), 6), (2, g[140:], 7)], "contig_id long, seq string, coverage long")
