@@ -106,11 +106,16 @@ def estimate_by_median(fragments: DataFrame, pmf: DataFrame, least_pairs: int =
     return e.select("u", "v", (F.lit(median) - F.col("p50")).cast("long").alias("distance"), "n")
 
 
-def likeliest_distance(sizes: np.ndarray, pmf: np.ndarray, len0: int, len1: int, first: int, last: int) -> tuple[int, int]:
-    """(theta, n): the distance that makes the fragment sizes likeliest, and how many sizes then are in the
-    distribution. Long fragments span a point more often, so sizes are weighed by the number of
+#: Sizes that are laid against all distances at once.
+SIZES_AT_ONCE = 1024
+
+
+def likeliest_distance(sizes: np.ndarray, pmf: np.ndarray, len0: int, len1: int, first: int, last: int, counts: np.ndarray | None = None) -> tuple[int, int]:
+    """(theta, n): the distance that makes the fragment sizes (each as often as counts tells, else once) likeliest, and
+    how many of them then are in the distribution. Long fragments span a point more often, so sizes are weighed by the number of
     places where they span both contigs; log-likelihoods are smoothed by a Hann window."""
     top, floor = len(pmf) - 1, float(pmf.min())
+    counts = np.ones(len(sizes), np.int64) if counts is None else counts
     values = np.arange(top + 1)
     width = 2 * int(0.05 * float((values * pmf).sum() / pmf.sum())) + 3
     half = width // 2
@@ -123,10 +128,12 @@ def likeliest_distance(sizes: np.ndarray, pmf: np.ndarray, len0: int, len1: int,
     x = values[None, :] - theta[:, None]
     room = np.where(x <= 0, 1, np.where(x < short, x, np.where(x < long, short, np.where(x < short + long, short + long - x, 1)))) / short
     norm = (room * pmf[None, :]).sum(axis=1)
-    at = sizes[None, :] + theta[:, None]
-    p = np.where((at >= 0) & (at <= top), pmf[np.clip(at, 0, top)], floor)
-    like = np.log(p).sum(axis=1) - len(sizes) * np.log(norm)
-    good = (p > floor).sum(axis=1)
+    like, good = -counts.sum() * np.log(norm), np.zeros(len(theta), np.int64)
+    for i in range(0, len(sizes), SIZES_AT_ONCE):
+        at, n = sizes[None, i : i + SIZES_AT_ONCE] + theta[:, None], counts[i : i + SIZES_AT_ONCE]
+        p = np.where((at >= 0) & (at <= top), pmf[np.clip(at, 0, top)], floor)
+        like += np.log(p) @ n
+        good += (p > floor) @ n
     hann = 0.5 * (1 - np.cos(2 * np.pi * np.arange(width) / (width - 1)))
     smooth = np.convolve(like, hann / hann.sum(), mode="valid")
     smooth = np.where(good[half : half + len(smooth)] > 0, smooth, -np.inf)
@@ -137,17 +144,21 @@ def likeliest_distance(sizes: np.ndarray, pmf: np.ndarray, len0: int, len1: int,
 def estimate_by_likelihood(fragments: DataFrame, pmf: DataFrame, lengths: DataFrame, least_pairs: int = 1, first: int = -100, last: int | None = None) -> DataFrame:
     """U, v, distance, n by likeliest_distance(), for each pair of contigs (rname, length) a task of its own.
 
+    Fragments of a size are counted before the shuffle, so a task holds a histogram with at most as many rows as the
+    pair has sizes, whatever the number of its fragments.
+
     The probabilities of fragment sizes, at most as many as the longest fragment has bases, go to all tasks."""
     table = {r["value"]: r["p"] for r in pmf.collect()}
     p = np.array([table.get(v, 0.0) for v in range(max(table, default=0) + 1)])
     size = lengths.select(F.col("rname").alias("c"), "length")
-    met = fragments.withColumn("c0", (F.col("u") / 2).cast("long")).withColumn("c1", (F.col("v") / 2).cast("long")).join(size.toDF("c0", "l0"), "c0").join(size.toDF("c1", "l1"), "c1")
+    hist = fragments.groupBy("u", "v", "size").agg(F.count("*").alias("n"))
+    met = hist.withColumn("c0", (F.col("u") / 2).cast("long")).withColumn("c1", (F.col("v") / 2).cast("long")).join(size.toDF("c0", "l0"), "c0").join(size.toDF("c1", "l1"), "c1")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < least_pairs or not len(p):
+        if rows["n"].sum() < least_pairs or not len(p):
             return pd.DataFrame({"u": [], "v": [], "distance": [], "n": []})
         one = rows.iloc[0]
-        d, n = likeliest_distance(rows["size"].to_numpy(), p, int(one["l0"]), int(one["l1"]), first, last if last is not None else len(p))
+        d, n = likeliest_distance(rows["size"].to_numpy(), p, int(one["l0"]), int(one["l1"]), first, last if last is not None else len(p), rows["n"].to_numpy())
         return pd.DataFrame({"u": [one["u"]], "v": [one["v"]], "distance": [d], "n": [n]})
 
     return met.groupBy("u", "v").applyInPandas(fit, "u long, v long, distance long, n long")

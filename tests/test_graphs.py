@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from skein.operators import align as L, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, paths as P
+from skein.operators import align as L, alignments as A, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, paths as P
 
 FLIP = str.maketrans("ACGT", "TGCA")
 
@@ -136,6 +137,25 @@ def test_walks_are_bounded_by_distance_and_solutions(spark):
     assert P.walks(graph, pairs, lengths, 11, None, most_walks=150).count() == 0
 
 
+def test_likeliest_distance_of_a_hot_pair(spark, monkeypatch):
+    fit = A.likeliest_distance
+    rng = random.Random(3)
+    draws = {(0, 2): [round(rng.gauss(60, 8)) for _ in range(3000)], (2, 4): [55, 58, 58, 61], (4, 6): [50]}
+    values = np.exp(-(((np.arange(120) - 90) / 10) ** 2)) + 1e-6
+    want = {k: fit(np.array(v), values, 200, 200, -100, 120) for k, v in draws.items() if len(v) > 1}
+    fragments = spark.createDataFrame([(*k, x) for k, v in draws.items() for x in v], "u long, v long, size long")
+    pmf = spark.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "value long, p double")
+    lengths = spark.createDataFrame([(i, 200) for i in range(4)], "rname long, length long")
+    got = A.estimate_by_likelihood(fragments, pmf, lengths, 2, -100, 120)
+    assert {(r.u, r.v): (r.distance, r.n) for r in got.collect()} == want
+    # what reaches the fit is a histogram
+    sizes, counts = np.unique(draws[0, 2], return_counts=True)
+    monkeypatch.setattr(A, "SIZES_AT_ONCE", 7)
+    assert fit(sizes, values, 200, 200, -100, 120, counts) == want[0, 2]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [u#" in plan and "size#" in plan.split("Aggregate [u#")[1].splitlines()[0]
+
+
 def test_merge_contigs(spark):
     g = genome(200, 3)
     contigs = spark.createDataFrame([(0, g[:90], 5), (1, rc(g[70:150]), 6), (2, g[140:], 7)], "contig_id long, seq string, coverage long")
