@@ -46,14 +46,20 @@ def contiguity_class(adjacent: DataFrame) -> DataFrame:
 
 def erode(kmers: DataFrame, e: int, both: int = 0, max_rounds: int = 10_000) -> DataFrame:
     """(kmer, cov_fwd, cov_rev) without non-contiguous k-mers of multiplicity under e or under `both` on a
-    strand, until none is left. Removal only exposes more ends, so rounds of all at once reach the
-    same fixpoint as one at a time."""
+    strand, until none is left. Removal only exposes more ends, so any order reaches the same fixpoint.
+
+    A weak k-mer whose only predecessor goes is an end itself, so a round takes all that hang on an end by weak
+    only predecessors, found by pointer jumping; rounds do not grow with the length of what is eroded."""
     kmers = materialize(kmers)
     for _ in range(max_rounds):
         weak = kmers.where((F.col("cov_fwd") + F.col("cov_rev") < e) | (F.least("cov_fwd", "cov_rev") < both))
-        gone = materialize(contiguity_class(adjacency(kmers)).where("kind <> 'CONTIGUOUS'").join(weak.select("kmer"), "kmer", "left_semi").select("kmer"))
-        if gone.isEmpty():
+        back = edges(kmers).groupBy(F.col("v").alias("w")).agg(F.count("*").alias("n"), F.min("u").alias("p"))
+        w = materialize(oriented_kmers(weak).join(back, "w", "left"))
+        ends = w.where("n is null").select(F.col("w").alias("head"))
+        if ends.isEmpty():
             break
+        links = w.where("n = 1").select(F.col("p").alias("u"), F.col("w").alias("v")).join(w.select(F.col("w").alias("u")), "u", "left_semi").select("u", "v")
+        gone = chains(links, w.select("w")).join(ends, "head", "left_semi").join(w.select("w", "canon"), "w").select(F.col("canon").alias("kmer")).distinct()
         kmers = materialize(kmers.join(gone, "kmer", "left_anti"))
     return kmers
 

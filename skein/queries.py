@@ -200,7 +200,7 @@ def dbg_unitigs(spark, sf_dir):
 
 @query()
 def dbg_erode(spark, sf_dir):
-    return G.erode(K.count_kmers(X.contigs(spark, sf_dir, "benchmark", "item_id"), 15), 2, max_rounds=3)
+    return G.erode(K.count_kmers(X.contigs(spark, sf_dir), 15), 2)
 
 
 @query()

@@ -88,6 +88,22 @@ def test_bubbles_tips_and_erosion(spark):
     assert canon(g[140:155]) in eroded
 
 
+def test_erosion_ends_when_no_weak_end_is_left(spark):
+    g = genome(260, 12)
+    texts = [g[:150], g[:150], g[60:200], g[100:] + genome(60, 13), g[20:50] + genome(50, 14), genome(40, 15), "ACGTACGTACGTACGTACGTACG"]
+    kmers = K.count_kmers(spark.createDataFrame([(t,) for t in texts], "seq string"), 11)
+    left = {r.kmer: r.cov_fwd + r.cov_rev for r in kmers.collect()}
+    rounds = 0
+    while True:
+        both = set(left) | {rc(x) for x in left}
+        end = {x for x in left if left[x] < 2 and not (any(x[1:] + b in both for b in "ACGT") and any(b + x[:-1] in both for b in "ACGT"))}
+        if not end:
+            break
+        left, rounds = {x: n for x, n in left.items() if x not in end}, rounds + 1
+    assert rounds > 20
+    assert {r.kmer for r in G.erode(kmers, 2, max_rounds=5).collect()} == set(left)
+
+
 def test_first_minimum_and_parameters(spark):
     assert K.first_local_minimum([0, 100, 50, 10, 20, 30, 40, 50, 60]) == 3
     hist = spark.createDataFrame([(1, 100), (2, 50), (3, 10), (4, 20), (5, 30), (6, 40), (7, 50), (8, 60)], "value long, n long")
