@@ -1,4 +1,4 @@
-"""Operator 9: main text of web pages, by a site style tree of each host."""
+"""Operator 9: main text of web pages, by site style trees."""
 
 from __future__ import annotations
 
@@ -10,31 +10,40 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-#: Branches of a lower importance go, if the host has this many different pages with them.
-LEAST_IMPORTANCE, LEAST_PAGES = 0.3, 5
+from skein.plans.iterate import discard, materialize
 
-#: What HTML itself says of elements.
+#: Branches of a lower importance go.
+LEAST_IMPORTANCE = 0.8
+#: So many pages' weight has what a node's presentation tells before any page is seen.
+PRIOR_PAGES = 20
+#: Parts that the pages of one host are dealt to.
+SALTS = 256
+
+#: What HTML itself says of elements. These hold no text that is shown.
+UNSEEN = frozenset("script style head title noscript template iframe svg canvas object audio video math textarea button select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
-#: Presentation that never is main text, by element and role.
-NOISE = frozenset("title nav footer aside form script style head noscript template iframe svg canvas object button select textarea dialog menu search audio video math".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-#: The same by words of class and id.
-NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|sidebar|menu|navbar|nav|breadcrumbs?|comments?|reply|replies|respond|disqus|share|sharing|social|related|recommended|footer|header|masthead|widget|toolbar|pagination)(?:$|[\s_-])",
+#: Elements and roles that are beside the main text by their meaning.
+ASIDE = frozenset("nav footer aside form dialog menu search".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+#: Words of class and id that readers' own texts stand under: each text is new, so no tree can tell them.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|disqus)(?:$|[\s_-])", re.I)
+#: Words of class and id that often mark what is repeated; they count where few pages are known.
+REPEATED = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|sidebar|menu|navbar|nav|breadcrumbs?|share|sharing|social|related|recommended|footer|header|masthead|widget|toolbar|pagination)(?:$|[\s_-])",
     re.I,
 )
+#: What presentation tells of a node: what its importance is likely to be, and what it is multiplied by.
+PLAIN, MAIN, LIKELY_REPEATED, BESIDE = (0.9, 1.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.5)
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<raw>script|style|noscript|template|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
 #: One attribute whole, so that nothing inside a value is taken for a name.
 _ATTR = re.compile(r"([^\s/=>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Class words that tell how an element looks beside a part of the page, and not that it is this part.
 _MODIFIER = re.compile(r"(?:has|with|without|no)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled)", re.I | re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -45,156 +54,262 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _named_noise(attrs: dict[str, str]) -> bool:
-    words = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return bool(NOISE_WORDS.search(words)) and bool(NOISE_WORDS.search(" ".join(w for w in words.split() if not _MODIFIER.fullmatch(w))))
+class _Tags:
+    """The tags of a page in one pass: (kind, name, attributes, text before it) with kind '' for the page's end."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = True  # until one is left open to the page's end: from then on tags end at their first >
+        self.ends: dict[str, re.Pattern] = {}
+
+    def _end(self, at: int) -> int:
+        """Where the tag that is open at `at` ends; -1 if it does not."""
+        begin = at
+        while self.quotes:
+            m = _STOP.search(self.page, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            at = self.page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.quotes = False
+        return self.page.find(">", begin)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, str]]:
+        page, done, at = self.page, 0, 0
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                yield "", "", "", page[done:]
+                return
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                kind, name, attrs, after = "!", "", "", end + 3 if end >= 0 else len(page)
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                kind, name, attrs, after = "!", "", "", end + 3 if end >= 0 else len(page)
+            elif page.startswith(("<!", "<?"), at):
+                end = page.find(">", at)
+                kind, name, attrs, after = "!", "", "", end + 1 if end >= 0 else len(page)
+            elif m := _NAME.match(page, at + 1):
+                end = self._end(m.end())
+                if end < 0:  # a tag cut off at the end is no text
+                    yield "", "", "", page[done:at]
+                    return
+                name, attrs, after = m[0].lower(), page[m.end() : end], end + 1
+                kind = "/" if name[0] == "/" else "<"
+                name = name.lstrip("/")
+            else:
+                at += 1
+                continue
+            yield kind, name, attrs, page[done:at]
+            if kind == "<" and name in ("script", "style", "noscript", "template", "textarea", "iframe", "title"):
+                if name not in self.ends:
+                    self.ends[name] = re.compile(f"</{name}\\b[^>]*>", re.I)
+                m = self.ends[name].search(page, after)
+                after = m.end() if m else len(page)
+            done = at = after
+
 
+class _Open:
+    """An open element."""
 
-def blocks(page: str | None) -> list[tuple[str, bool, str]]:
-    """(path, in an article or main element, text) of each block of a page that is not noise by presentation.
+    __slots__ = ("tag", "path", "told", "unseen", "block", "above", "inline")
 
-    A path lists the open elements with their first class or id. Elements left open end with
-    what they stand in; a block element ends an open paragraph. Class words drop neither an article
-    or main element nor what holds one; as that is known at its end, such a page is read twice."""
-    out, holders = _blocks(page or "", frozenset())
-    return _blocks(page or "", holders)[0] if holders else out
+    def __init__(self, tag: str, path: int, told: tuple[float, float], unseen: bool, block: bool, above: int):
+        self.tag, self.path, self.told, self.unseen, self.block = tag, path, told, unseen, block
+        self.above = above  # the place of the nearest block element, itself included
+        self.inline: dict[str, int] = {}  # of a block element: open inline elements in it by tag
 
 
-def _blocks(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, bool, str]], frozenset[int]]:
-    """The blocks, and the places of the elements that are noise by class words but hold an article or main element; those at `kept` are no noise."""
-    out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, style, in main, noise, place if noise by class words
+def _style(tag: str, attrs: dict[str, str], inside: tuple[float, float]) -> tuple[str, tuple[float, float]]:
+    """An element's presentation, by name and by what it tells where what holds it told `inside`."""
+    role = attrs.get("role", "").lower()
+    look = (attrs.get("class", "").split() or [attrs.get("id", "")])[0]
+    style = f"{tag}.{look}" if look else tag
+    if role:
+        style += f"[{role}]"
+    if inside == BESIDE:
+        return style, inside
+    if tag in ("article", "main") or role == "main":
+        return style, MAIN
+    if tag in ASIDE or role in ASIDE_ROLES or tag == "header" and inside != MAIN:
+        return style, BESIDE
+    words = " ".join(w for w in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not _MODIFIER.fullmatch(w))
+    if words and tag not in ("body", "html"):
+        if READERS.search(words):
+            return style, BESIDE
+        if REPEATED.search(words):
+            return style, LIKELY_REPEATED
+    return style, inside
+
+
+def blocks(page: str | None) -> list[tuple[int, tuple[float, float], str]]:
+    """(path, what presentation tells, text) of each block of text that is shown.
+
+    A path is a hash of the open block elements with their first class or id, and role. Elements left
+    open end with what they stand in; a block element ends an open paragraph. One pass, whose
+    time is in proportion to the page."""
+    out: list[tuple[int, tuple[float, float], str]] = []
+    stack = [_Open("", 0, PLAIN, False, True, 0)]
     text: list[str] = []
-    holders: set[int] = set()
 
     def flush() -> None:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                top = next((s for s in reversed(stack) if s[0] in BLOCK), stack[-1] if stack else ("", "", False, False, -1))
-                out.append(("/".join(s[1] for s in stack if s[0] in BLOCK), top[2], joined))
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not (stack and stack[-1][3]):
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m["end"]:
-            tag = m["end"].lower()
-            if tag in BLOCK:
+                top = stack[stack[-1].above]
+                out.append((top.path, top.told, joined))
+
+    def close(at: int) -> None:
+        while len(stack) > at:
+            e = stack.pop()
+            if not e.block:
+                stack[e.above].inline[e.tag] -= 1
+            else:
+                count[e.tag] -= 1
+
+    count: dict[str, int] = {}
+    for kind, tag, attrs, before in _Tags(page or ""):
+        if before and not stack[-1].unseen:
+            text.append(before)
+        block = tag in BLOCK
+        if kind == "/":
+            if block:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag not in BLOCK and any(s[0] in BLOCK for s in stack[i:]):
-                        break  # an inline element does not end the block it is left open around
-                    if any(s[0] in BLOCK for s in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
-        elif m["tag"]:
-            tag = m["tag"].lower()
-            if tag == "br" or tag in ("td", "th"):
+                if count.get(tag):
+                    at = len(stack) - 1
+                    while stack[at := stack[at].above].tag != tag:
+                        at -= 1
+                    close(at)
+            elif stack[stack[-1].above].inline.get(tag):  # an inline element does not end the block it is left open around
+                at = len(stack) - 1
+                while stack[at].tag != tag:
+                    at -= 1
+                close(at)
+        elif kind == "<":
+            if tag in ("br", "td", "th"):
                 text.append(" ")
-            if tag in VOID and tag != "hr":
-                continue
-            if tag in BLOCK:
+            if block:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or (tag == "li" and stack[i][0] == "li") or (tag in ("dt", "dd") and stack[i][0] in ("dt", "dd")):
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-                if tag == "hr":
-                    continue
-            attrs = attributes(m["attrs"])
-            main = tag in ("article", "main") or attrs.get("role") == "main"
-            inside = any(s[2] for s in stack[-1:]) or main
-            named = tag in BLOCK | {"span"} and tag not in ("body", "html") and not main and m.start() not in kept and _named_noise(attrs)
-            if main:
-                holders |= {s[4] for s in stack if s[4] >= 0}
-            noise = (
-                tag in NOISE
-                or tag == "header" and not any(s[2] for s in stack[-1:])
-                or attrs.get("role", "").lower() in NOISE_ROLES
-                or "hidden" in attrs
-                or attrs.get("aria-hidden") == "true"
-                or named
-            )
-            if m["attrs"].rstrip().endswith("/") and tag not in BLOCK:
+                top = stack[stack[-1].above]
+                if top.tag == "p" or tag == "li" == top.tag or tag in ("dt", "dd") and top.tag in ("dt", "dd"):
+                    close(stack[-1].above)
+            if tag in VOID or not block and attrs.rstrip().endswith("/"):
                 continue
-            style = (attrs.get("class", "").split() or [attrs.get("id", "")])[0]
-            stack.append((tag, f"{tag}.{style}" if style else tag, inside, noise or any(s[3] for s in stack[-1:]), m.start() if named else -1))
-    if at < len(page) and not (stack and stack[-1][3]):
-        rest = page[at:]
-        text.append(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
+            holder, told = stack[-1], attributes(attrs)
+            unseen = holder.unseen or tag in UNSEEN or "hidden" in told or told.get("aria-hidden") == "true"
+            if tag in ("script", "style", "noscript", "template", "textarea", "iframe", "title"):
+                continue  # read to its end already
+            style, means = _style(tag, told, holder.told)
+            if block:
+                path = xxhash.xxh3_64_intdigest(style.encode("utf-8", "surrogatepass"), seed=stack[holder.above].path)
+                stack.append(_Open(tag, path, means, unseen, True, len(stack)))
+                count[tag] = count.get(tag, 0) + 1
+            else:
+                # an inline element is no node of its own; what it tells is that of the block it is in
+                stack.append(_Open(tag, holder.path, holder.told, unseen, False, holder.above))
+                inline = stack[holder.above].inline
+                inline[tag] = inline.get(tag, 0) + 1
     flush()
-    return out, frozenset(holders)
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 63)
 
 
 def _host(url: str | None) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower() if url and "://" in url else ""
 
 
+_FEATURES = "host string, path long, feature long, page long, prior double, factor double"
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text block outside of article and main elements: (host, path, feature, page)."""
+    """A row for each different text block of a page; page is a hash of its html."""
     for x in batches:
-        rows = []
+        rows = set()
         for url, page in zip(x["url"].to_pylist(), x["html"].to_pylist(), strict=True):
-            copy = xxhash.xxh3_64_intdigest(page or "") - (1 << 63)
-            rows += [(_host(url), path, xxhash.xxh3_64_intdigest(text) - (1 << 63), copy) for path, inside, text in blocks(page) if not inside]
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["host", "path", "feature", "page"])
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """Importance of the style nodes of each host: host, path, pages, importance.
-
-    The pages of a host are merged into one tree whose nodes are paths of elements with their
-    presentation (Yi, Liu and Li, "Eliminating noisy information in web pages", 2003). A node
-    that m different pages have is weighed by its contents: a text that n of them have there
-    has, spread evenly over those, an entropy of log n / log m, so content that all share
-    counts 0 and content of one page 1; a node's importance is the mean over its texts.
-    Copies of a page count once. Elements whose meaning settles the matter, articles on
-    one side, menus and the like on the other, need no weighing.
-    """
-    rows = pages.select("url", "html").mapInArrow(_features, "host string, path string, feature long, page long").distinct()
-    spread = rows.groupBy("host", "path", "feature").agg(F.count("*").alias("n"))
-    m = rows.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("pages"))
-    weighed = spread.groupBy("host", "path", "n").agg(F.count("*").alias("texts")).join(m, ["host", "path"])
+            copy, host = _signed(xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass"))), _host(url)
+            rows |= {(host, _signed(path), _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))), copy, *told) for path, told, text in blocks(page)}
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split(" ")[0] for c in _FEATURES.split(", ")])
+
+
+def style_tree(rows: DataFrame, *site: str) -> DataFrame:
+    """Importance of the nodes of style trees: (*site, path, pages, importance), from rows as _features() gives.
+
+    The pages of a site, or of all sites if none is named, are merged into one tree whose nodes
+    are paths of elements with their presentation (Yi, Liu and Li, "Eliminating noisy information
+    in web pages", 2003). A node that m different pages have is weighed by its contents: a text
+    that n of them have there has, spread evenly over those, an entropy of log n / log m; so a text
+    that all share counts 0, a text of one page 1, and content is the mean over the different texts.
+    What presentation tells counts as much as PRIOR_PAGES pages, and what stands beside the main text
+    by its meaning counts by half. Copies of a page count once."""
+    node = [*site, "path"]
+    once = rows.select(*node, "feature", "page", "prior", "factor").distinct()
+    spread = once.groupBy(*node, "feature").agg(F.count("*").alias("n"), F.max("prior").alias("prior"), F.max("factor").alias("factor"))
+    m = once.select(*node, "page").distinct().groupBy(*node).agg(F.count("*").alias("pages"))
+    weighed = spread.groupBy(*node, "n").agg(F.count("*").alias("texts"), F.max("prior").alias("prior"), F.max("factor").alias("factor")).join(m, node)
     entropy = F.when(F.col("pages") > 1, F.ln("n") / F.ln("pages")).otherwise(0.0)
-    return weighed.groupBy("host", "path", "pages").agg((F.sum(F.col("n") * F.col("texts") * (1 - entropy)) / F.sum(F.col("n") * F.col("texts"))).alias("importance"))
+    content = F.sum(F.col("texts") * (1 - entropy)) / F.sum("texts")
+    shrunk = (F.col("pages") * content + PRIOR_PAGES * F.max("prior")) / (F.col("pages") + PRIOR_PAGES)
+    return weighed.groupBy(*node, "pages").agg((F.max("factor") * shrunk).alias("importance"))
+
+
+def low_branches(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+    """(host, low): the paths of each host that are of low importance in its own tree or in that of all hosts."""
+    rows = materialize(pages.select("url", "html").mapInArrow(_features, _FEATURES))
+    everywhere = style_tree(rows).where(F.col("importance") < least_importance).select("path")
+    nodes = rows.select("host", "path").distinct().join(everywhere, "path")
+    here = style_tree(rows, "host").where(F.col("importance") < least_importance).select("host", "path")
+    low = materialize(nodes.select("host", "path").union(here).groupBy("host").agg(F.collect_set("path").alias("low")))  # a host's low nodes: a part of its templates
+    discard(rows)
+    return low
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
         texts = []
         for page, low in zip(x["html"].to_pylist(), x["low"].to_pylist(), strict=True):
-            found = blocks(page)
-            main = [b for b in found if b[1]]
-            dropped = set(low or ())
-            texts.append("\n".join(b[2] for b in main or found if b[1] or b[0] not in dropped))
+            gone, found = set(low or ()), blocks(page)
+            kept = [text for path, _, text in found if _signed(path) not in gone]
+            for least in (MAIN, PLAIN):  # a page that many others repeat whole still has a main text
+                kept = kept or [text for _, told, text in found if told == least]
+            texts.append("\n".join(kept))
         yield pa.RecordBatch.from_arrays([x["page_id"], x["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def extract_main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract_main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url and text of every row of pages (page_id, url, html).
 
-    Left out are blocks in elements that are noise by presentation (menus, footers, forms,
-    adverts, comments ... by element, role or class) and, of pages without an article or main
-    element, branches of low importance in the host's style tree. If a page has article or main
-    elements, its text is theirs, comments and teasers that it writes as articles among them. Character references are decoded, white space in a block is
-    one space, blocks are joined by a newline in page order.
+    All blocks of all pages are weighed by style trees, one of each host and one of all hosts (see
+    style_tree()); branches of low importance in either go: menus, headers, footers, adverts and notices,
+    whose texts many pages share. Readers' comments, forms, menus and the like that repeat nothing
+    are known by element, role or class, which halves their importance. Scripts, styles, comments
+    and hidden elements are not shown and no text. Character references are decoded, white space in a
+    block is one space, blocks are joined by a newline in page order.
+
+    A page whose branches are all low, as pages of one text on a host are, keeps its main elements, or
+    if it has none, what is plain by presentation.
 
-    Hosts with very many pages are weighed by pre-combined counts; pages meet their host's few low
-    branches in a join that adaptive execution may broadcast or split.
+    A host's low branches, a part of its templates, meet its pages in a join over host and a salt, so
+    the pages of a common host are many tasks' work; small tables of them are broadcast by size.
 
     Cases: null and empty html give an empty text; a null url has the host ''; unclosed and
-    crossed elements are closed by what holds them; text without any element is one block;
-    repeated rows each give a row; other columns are left aside.
+    crossed elements are closed by what holds them; a quote left open ends with its tag; text without
+    any element is one block; few pages are judged by presentation; repeated rows each give a row;
+    other columns are left aside.
     """
-    low = style_tree(pages).where((F.col("importance") < least_importance) & (F.col("pages") >= least_pages)).groupBy("host").agg(F.collect_list("path").alias("low"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
-    met = pages.select("page_id", "url", "html", host.alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    dealt = pages.select("page_id", "url", "html", host.alias("host"), salt.alias("salt"))
+    low = low_branches(pages, least_importance)
+    parts = dealt.select("host", "salt").distinct().join(low, "host")
+    met = dealt.join(parts, ["host", "salt"], "left").select("page_id", "url", "html", "low")
     return met.mapInArrow(_extract, pages.select("page_id", "url", F.lit("").alias("text")).schema)

@@ -395,7 +395,54 @@ def test_main_text_cases(spark):
     ],
 )
 def test_main_text_of_elements_that_only_look_like_noise(page, want):
-    assert "\n".join(b[2] for b in pages_html.blocks(page)) == want
+    # the importance of a node of one page
+    alone = lambda prior, factor: factor * (1 + pages_html.PRIOR_PAGES * prior) / (1 + pages_html.PRIOR_PAGES)
+    assert "\n".join(t for _, told, t in pages_html.blocks(page) if alone(*told) >= pages_html.LEAST_IMPORTANCE) == want
+
+
+def brute_tree(pages, by_host):
+    """Importance of every node by its definition, page by page."""
+    nodes = collections.defaultdict(dict)
+    for url, page in set(pages):
+        for path, told, text in pages_html.blocks(page):
+            nodes[pages_html._host(url) if by_host else "", path].setdefault(page, (told, set()))[1].add(text)
+    out = {}
+    for node, of in nodes.items():
+        m, n = len(of), collections.Counter(t for _, texts in of.values() for t in texts)
+        entropy = [np.log(c) / np.log(m) if m > 1 else 0 for c in n.values()]
+        (prior, factor), _ = next(iter(of.values()))
+        out[node] = factor * (m * np.mean([1 - e for e in entropy]) + pages_html.PRIOR_PAGES * prior) / (m + pages_html.PRIOR_PAGES)
+    return out
+
+
+def test_style_trees_equal_their_definition(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = [(r.url, r.html) for r in pages.collect()]
+    rows = pages.select("url", "html").mapInArrow(pages_html._features, pages_html._FEATURES)
+    for by in ([], ["host"]):
+        got = {(r["host"] if by else "", r.path + (1 << 63)): r.importance for r in pages_html.style_tree(rows, *by).collect()}
+        want = brute_tree(plain, bool(by))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # without the trees, the result is another one
+    low = {x for r in pages_html.low_branches(pages).collect() for x in r.low}
+    by_meaning = {p - (1 << 63) for _, h in plain for p, told, _ in pages_html.blocks(h) if told == pages_html.BESIDE}
+    assert low - by_meaning
+
+
+def test_pages_are_read_in_one_pass():
+    import time
+
+    for page in ("<p class=\"x ", "<div>x", "<b>x", "<b title=\"", "</i>", "<!--", "<a b='"):
+        began = time.time()
+        pages_html.blocks(page * ((1 << 19) // len(page)))
+        assert time.time() - began < 30
+
+
+def test_main_text_of_repeated_pages(spark):
+    rows = [(i, "http://m.net/a", f"<body id=b{i}><nav>Home</nav><article><p>same story</p></article></body>") for i in range(90)]
+    rows += [(100 + i, "http://n.net/a", f"<!-- {i} --><div class=ad>buy {i % 2}</div><div class=text>own text {i}<!-- --></div><section class=comments>said {i}</section>") for i in range(90)]
+    got = {r.page_id: r.text for r in pages_html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "same story" for i in range(90)) and all(got[100 + i] == f"own text {i}" for i in range(90))
 
 
 # 10
