@@ -4,6 +4,7 @@ empty tables and extra columns."""
 import collections
 import hashlib
 import html as html_lib
+import itertools
 import re
 import zlib
 
@@ -194,6 +195,54 @@ def test_mined_rules(spark):
     assert [got[500], got[501], got[502]] == ["block", "allow", "allow"]
 
 
+def brute_tokens(url):
+    host, path, _, _ = brute_verdict(url)
+    m = re.search(r"\?([^#]*)", url)
+    words = ["p:" + ("#" if re.fullmatch("[0-9]+", w) else w.lower()) for w in re.split(r"[\W_]+", path) if w]
+    return frozenset([f"h:{w}" for w in host.split(".") if w] + words + ["q:" + w.split("=")[0].lower() for w in (m[1] if m else "").split("&") if w])
+
+
+def test_mined_verdicts_equal_a_plain_miner(spark):
+    sf = "/root/testdata/sf0.01"
+    pages, labels = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    of = {r.page_id: r.url for r in pages.collect()}
+    rows = [(brute_tokens(of[r.doc_id]), "block" if r.toxic == 1 or r.quality == 0 else "allow") for r in labels.collect() if r.doc_id in of]
+    least = max(urls.LEAST_ROWS, -(-len(rows) * urls.SUPPORT // 1))
+    shares = collections.Counter(label for _, label in rows)
+    sets = {frozenset(c) for t, _ in rows for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n)}
+    rules = {}
+    for s in sets:
+        seen = collections.Counter(label for t, label in rows if s <= t)
+        for label, n in seen.items():
+            lift = round(n / sum(seen.values()) / (shares[label] / len(rows)), 12)
+            if n >= least and lift >= urls.LIFT:
+                rules[s, label] = (lift, n)
+    kept = {(s, label): v for (s, label), v in rules.items() if not any(a < s and b == label and w[0] >= v[0] for (a, b), w in rules.items())}
+    token = urls.tokens(urls.host_of(F.col("url")), urls.path_of(F.col("url")), F.col("url"))
+    taught = pages.join(labels, F.col("page_id") == F.col("doc_id")).select(token.alias("tokens"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "block").otherwise("allow").alias("label"))
+    got = {(frozenset(r.antecedent), r.label): (r.lift, r.rows) for r in urls.mine(taught).collect()}
+    assert got == kept and {b for _, b in kept} == {"allow", "block"}
+    changed = 0
+    for r in urls.judge(pages, labels).collect():
+        if (given := brute_verdict(of[r.page_id])[3]) is not None:
+            assert r.verdict == given
+            continue
+        t = brute_tokens(of[r.page_id])
+        best = max(((*v, sorted(s), label) for (s, label), v in kept.items() if s <= t), default=(0, 0, [], "allow"))
+        assert r.verdict == best[3]
+        changed += r.verdict != "allow"
+    assert changed > 0
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://a.net/" + "/".join(f"w{i}" for i in range(3000))
+    common = "http://b.net/?" + "&".join(f"k{i}=1" for i in range(60))
+    pages = spark.createDataFrame([(i, long if i == 0 else common if i % 2 else "http://c.net/x", "r") for i in range(400)], "page_id long, url string, rule string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()}
+    assert len(got) == 400 and got[301] == "block" and got[302] == "allow"
+
+
 # 5
 
 
