@@ -32,9 +32,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms and counts the characters anew."""
-    columns = docs.columns
-    done = pseudonymise(docs)
-    if "n_chars" in columns:
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    done = pseudonymise(docs, found="__found")
+    if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*columns)
 

@@ -268,8 +268,57 @@ def test_pseudonyms(spark, odd):
 def test_permutations_are_bijections(spark):
     ids = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert ids.select(pii.permute_digits("k", "t", F.col("d")).alias("p")).where("length(p) = 3").distinct().count() == 1000
-    days = spark.range(3000).select(F.date_add(F.lit("1999-12-31").cast("date"), F.col("id").cast("int")).alias("d"))
-    assert days.select(pii._permuted_date("k", F.col("d")).alias("p")).distinct().count() == 3000
+    days = spark.sql("select explode(sequence(date'9990-01-01', date'9999-12-31')) d")
+    for form in ("yyyy-MM-dd", "dd/MM/yyyy", "MM.dd.yyyy"):
+        written = days.select(F.date_format("d", form).alias("s")).union(days.select(F.date_format("d", "dd/MM/yyyy"))) if form == "dd/MM/yyyy" else days.select(F.date_format("d", form).alias("s"))
+        written = written.union(days.select(F.translate(F.date_format("d", "MM.dd.yyyy"), ".", "/"))) if form == "dd/MM/yyyy" else written
+        written = written.distinct()
+        made = written.select(pii._written_date("k", F.col("s")).alias("p"))
+        assert made.where(F.length("p") == 10).distinct().count() == written.count()
+        like = F.coalesce(F.try_to_timestamp("p", F.lit(form)), F.try_to_timestamp("p", F.lit("MM/dd/yyyy"))) if "/" in form else F.col("p")
+        assert made.where(like.isNull()).count() == 0
+    ssn = spark.range(20_000).select(F.concat(F.lit("665"), F.lpad((F.col("id") % 100).cast("string"), 2, "0"), F.lpad((F.col("id") * 7 % 9973).cast("string"), 4, "0")).alias("d")).distinct().where("d not rlike '^(?:000|666|9|...00|.....0000)'")
+    made = ssn.select(pii._ssn("k", F.col("d")).alias("p"))
+    assert made.distinct().count() == ssn.count() and made.where("p rlike '^(?:000|666|9|...00|.....0000)'").count() == 0
+
+
+def plain_feistel(key, label, left, right, m, n):
+    """The network in plain Python."""
+    prf = lambda i, x: int(hashlib.sha256(f"{key}|{label}|{i}|{x}".encode()).hexdigest()[:15], 16)
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            left = (left + prf(i, right)) % m
+        else:
+            right = (right + prf(i, left)) % n
+    return left, right
+
+
+def test_pseudonyms_equal_a_plain_network(spark):
+    rows = [(i, f"card 4111 1111 1111 1111 and 10.{i}.0.7, +1 476 555-{6000 + i}, +1476555{6000 + i}, (476) 555-{6000 + i}") for i in range(30)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, _ in rows:
+        a, b = plain_feistel("k", "ip", 10 * 256 + i, 7, 65536, 65536)
+        assert f"{a // 256}.{a % 256}.{b // 256}.{b % 256}" in got[i]
+        a, b = plain_feistel("k", "phone10", 47655, 56000 + i, 10**5, 10**5)
+        d = f"{a:05}{b:05}"
+        assert f"+1 {d[:3]} {d[3:6]}-{d[6:]}, +1{d}, ({d[:3]}) {d[3:6]}-{d[6:]}" in got[i]
+
+
+def test_ibans_keys_and_clashing_columns(spark):
+    text = "pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432 not DE88370400440532013000"
+    df = spark.createDataFrame([(1, text, "kept")], "doc_id long, text string, pii string")
+    one = pii.pseudonymise(df, "a", found="hits").first()
+    m = re.fullmatch(r"pay (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) or (GB\d\dWEST\d{14}) not DE88370400440532013000", one.text)
+    for x in m.groups():
+        x = x.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1 and x not in text.replace(" ", "")
+    assert one.pii == "kept" and [k.kind for k in one.hits] == ["iban", "iban"]
+    assert pii.pseudonymise(df, "b", found="hits").first().text != one.text
+    spark.conf.set(pii.KEY_SETTING, "a")
+    try:
+        assert pii.pseudonymise(df, found="hits").first().text == one.text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
 
 
 # 6
