@@ -16,7 +16,7 @@ from skein.llm.pii import pseudonymise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that have no language: null texts and those without a letter."""
+    """Drops documents in none of the learned languages: null texts, those without a letter, and those whose calibrated score is low."""
     return keep_identified(docs)
 
 

@@ -231,8 +231,9 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, count: int = 10) ->
     pairs = found.join(exact.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q").join(exact.select(F.col("node").alias("w"), F.col("v").alias("wv")), "w")
     apart = F.sqrt(F.aggregate(F.zip_with("qv", "wv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     near = pairs.select("q", "w", apart.alias("score"))
-    # a query's nearest nodes are enough, before ids and queries of equal vectors are put in
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "w"))).where(F.col("r") <= 4 * count).drop("r")
+    # a query's nearest nodes are enough, before ids and queries of equal vectors are put in; of equally near ones those of the least ids
+    near = near.join(ids.groupBy(F.col("node").alias("w")).agg(F.min("vec_id").alias("least")), "w")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "least"))).where(F.col("r") <= count + 1).drop("r", "least")
     listed = near.join(queries.withColumnRenamed("node", "q"), "q").join(least.withColumnRenamed("node", "w"), "w").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return listed.withColumn("rank", rank).where(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")

@@ -19,6 +19,8 @@ ROWS_PER_LANGUAGE = 2_000
 PARTS = 4
 EPOCHS = 3
 UNKNOWN = "und"
+#: A text no language of which is this likely, after calibration, is in none of those that were learned.
+LEAST_SCORE = 0.4
 
 
 @dataclass
@@ -127,9 +129,11 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model
     """
     spark = docs.sparkSession
     labelled = docs.where("text is not null and lang is not null").where(~_held_out()).select("text", "lang")
-    sizes = dict(labelled.groupBy("lang").count().orderBy("lang").collect())  # a row for each language
-    if not sizes:
+    key = F.xxhash64("text", "lang")
+    told = labelled.groupBy("lang").agg(F.count("*"), F.min(key)).orderBy("lang").collect()  # a row for each language
+    if not told:
         return None
+    sizes, first = {r[0]: r[1] for r in told}, {r[0]: r[2] for r in told}
     languages = list(sizes)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +153,9 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model
             idf[f] = np.log((1 + counted[-1]) / (1 + n)) + 1
 
     share = F.create_map(*[v for k, n in sizes.items() for v in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
-    key = F.xxhash64("text", "lang")
-    sample = labelled.withColumn("key", key).where(F.pmod("key", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS + 1)).cast("int"))
+    least = F.create_map(*[v for k, x in first.items() for v in (F.lit(k), F.lit(x))])
+    # copies share a key; a language of few different texts keeps one at least
+    sample = labelled.withColumn("key", key).where((F.pmod("key", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)) | (F.col("key") == least[F.col("lang")])).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS + 1)).cast("int"))
     # equal rows of a large group of copies say nothing new
     sample = sample.dropDuplicates(["text", "lang"])
 
@@ -225,6 +230,14 @@ def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Dat
     return done.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """The rows of docs that have a language, that is all but null texts and those without a letter."""
-    return predict(docs, train(docs, rows_per_language)).where(F.col("__lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_identified(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is one that was learned.
+
+    Dropped are null texts, texts without a letter, and those no language of which has least_score
+    after calibration, such as texts in another script. Without any labelled row there is no model
+    and all texts that have a letter stay."""
+    model = train(docs, rows_per_language)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = (F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least_score)
+    return predict(docs, model).where(told).select(*[F.col(f"`{c}`") for c in docs.columns])

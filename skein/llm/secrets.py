@@ -2,51 +2,178 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from re import _parser as re_parser
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; a Java regular expression; the literals of which any match holds one, each with
-    any case folded away if fold; the group and the least characters that make a match valid."""
+    """kind; a regular expression; the group and the least characters that make a match valid."""
 
     kind: str
     regex: str
-    literals: tuple[str, ...] = ()
-    fold: bool = False
     group: int = 0
     least: int = 1
 
 
 #: The three kinds every caller relies on, in their order.
 BASE = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "api&key"), True, 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", ("AKIA",), False, 0, 20),
-    Rule("hex", r"[0-9a-f]{24,}", (), False, 0, 24),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-#: Further public key formats that this operator reports beside the base kinds.
+#: Further public key formats that this operator reports beside the base kinds.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY-----",)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", ("eyJ&.ey",)),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("slack_hook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]+"),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{24,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("google_oauth", r"[0-9]+-[a-z0-9_]{32}\.apps\.googleusercontent\.com"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", r"pypi-AgEI[A-Za-z0-9_-]{50,}"),
+    Rule("shopify", r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}"),
+    Rule("digitalocean", r"do[opr]_v1_[a-f0-9]{64}"),
+    Rule("square", r"sq0(?:csp|atp)-[A-Za-z0-9_-]{22,43}"),
+    Rule("vault", r"hvs\.[A-Za-z0-9_-]{24,}"),
+    Rule("mailchimp", r"[0-9a-f]{32}-us[0-9]{1,2}"),
 )
 RULES = BASE + MORE
 
+#: Bounds of what is derived from an expression: strings of a run, members of a class, alternatives, trigrams of one.
+STRINGS, MEMBERS, ALTERNATIVES, GRAMS = 64, 8, 64, 3
+
+#: Characters with whether their case is folded.
+_Run = tuple[tuple[str, bool], ...]
+
+
+def _grams(run: _Run) -> frozenset[str] | None:
+    """Trigrams that a text with this run must hold, GRAMS of them spread over it; None for a run too short for any."""
+    found = []
+    for i in range(len(run) - 2):
+        part = run[i : i + 3]
+        word = "".join(c for c, _ in part)
+        found.append(f"i:{word.lower()}" if any(fold for _, fold in part) else f"c:{word}")
+    if not found:
+        return None
+    n = min(GRAMS, len(found))
+    return frozenset(found[i * (len(found) - 1) // max(n - 1, 1)] for i in range(n))
+
+
+class _Derived:
+    """What every match of a part of an expression needs: the strings it can be, as long as they are few,
+    and alternatives of trigrams."""
+
+    def __init__(self):
+        self.runs: set[_Run] | None = {()}
+        self.whole = True  # whether the runs are all that the part can be
+        self.needs: list[frozenset[str]] | None = None  # no alternatives: nothing is needed
+
+    def _also(self, alternatives: list[frozenset[str]] | None) -> None:
+        if alternatives is None:
+            return
+        both = alternatives if self.needs is None else list({a | b for a in self.needs for b in alternatives})
+        # too many: what is needed already and what is new each are enough
+        self.needs = both if len(both) <= ALTERNATIVES else min(self.needs, alternatives, key=len)
+
+    def cut(self) -> None:
+        """What follows is anything: what the runs so far need is noted."""
+        grams = [_grams(r) for r in self.runs]
+        self._also(list(set(grams)) if grams and None not in grams else None)
+        self.runs, self.whole = {()}, False
+
+    def add(self, runs: set[_Run]) -> None:
+        joined = {a + b for a in self.runs for b in runs}
+        if len(joined) > STRINGS:
+            self.cut()
+            joined = runs
+        self.runs = joined
+
+    def then(self, part: _Derived) -> None:
+        if part.whole:
+            self.add(part.runs)
+        else:
+            self.cut()
+            self._also(part.needs)
+
+
+def _derive(parsed, fold: bool) -> _Derived:
+    out = _Derived()
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out.add({((chr(arg), fold and chr(arg).isalpha()),)})
+        elif name == "IN" and (members := _members(arg)) is not None:
+            out.add({((c, fold and c.isalpha()),) for c in members})
+        elif name == "SUBPATTERN":
+            _, added, removed, inner = arg
+            out.then(_closed(_derive(inner, (fold or bool(added & re.IGNORECASE)) and not removed & re.IGNORECASE)))
+        elif name == "BRANCH":
+            parts = [_closed(_derive(p, fold)) for p in arg[1]]
+            if all(p.whole for p in parts) and sum(len(p.runs) for p in parts) <= STRINGS:
+                out.add({r for p in parts for r in p.runs})
+            else:
+                out.cut()
+                for p in parts:
+                    p.cut()
+                out._also(None if any(p.needs is None for p in parts) else list({a for p in parts for a in p.needs}))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            least, most, inner = arg
+            part = _closed(_derive(inner, fold))
+            if part.whole and (least, most) == (0, 1) and any(len(r) < 3 for r in out.runs):
+                out.add(part.runs | {()})
+            elif part.whole and least == most <= 8:
+                for _ in range(least):
+                    out.add(part.runs)
+            else:
+                if least:
+                    out.then(part)
+                out.cut()
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue  # takes no characters
+        else:
+            out.cut()
+    return out
+
+
+def _closed(part: _Derived) -> _Derived:
+    """A part that is not all runs, with the needs of its last runs noted."""
+    if not part.whole:
+        part.cut()
+    return part
+
+
+def _members(arg) -> list[str] | None:
+    """The characters of a small class."""
+    found: list[str] = []
+    for op, x in arg:
+        if str(op) == "LITERAL":
+            found.append(chr(x))
+        elif str(op) == "RANGE" and x[1] - x[0] < MEMBERS:
+            found += map(chr, range(x[0], x[1] + 1))
+        else:
+            return None
+    return found if len(found) <= MEMBERS else None
+
 
 def trigram_query(rule: Rule) -> list[list[str]]:
     """The rule's Boolean query as alternatives of trigrams that must all be there; [] reads every text.
 
-    Derived from the literals that the rule's expression cannot match without ('&' joins
-    literals that are all needed)."""
-    alternatives = []
-    for literal in rule.literals:
-        grams = {part[i : i + 3] for part in literal.split("&") for i in range(len(part) - 2)}
-        if not grams:
-            return []
-        alternatives.append(sorted(f"i:{g.lower()}" if rule.fold else f"c:{g}" for g in grams))
-    return alternatives
+    Derived from the expression itself, as Cox ("Regular expression matching with a trigram index",
+    2012) does: literals, small classes, alternations and optional parts are followed as the few
+    strings they can be; what can be anything cuts those, and their trigrams are needed. The
+    expression is parsed by Python's parser, which reads these as Spark does."""
+    derived = _derive(re_parser.parse(rule.regex), False)
+    derived.cut()
+    return sorted(sorted(a) for a in derived.needs or [])
 
 
 def _spans(text: Column, rule: Rule) -> Column:

@@ -154,13 +154,59 @@ def test_secrets(spark, docs, odd):
         assert sorted(((r.doc_id, r.base_sha256) for r in got), key=key) == want
     more = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(small)).collect()}
     assert more[8] == "private_key:0:31,github:32:72"
+    assert all(len(r.spans) == 0 for r in secrets.digest(secrets.find_secrets(small.where("doc_id in (5, 6)"))).collect())
     assert secrets.find_secrets(odd.where("false")).count() == 0
 
 
 def test_trigram_queries():
+    R = secrets.Rule
     q = secrets.trigram_query(secrets.BASE[0])
-    assert ["i:oke", "i:ken", "i:tok"] != q and sorted(q[3]) == ["i:ken", "i:oke", "i:tok"] and q[4] == ["i:api", "i:key"]
-    assert secrets.trigram_query(secrets.BASE[2]) == []
+    assert len(q) == 5 and ["i:ken", "i:oke", "i:tok"] in q and ["i:api", "i:key"] in q and all(g.startswith("i:") for a in q for g in a)
+    assert secrets.trigram_query(secrets.BASE[1]) == [["c:AKI", "c:KIA"]] and secrets.trigram_query(secrets.BASE[2]) == []
+    assert secrets.trigram_query(R("x", "ab[cd]e")) == [["c:abc", "c:bce"], ["c:abd", "c:bde"]]
+    assert secrets.trigram_query(R("x", "ab.c")) == [] and secrets.trigram_query(R("x", "abc|d.*")) == []
+    assert secrets.trigram_query(R("x", "(?:abc|xyz)+[0-9]def")) == [["c:abc", "c:def"], ["c:def", "c:xyz"]]
+    assert secrets.trigram_query(R("x", "(abc)?.*def")) == [["c:def"]] and secrets.trigram_query(R("x", "(?i:ab)c")) == [["i:abc"]]
+    assert all(secrets.trigram_query(r) for r in secrets.RULES if r.kind not in ("hex", "mailchimp"))
+
+
+@pytest.mark.parametrize("regex", [r.regex for r in secrets.RULES] + ["a(b|cd)?e{2}f", "(?i:x(yz|[ab]c)+)w", "q[^a]rst", "foo(?=bar)...", "(a|b)(c|d)(e|f)(g|h)"])
+def test_trigrams_are_needed(regex):
+    """Strings made to match hold the trigrams of one alternative of the query."""
+    rng = np.random.default_rng(5)
+    parse = secrets.re_parser.parse
+
+    def made(parsed, fold=False):
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                c = chr(arg)
+                out += c.swapcase() if fold and rng.random() < 0.5 else c
+            elif name == "NOT_LITERAL":
+                out += "~"
+            elif name == "ANY":
+                out += "."
+            elif name == "IN":
+                ranges = [x for x in arg if str(x[0]) in ("LITERAL", "RANGE")]
+                if str(arg[0][0]) == "NEGATE":
+                    out += "~"
+                    continue
+                op2, x = ranges[rng.integers(len(ranges))]
+                out += chr(x) if str(op2) == "LITERAL" else chr(rng.integers(x[0], x[1] + 1))
+            elif name == "SUBPATTERN":
+                out += made(arg[3], fold or bool(arg[1] & re.I))
+            elif name == "BRANCH":
+                out += made(arg[1][rng.integers(len(arg[1]))], fold)
+            elif name == "MAX_REPEAT":
+                for _ in range(int(rng.integers(arg[0], min(int(arg[1]), arg[0] + 3) + 1))):
+                    out += made(arg[2], fold)
+        return out
+
+    query = secrets.trigram_query(secrets.Rule("x", regex))
+    for _ in range(50):
+        t = made(parse(regex))
+        assert not query or any(all(g[2:] in (t.lower() if g[0] == "i" else t) for g in a) for a in query), t
 
 
 # 4
@@ -413,6 +459,12 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(df.where("false")).count() == 0
 
 
+def test_many_equally_near(spark):
+    rows = [(0, [1.0] + [0.0] * 100)] + [(1000 + (i * 37) % 100, [0.0] * (1 + i) + [1.0] + [0.0] * (99 - i)) for i in range(100)]
+    got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1000).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1000, 1010))
+
+
 def test_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = collections.defaultdict(set)
@@ -446,6 +498,9 @@ def test_language_cases(spark, odd):
     assert [by[i].lang_pred for i in (4, 5, 6)] == ["und"] * 3 and by[4].score == 0 and by[None].held_out is False
     kept = language.keep_identified(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 3
+    unlabelled = language.keep_identified(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert unlabelled.count() == len(ODD) - 3
+    assert language.keep_identified(odd, least_score=1.01).count() == 0
     assert {r.lang_pred for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.identify(odd.where("false")).count() == 0
 
