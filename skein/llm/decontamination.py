@@ -7,19 +7,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from skein.plans.iterate import discard, materialize
+
 WINDOW = 10
 #: Words in a shingle, the token of the set join.
 SHINGLE = 5
-#: Bytes of item text that one broadcast index is made of; more items go in further blocks.
-BLOCK_BYTES = 16 << 20
+#: Bits of the tables that tell tasks which shingles to look up; of fixed size, they let too many through at worst.
+BITS = 1 << 24
+#: Shingles that a task counts before it hands on what it has.
+COUNTED = 500_000
 
 #: Lower-cases A-Z and blanks every other ASCII character that is no letter or digit.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_BITS = 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -55,167 +57,187 @@ def _ids(words: list[bytes], cache: _Hashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-class Block:
-    """The windows of some items, their shingles and a bit table over them; of bounded size."""
-
-    def __init__(self, items: list[tuple[object, str | None]], window: int, shingle: int):
-        self.windows: dict[tuple[bytes, ...], set] = {}
-        for item, text in items:
-            w = words_of(text)
-            size = min(window, len(w))
-            for i in range(len(w) - size + 1 if size else 0):
-                self.windows.setdefault(tuple(w[i : i + size]), set()).add(item)
-        self.shingle, cache = shingle, _Hashes()
-        self.of = {w: shingle_hashes(_ids(list(w), cache), min(shingle, len(w))) for w in self.windows}
-        self.widths = sorted({min(shingle, len(w)) for w in self.windows})
-        self.vocabulary = {k: self._table(np.unique(np.concatenate([h for w, h in self.of.items() if min(shingle, len(w)) == k]))) for k in self.widths}
-
-    @staticmethod
-    def _table(hashes: np.ndarray) -> tuple[np.ndarray, frozenset]:
-        bits = np.zeros(1 << _BITS, bool)
-        bits[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return bits, frozenset(hashes.tolist())
-
-    def order(self, frequency: dict[tuple[int, int], int]) -> None:
-        """Choose every window's prefix: of its shingles ordered by rarity, the first.
-
-        The containment asked for is all of a window's shingles, so a prefix of one is
-        what a document cannot do without."""
-        prefix: dict[int, dict[int, list]] = {k: {} for k in self.widths}
-        for w, hashes in self.of.items():
-            k = min(self.shingle, len(w))
-            at, h = min(enumerate(hashes.tolist()), key=lambda x: (frequency.get((k, x[1]), 0), x[1], x[0]))
-            prefix[k].setdefault(h, []).append((at, list(w), frozenset(x for x in self.windows[w] if x is not None)))
-        self.prefix = {k: (self._table(np.array(list(p), np.uint64))[0], p) for k, p in prefix.items()}
-        self.windows, self.of = {}, {}
-
-
-def _positions(words: list[bytes], ids: np.ndarray, width: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_WINDOWS = "item string, size int, words binary, k int, at int, h long"
+
+
+def _windows(window: int, shingle: int):
+    """A row for each shingle of each different window of an item: the shingle's width k, its place and its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Hashes()
+        for x in batches:
+            for item, text in zip(x["item_id"].to_pylist(), x["text"].to_pylist(), strict=True):
+                w = words_of(text)
+                if not w:
+                    continue
+                size = min(window, len(w))
+                k = min(shingle, size)
+                h = shingle_hashes(_ids(w, cache), k).view(np.int64)
+                begins = list({tuple(w[i : i + size]): i for i in range(len(w) - size + 1)}.values())
+                for at in range(0, len(begins), 10_000):  # very long items in parts
+                    part, n = np.array(begins[at : at + 10_000]), size - k + 1
+                    windows = pa.array([b" ".join(w[i : i + size]) for i in part.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([item] * (len(part) * n), pa.string()),
+                            pa.array(np.full(len(part) * n, size, np.int32)),
+                            windows.take(pa.array(np.repeat(np.arange(len(part)), n))),
+                            pa.array(np.full(len(part) * n, k, np.int32)),
+                            pa.array(np.tile(np.arange(n, dtype=np.int32), len(part))),
+                            pa.array(h[(part[:, None] + np.arange(n)).ravel()]),
+                        ],
+                        [c.split(" ")[0] for c in _WINDOWS.split(", ")],
+                    )
+
+    return run
+
+
+def _table(shingles: DataFrame) -> dict[int, np.ndarray]:
+    """For each width of shingles (k, h) a table of BITS bits in which those of the hashes are set.
+
+    A window has no more shingle widths than words in a shingle, so there are few tables."""
+    bit = F.shiftrightunsigned("h", 64 - (BITS.bit_length() - 1))
+    packed = shingles.select("k", bit.alias("b")).distinct().groupBy("k", F.floor(F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
+    out: dict[int, np.ndarray] = {}
+    for k, w, v in packed.toLocalIterator():  # at most BITS / 64 rows a width
+        out.setdefault(k, np.zeros(BITS // 64, np.int64))[w] = v
+    return {k: t.view(np.uint8) for k, t in sorted(out.items())}
+
+
+def _positions(ids: np.ndarray, width: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the shingles that a table has a bit of."""
     h = shingle_hashes(ids, width)
-    at = np.flatnonzero(bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+    bit = (h >> np.uint64(64 - (BITS.bit_length() - 1))).astype(np.int64)
+    at = np.flatnonzero(table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
     return at, h[at]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    rows, size = [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        rows.append((r[0], r[1]))
-        size += 64 + len(r[1] or "")
-        if size >= block_bytes:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _count(tables):
+    """(k, h, n): how often each text, counted once, has the shingles that the tables have a bit of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, seen = _Hashes(), Counter()
+
+        def told() -> pa.RecordBatch:
+            keys = list(seen)
+            out = [pa.array([k for k, _ in keys], pa.int32()), pa.array(np.array([h for _, h in keys], np.uint64).view(np.int64)), pa.array([seen[x] for x in keys], pa.int64())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(out, ["k", "h", "n"])
+
+        for x in batches:
+            for text in x["text"].to_pylist():
+                ids = _ids(words_of(text), cache)
+                for k, table in tables.value.items():
+                    _, h = _positions(ids, k, table)
+                    if len(h):
+                        seen.update((k, y) for y in set(h.tolist()))
+            if len(seen) > COUNTED:
+                yield told()
+        yield told()
+
+    return run
+
+
+_FOUND = "n_words long, found array<struct<k:int,h:long,p:int,before:array<binary>,after:array<binary>>>"
+
+
+def _look(tables, window: int, kept: list[str]):
+    """The columns `kept`, the number of words and the places where a prefix may stand, with the words around them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Hashes()
+        for x in batches:
+            n_words, found = [], []
+            for text in x["text"].to_pylist():
+                w = words_of(text)
+                ids, here = _ids(w, cache), []
+                for k, table in tables.value.items():
+                    at, h = _positions(ids, k, table)
+                    here += [{"k": k, "h": y, "p": p, "before": w[max(p - window, 0) : p], "after": w[p : p + window]} for p, y in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+                n_words.append(len(w)), found.append(here)
+            kind = pa.list_(pa.struct([("k", pa.int32()), ("h", pa.int64()), ("p", pa.int32()), ("before", pa.list_(pa.binary())), ("after", pa.list_(pa.binary()))]))
+            yield pa.RecordBatch.from_arrays([*(x[c] for c in kept), pa.array(n_words, pa.int64()), pa.array(found, kind)], [*kept, "n_words", "found"])
+
+    return run
+
+
+def _prefixes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(k, h, at, size, words, items): every different window under its prefix, its rarest shingle in documents.
+
+    Shingles are ordered by rarity, by hash and by place. The containment asked for is that of all of a
+    window's shingles, so the first in that order is what a document cannot do without."""
+    each = materialize(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").mapInArrow(_windows(window, shingle), _WINDOWS))
+    shared = docs.sparkSession.sparkContext.broadcast(_table(each))
+    often = docs.select("text").where("text is not null").mapInArrow(_count(shared), "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    places = each.select("size", "words", "k", "at", "h").distinct().join(often, ["k", "h"], "left")
+    first = places.groupBy("size", "words", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "at")).alias("first"))
+    items = each.where("at = 0").groupBy("size", "words").agg(F.collect_set("item").alias("items"))  # without null ids
+    found = materialize(first.join(items, ["size", "words"]).select("k", "first.h", "first.at", "size", "words", "items"))
+    discard(each)
+    return found
+
+
+def _hits(places: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(row, spans, item_ids) of the rows of places (row, found) in which a window occurs; spans are sorted (begin, end).
+
+    A prefix that stands at p, at places from its window's begin, fixes where the window must begin; it must
+    begin in the text and end in it (positional and length bounds), and its words are then compared."""
+    at = places.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    met = at.join(prefixes, ["k", "h"])
+    begins = F.size("before") - F.col("at")
+    inside = (begins >= 0) & (F.size("after") >= F.col("size") - F.col("at"))
+    words = F.concat(F.slice("before", F.size("before") - F.col("at") + 1, F.col("at")), F.slice("after", F.lit(1), F.col("size") - F.col("at")))
+    same = F.when(inside, F.array_join(F.transform(words, lambda w: F.hex(w)), "20") == F.hex("words"))
+    hits = met.where(same).select("row", (F.col("p") - F.col("at")).alias("begin"), (F.col("p") - F.col("at") + F.col("size")).alias("end"), "items").distinct()
+    return hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, kept: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A written table of docs' columns `kept` and n_words by row, its hits, and the prefixes that they were found by."""
+    prefixes = _prefixes(docs, benchmark, window, shingle)
+    tables = docs.sparkSession.sparkContext.broadcast(_table(prefixes))
+    told = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    looked = docs.select(*kept, "text").mapInArrow(_look(tables, window, kept), f"{told}, {_FOUND}")
+    rows = materialize(looked.withColumn("row", F.monotonically_increasing_id()))
+    return rows, _hits(rows.select("row", "found"), prefixes), prefixes
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted as strings) and contaminated of each row.
 
     A window is `window` consecutive words of an item, or all words of a shorter one; a
     document word inside any occurrence of a window is hit. Windows are sets of word
     shingles; they are joined to documents in two passes over the texts:
 
-    1. documents' shingles that occur in the benchmark are counted (documents each,
-       combined in every partition before the shuffle), which orders shingles by rarity;
-    2. each window is indexed under its rarest shingle, the prefix that a document
-       holding the whole window must share. A document's shingle that is such a prefix,
-       at place p, gives the one place p - offset where the window can begin; it must
-       begin in the text and end in it (positional and length bounds), and is then
-       compared word by word.
+    1. documents' shingles that may occur in the benchmark are counted (documents each,
+       combined in every task before the shuffle), which orders shingles by rarity;
+    2. each window stands under its rarest shingle, the prefix that a document holding the whole
+       window must share. Documents' places of such shingles, with the words around them, are joined
+       to the windows by it; positional and length bounds and the words themselves decide.
 
-    The index goes to the tasks by broadcast, made of at most block_bytes of item text; a larger
-    benchmark is worked through in several blocks, each adding to the rows' results. No
-    document is shuffled, so frequent passages make no hot task.
+    Tasks know the shingles to look for by bit tables of fixed size. Texts are not shuffled, only
+    places are; a small table of windows is broadcast by its size, and a large one is joined
+    by shuffles in which adaptive execution splits a frequent passage.
 
     Cases: null texts have no words; an item without words has no windows; items of the
     same id count once; an item with a null id hits words but is not listed; no items
     mean no hits; other columns of docs are left aside.
     """
-    own = _marked(docs.select("doc_id", "text"), benchmark, window, shingle, block_bytes).drop("text")
-    hit = F.expr(
-        "aggregate(__spans, struct(0L as n, 0 as begin, false as odd),"
-        " (a, x) -> struct(if(a.odd, a.n + x - a.begin, a.n) as n, x as begin, not a.odd as odd), a -> a.n)"
+    rows, hits, _ = _marked(docs.select("doc_id", "text"), benchmark, window, shingle, ["doc_id"])
+    n_hit = F.expr(
+        "aggregate(spans, struct(0L as n, -1 as last), (a, x) -> struct(a.n + greatest(x.end - greatest(x.begin, a.last), 0) as n, greatest(a.last, x.end) as last), a -> a.n)"
     )
-    return own.select("doc_id", F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.col("__item_ids").alias("item_ids"), (F.size("__spans") > 0).alias("contaminated"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-    return _marked(docs, benchmark, window, shingle, block_bytes).where("size(__spans) = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _marked(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> DataFrame:
-    """docs and __n_words, __spans (disjoint hit spans: begin, end, begin ...), __item_ids."""
-    out = docs.withColumn("__n_words", F.lit(0).cast("long")).withColumn("__spans", F.array().cast("array<int>")).withColumn("__item_ids", F.array().cast("array<string>"))
-    for index in [*_indexes(docs, benchmark, window, shingle, block_bytes)] or [docs.sparkSession.sparkContext.broadcast(None)]:
-
-        def mark(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            block, cache = index.value, _Hashes()
-            for x in batches:
-                n_words, spans, items = [], [], []
-                for text, old_spans, old_items in zip(x["text"].to_pylist(), x["__spans"].to_pylist(), x["__item_ids"].to_pylist(), strict=True):
-                    w = words_of(text)
-                    found, ids = _match(w, block, cache) if block else ([], set())
-                    n_words.append(len(w))
-                    spans.append(_merge([*zip(old_spans[::2], old_spans[1::2], strict=True), *found]) if found else old_spans)
-                    items.append(sorted({*old_items, *map(str, ids)}) if ids else old_items)
-                kept = x.select([c for c in x.schema.names if c not in ("__n_words", "__spans", "__item_ids")])
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    [*kept.schema.names, "__n_words", "__spans", "__item_ids"],
-                )
-
-        out = out.mapInArrow(mark, out.schema)
-    return out
-
-
-def _indexes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int):
-    sc = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark, block_bytes):
-        block = Block(items, window, shingle)
-        if not block.windows:
-            continue
-        vocabulary = sc.broadcast(block.vocabulary)
-
-        def count(batches: Iterator[pd.DataFrame], vocabulary=vocabulary) -> Iterator[pd.DataFrame]:
-            tables, cache, seen = vocabulary.value, _Hashes(), Counter()
-            for x in batches:
-                for text in x["text"]:
-                    w = words_of(text)
-                    ids = _ids(w, cache)
-                    for k, (bits, known) in tables.items():
-                        _, h = _positions(w, ids, k, bits)
-                        if len(h):
-                            seen.update((k, y) for y in known.intersection(h.tolist()))
-            yield pd.DataFrame([(k, np.uint64(h).astype(np.int64), n) for (k, h), n in seen.items()], columns=["k", "h", "n"])
-
-        counted = docs.select("text").where("text is not null").mapInPandas(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-        # at most as many rows as the block has shingles
-        block.order({(r[0], r[1] % (1 << 64)): r[2] for r in counted.toLocalIterator()})
-        block.vocabulary = {}
-        yield sc.broadcast(block)
-
-
-def _match(words: list[bytes], block: Block, cache: _Hashes) -> tuple[list[tuple[int, int]], set]:
-    found, items, ids = set(), set(), _ids(words, cache)
-    for k, (bits, prefix) in block.prefix.items():
-        at, h = _positions(words, ids, k, bits)
-        for p, x in zip(at.tolist(), h.tolist(), strict=True):
-            for offset, window, of in prefix.get(x, ()):
-                begin = p - offset
-                end = begin + len(window)
-                if begin >= 0 and end <= len(words) and words[begin:end] == window:
-                    found.add((begin, end))
-                    items |= of
-    return list(found), items
-
-
-def _merge(spans: list[tuple[int, int]]) -> list[int]:
-    """Disjoint spans as a flat list begin, end, begin, end ..."""
-    out: list[int] = []
-    for b, e in sorted((int(b), int(e)) for b, e in spans):
-        if out and b <= out[-1]:
-            out[-1] = max(out[-1], e)
-        else:
-            out += [b, e]
-    return out
+    met = rows.select("row", "doc_id", "n_words").join(hits, "row", "left")
+    none = F.array().cast("array<string>")
+    return met.select("doc_id", "n_words", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.col("spans").isNotNull().alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs.
+
+    The texts that go are told by 128 bits of their content, which meet the rows in one join."""
+    key = F.unhex(F.md5("text"))
+    rows, hits, prefixes = _marked(docs.select("text", key.alias("text_key")), benchmark, window, shingle, ["text_key"])
+    gone = materialize(rows.select("row", "text_key").join(hits, "row", "left_semi").select(F.col("text_key").alias("__text_key")).distinct())
+    discard(rows, prefixes)
+    return docs.withColumn("__text_key", key).join(gone, "__text_key", "left_anti").drop("__text_key")

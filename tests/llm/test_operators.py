@@ -97,15 +97,15 @@ def brute_hits(items, text, size=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
-def test_decontamination(spark, odd, block_bytes):
+@pytest.mark.parametrize("shingle", [5, 2])
+def test_decontamination(spark, odd, shingle):
     items = [(1, "The QUICK brown fox; jumps over the lazy-dog and runs far"), (2, "one"), (3, "dog and runs"), (4, None), (5, ""), (11, "the river word"), (None, "wörds")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.find_contamination(odd, bench, block_bytes=block_bytes).collect()
+    got = decontamination.find_contamination(odd, bench, shingle=shingle).collect()
     small = [(i, t) for i, t in texts(odd) if len(t or "") < 10_000]
     want = sorted(((i, *brute_hits(items, t)) for i, t in small), key=key)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got if r.doc_id not in (10, 11)), key=key) == want
-    kept = decontamination.decontaminate(odd, bench, block_bytes=block_bytes)
+    kept = decontamination.decontaminate(odd, bench, shingle=shingle)
     assert kept.columns == odd.columns
     assert kept.count() == sum(not r.contaminated for r in got)
     assert decontamination.find_contamination(odd, bench.where("false")).where("contaminated").count() == 0
