@@ -126,12 +126,13 @@ def pair_name(name: Column) -> Column:
 
 
 def mate_name(name: Column) -> Column:
-    """the name of a read's mate by its suffix: 1/2, A/B, F/R, F3/R3, forward/reverse; else the name itself."""
-    swaps = [("forward", "reverse"), ("F3", "R3"), ("1", "2"), ("A", "B"), ("F", "R")]
+    """the name of a read's mate by its suffix: 1/2, A/B, F/R, f/r, F3/R3, forward/reverse; else the name itself. Both
+    reads of a pair from an SRR archive have one name, which stays."""
+    swaps = [("forward", "reverse"), ("F3", "R3"), ("1", "2"), ("A", "B"), ("F", "R"), ("f", "r")]
     out = name
     for a, b in reversed(swaps):
         out = F.when(name.endswith(a), F.concat(F.substr(name, F.lit(1), F.length(name) - len(a)), F.lit(b))).when(name.endswith(b), F.concat(F.substr(name, F.lit(1), F.length(name) - len(b)), F.lit(a))).otherwise(out)
-    return out
+    return F.when(name.startswith("SRR"), name).otherwise(out)
 
 
 def count_acgt(seq: Column) -> Column:

@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from skein.functions.packed import MOST as MOST_PACKED, packed, packed_counts, packed_places, packed_windows, unpacked
 from skein.functions.sequence import canonical, masked_key, reverse_complement, windows
 
 #: Fixed value: the largest multiplicity of a strand.
@@ -21,7 +22,10 @@ def count_kmers(reads: DataFrame, k: int, stranded: bool = False, seq: str = "se
     """A1: kmer, cov_fwd, cov_rev: multiplicities on each strand of the canonical k-mer, at most MOST each.
 
     Soft-masked windows are loaded with multiplicity 0 (F9). With stranded, k-mers keep their
-    orientation and cov_rev is 0."""
+    orientation and cov_rev is 0. Windows of up to 31 bases are counted as numbers; longer ones as strings."""
+    if k <= MOST_PACKED:
+        n = packed_counts(reads, k, stranded, seq)
+        return n.select(unpacked(F.col("code"), k).alias("kmer"), F.least("f", F.lit(MOST)).alias("cov_fwd"), F.least("r", F.lit(MOST)).alias("cov_rev"))
     raw = windows(reads.select(seq), k, seq)
     masked = F.col("kmer").rlike("[acgt]")
     upper = raw.select(F.upper("kmer").alias("w"), F.when(masked, 0).otherwise(1).alias("one"))
@@ -46,18 +50,19 @@ def coverage_histogram(kmers: DataFrame) -> DataFrame:
     return coverage(kmers).groupBy(F.col("n").alias("value")).agg(F.count("*").alias("n"))
 
 
-def first_local_minimum(counts: list[int], smoothing: int = 4) -> int:
-    """A4: the first multiplicity from 1 whose count is exceeded by each of the next `smoothing` ones' counts in
-    turn; 0 without any. counts[v] is the number of k-mers of multiplicity v."""
-    best, since = 1, 0
-    for v in range(2, len(counts)):
-        if counts[v] <= counts[best]:
+def first_local_minimum(counts: dict[int, int], smoothing: int = 4) -> int:
+    """A4: the first multiplicity that has the least count so far when `smoothing` multiplicities in turn have had more,
+    or when there are no more; 0 if that is the largest one or there is none. counts has
+    the number of k-mers of each multiplicity that occurs, which alone are walked."""
+    best, since = None, 0
+    for v in sorted(counts):
+        if best is None or counts[v] <= counts[best]:
             best, since = v, 0
         else:
             since += 1
             if since >= smoothing:
-                return best
-    return 0
+                break
+    return 0 if best is None or best == max(counts) else best
 
 
 def coverage_parameters(histogram: DataFrame) -> dict[str, float]:
@@ -67,8 +72,7 @@ def coverage_parameters(histogram: DataFrame) -> dict[str, float]:
     median multiplicity at or above it until it stands still, 100 times at most. The histogram
     has a row for each multiplicity, at most 2 * MOST."""
     h = {r["value"]: r["n"] for r in histogram.where("value > 0").collect()}
-    counts = [h.get(v, 0) for v in range(max(h, default=0) + 1)]
-    cov = float(first_local_minimum(counts))
+    cov = float(first_local_minimum(h))
     for _ in range(100 if cov else 0):
         left = {v: n for v, n in h.items() if v >= math.floor(cov + 0.5)}
         need, run, median = math.ceil(sum(left.values()) / 2), 0, 0
@@ -126,6 +130,10 @@ def bloom_rate(n: int, bits: int, hashes: int = 1, levels: int = 1) -> float:
 
 def member_windows(seqs: DataFrame, kmers: DataFrame, k: int, key: str, inverse: bool = False, seq: str = "seq") -> DataFrame:
     """Key, pos, end, kmer of the windows that are (or, inverse, are not) in a canonical k-mer set; end is exclusive."""
+    if k <= MOST_PACKED:
+        met = packed_windows(seqs, k, key, seq).join(kmers.select(packed(F.col("kmer")).alias("code")), "code", "left_anti" if inverse else "left_semi")
+        own = unpacked(F.col("code"), k)
+        return met.select(key, "pos", (F.col("pos") + k).alias("end"), F.when(F.col("forward"), own).otherwise(reverse_complement(own)).alias("kmer"))
     w = windows(seqs.select(key, F.upper(seq).alias("seq")), k, pos="pos")
     met = w.withColumn("canon", canonical(F.col("kmer"))).join(kmers.select(F.col("kmer").alias("canon")), "canon", "left_anti" if inverse else "left_semi")
     return met.select(key, "pos", (F.col("pos") + k).alias("end"), "kmer")
@@ -158,8 +166,12 @@ def coverage_track(reference: DataFrame, kmers: DataFrame, k: int, key: str, seq
     """K7: blocks of consecutive windows of a reference that are all in the set (1) or all not (0): key, start, length, value.
 
     Blocks are true to positions: a window with other characters ends a block."""
-    w = windows(reference.select(key, F.upper(seq).alias("seq")), k, pos="pos").withColumn("canon", canonical(F.col("kmer")))
-    met = w.join(kmers.select(F.col("kmer").alias("canon"), F.lit(1).alias("hit")), "canon", "left").select(key, "pos", F.coalesce("hit", F.lit(0)).alias("value"))
+    if k <= MOST_PACKED:
+        met = packed_windows(reference, k, key, seq).join(kmers.select(packed(F.col("kmer")).alias("code"), F.lit(1).alias("hit")), "code", "left")
+    else:
+        w = windows(reference.select(key, F.upper(seq).alias("seq")), k, pos="pos").withColumn("canon", canonical(F.col("kmer")))
+        met = w.join(kmers.select(F.col("kmer").alias("canon"), F.lit(1).alias("hit")), "canon", "left")
+    met = met.select(key, "pos", F.coalesce("hit", F.lit(0)).alias("value"))
     island = F.col("pos") - F.row_number().over(Window.partitionBy(key, "value").orderBy("pos"))
     return met.withColumn("island", island).groupBy(key, "value", "island").agg(F.min("pos").alias("start"), F.count("*").alias("length")).select(key, "start", "length", "value")
 
@@ -181,6 +193,8 @@ def kmer_pairs(reads: DataFrame, k: int, span: int) -> DataFrame:
 
 def spaced_counts(reads: DataFrame, mask: str) -> DataFrame:
     """multiplicities of the bases at a spaced seed's places: key, n."""
+    if len(mask) <= MOST_PACKED:
+        return packed_places(reads, mask).select(unpacked(F.col("code"), mask.count("1")).alias("key"), "n")
     w = windows(reads.select(F.upper("seq").alias("seq")), len(mask))
     return w.select(masked_key(F.col("kmer"), mask).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 

@@ -105,7 +105,11 @@ def test_erosion_ends_when_no_weak_end_is_left(spark):
 
 
 def test_first_minimum_and_parameters(spark):
-    assert K.first_local_minimum([0, 100, 50, 10, 20, 30, 40, 50, 60]) == 3
+    minimum = lambda *n: K.first_local_minimum({v: c for v, c in enumerate(n, 1) if c})
+    assert minimum(100, 50, 10, 20, 30, 40, 50, 60) == 3
+    assert minimum(100, 10, 20, 30) == 2  # the histogram may end before it has risen four times
+    assert minimum(100, 50, 10) == 0 and minimum() == 0 and minimum(5) == 0
+    assert K.first_local_minimum({1: 9, 4: 2, 9: 3, 20: 4, 30: 5, 31: 6, 99: 1}) == 4
     hist = spark.createDataFrame([(1, 100), (2, 50), (3, 10), (4, 20), (5, 30), (6, 40), (7, 50), (8, 60)], "value long, n long")
     assert K.coverage_parameters(hist)["e"] >= 2
 

@@ -55,3 +55,33 @@ def test_ambiguity_and_overlaps(spark):
 def test_colours(spark):
     r = one(spark, c=S.colour_encode(F.lit("ATGCA")), d=S.colour_decode(F.lit("A"), S.colour_encode(F.lit("ATGCA"))))
     assert tuple(r) == ("3131", "TGCA")
+
+
+def test_mates_of_archives_and_lower_case(spark):
+    r = one(spark, a=S.mate_name(F.lit("SRR1.1")), b=S.mate_name(F.lit("xf")), c=S.mate_name(F.lit("xr")), d=S.mate_name(F.lit("xreverse")))
+    assert (r.a, r.b, r.c, r.d) == ("SRR1.1", "xr", "xf", "xforward")
+
+
+def test_packed_windows_equal_strings(spark):
+    import random
+
+    from skein.functions import packed as Q
+
+    rng = random.Random(1)
+    seqs = ["".join(rng.choice("ACGTacgtN") if rng.random() < 0.3 else rng.choice("ACGT") for _ in range(n)) for n in (0, 1, 5, 40, 400, 3000)] + [None, "ACGT" * 10]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "id long, seq string")
+    complement = str.maketrans("ACGT", "TGCA")
+    piece, Q.PIECE = Q.PIECE, 100
+    try:
+        for k in (1, 2, 5, 16, 21, 31):
+            got = sorted((r.id, r.pos, r.kmer, r.forward) for r in Q.packed_windows(df, k, "id").select("id", "pos", Q.unpacked(F.col("code"), k).alias("kmer"), "forward").collect())
+            want = []
+            for i, s in enumerate(seqs):
+                for p in range(len(s or "") - k + 1):
+                    w = s[p : p + k].upper()
+                    if set(w) <= set("ACGT"):
+                        rc = w.translate(complement)[::-1]
+                        want.append((i, p, min(w, rc), w <= rc))
+            assert got == sorted(want)
+    finally:
+        Q.PIECE = piece
