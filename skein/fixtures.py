@@ -56,61 +56,73 @@ SCAFFOLDS_SQL = f"""scaffolds AS (SELECT doc_id AS scaffold_id, replace(translat
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_discount", "l_quantity", F.row_number().over(order).alias("rn"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_discount", "l_quantity", (F.col("l_partkey") * 10 + F.col("l_suppkey") % 10).alias("contig"), F.row_number().over(order).alias("rn"))
 
 
-LINE_ITEMS_SQL = """li AS (SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_discount, l_quantity,
+LINE_ITEMS_SQL = """li AS (SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_discount, l_quantity, l_partkey * 10 + l_suppkey % 10 AS contig,
  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem)"""
 
 
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """est(src, dst, n, distance): parts that follow each other in orders, as distance estimates."""
+    """est(src, dst, n, distance): contigs that follow each other in orders, as distance estimates.
+
+    A contig is a part with a tenth of its suppliers."""
     li = line_items(spark, sf_dir)
     nxt = Window.partitionBy("l_orderkey").orderBy("rn")
-    steps = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(nxt).alias("dst"), (F.col("l_quantity") + F.lead("l_quantity").over(nxt)).alias("q"))
-    kept = steps.where("dst is not null and src <> dst and (src * 31 + dst * 17) % 16 = 0")
+    steps = li.select(F.col("contig").alias("src"), F.lead("contig").over(nxt).alias("dst"), (F.col("l_quantity") + F.lead("l_quantity").over(nxt)).alias("q"))
+    kept = steps.where("dst is not null and src <> dst")
     return kept.groupBy("src", "dst").agg(F.count("*").alias("n"), (F.min("q") - 60).cast("long").alias("distance"))
 
 
 ESTIMATES_SQL = (
     LINE_ITEMS_SQL
-    + """, est AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n, CAST(min(a.l_quantity + b.l_quantity) - 60 AS BIGINT) AS distance
+    + """, est AS (SELECT a.contig AS src, b.contig AS dst, count(*) AS n, CAST(min(a.l_quantity + b.l_quantity) - 60 AS BIGINT) AS distance
  FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND b.rn = a.rn + 1
- WHERE a.l_partkey <> b.l_partkey AND (a.l_partkey * 31 + b.l_partkey * 17) % 16 = 0 GROUP BY 1, 2)"""
+ WHERE a.contig <> b.contig GROUP BY 1, 2)"""
 )
 
 
-def oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """oe(src, dst): estimates between oriented contigs, closed under complement.
+def oriented_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """oe0(src, dst): contigs that follow each other in orders, oriented; not closed under complement.
 
     A vertex is 2 * contig + strand, as everywhere in skein; its complement is the vertex xor 1."""
     li = line_items(spark, sf_dir)
     nxt = Window.partitionBy("l_orderkey").orderBy("rn")
-    vertex = F.col("l_partkey") * 2 + (F.col("l_returnflag") == "R").cast("long")
-    steps = li.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(nxt).alias("b"), vertex.alias("src"), F.lead(vertex).over(nxt).alias("dst"))
-    e = steps.where("b is not null and a <> b and (a * 31 + b * 17) % 16 = 0").select("src", "dst")
+    vertex = F.col("contig") * 2 + (F.col("l_returnflag") == "R").cast("long")
+    steps = li.select(F.col("contig").alias("a"), F.lead("contig").over(nxt).alias("b"), vertex.alias("src"), F.lead(vertex).over(nxt).alias("dst"))
+    return steps.where("b is not null and a <> b").select("src", "dst").distinct()
+
+
+def oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """oe(src, dst): oriented_links() closed under complement."""
+    e = oriented_links(spark, sf_dir)
     return e.union(e.select(F.col("dst").bitwiseXOR(F.lit(1)), F.col("src").bitwiseXOR(F.lit(1)))).distinct()
 
 
 ORIENTED_SQL = (
     LINE_ITEMS_SQL
-    + """, oe0 AS (SELECT a.l_partkey * 2 + CAST(a.l_returnflag = 'R' AS BIGINT) AS src, b.l_partkey * 2 + CAST(b.l_returnflag = 'R' AS BIGINT) AS dst
+    + """, oe0 AS (SELECT DISTINCT a.contig * 2 + CAST(a.l_returnflag = 'R' AS BIGINT) AS src, b.contig * 2 + CAST(b.l_returnflag = 'R' AS BIGINT) AS dst
  FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND b.rn = a.rn + 1
- WHERE a.l_partkey <> b.l_partkey AND (a.l_partkey * 31 + b.l_partkey * 17) % 16 = 0),
+ WHERE a.contig <> b.contig),
 oe AS (SELECT src, dst FROM oe0 UNION SELECT xor(dst, 1), xor(src, 1) FROM oe0)"""
 )
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """al(qname, read, rname, pos, reverse, unmapped): the first two items of each order as a read pair."""
-    return line_items(spark, sf_dir).where("rn <= 2").select(
-        F.col("l_orderkey").alias("qname"), F.col("rn").alias("read"), (F.col("l_suppkey") % 10).alias("rname"), F.col("l_partkey").alias("pos"), (F.col("l_returnflag") == "R").alias("reverse"), (F.col("l_discount") < 0.01).alias("unmapped")
+    """al(qname, read, rname, pos, reverse, unmapped): items 1 and 2, 3 and 4 ... of each order as read pairs, a last odd one as a mateless read."""
+    return line_items(spark, sf_dir).select(
+        (F.col("l_orderkey") * 1000 + F.floor((F.col("rn") - 1) / 2)).cast("long").alias("qname"),
+        ((F.col("rn") - 1) % 2 + 1).alias("read"),
+        (F.col("l_suppkey") % 10).alias("rname"),
+        F.col("l_partkey").alias("pos"),
+        (F.col("l_returnflag") == "R").alias("reverse"),
+        (F.col("l_discount") < 0.01).alias("unmapped"),
     )
 
 
 ALIGNMENTS_SQL = (
     LINE_ITEMS_SQL
-    + """, al AS (SELECT l_orderkey AS qname, rn AS read, l_suppkey % 10 AS rname, l_partkey AS pos, l_returnflag = 'R' AS reverse, l_discount < 0.01 AS unmapped FROM li WHERE rn <= 2)"""
+    + """, al AS (SELECT l_orderkey * 1000 + (rn - 1) // 2 AS qname, (rn - 1) % 2 + 1 AS read, l_suppkey % 10 AS rname, l_partkey AS pos, l_returnflag = 'R' AS reverse, l_discount < 0.01 AS unmapped FROM li)"""
 )
 
 

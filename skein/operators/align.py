@@ -19,10 +19,16 @@ def _masks(s: str) -> np.ndarray:
     return _MASK[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
 
 
+def _fits(x, y):
+    """Whether one of two sets of bases holds the other."""
+    both = x | y
+    return (both == x) | (both == y)
+
+
 def global_alignment(a: str, b: str) -> tuple[str, int, int]:
     """L1: (consensus, matches, columns) of the best global alignment with affine gaps.
 
-    Bases match if their IUPAC sets meet; the consensus has the union of both, lower case
+    Bases match if one's IUPAC set holds the other's; the consensus has the union of both, lower case
     where one has a gap. Rows run along anti-diagonals, so each is one vector operation."""
     x, y = _masks(a), _masks(b)
     n, m = len(x), len(y)
@@ -31,7 +37,7 @@ def global_alignment(a: str, b: str) -> tuple[str, int, int]:
     best[0, 0, 0] = 0
     best[1, 1:, 0] = GAP_OPEN + GAP_EXTEND * np.arange(n)
     best[2, 0, 1:] = GAP_OPEN + GAP_EXTEND * np.arange(m)
-    score = np.where((x[:, None] & y[None, :]) > 0, MATCH, MISMATCH)
+    score = np.where(_fits(x[:, None], y[None, :]), MATCH, MISMATCH)
     for d in range(2, n + m + 1):
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
         j = d - i
@@ -42,7 +48,7 @@ def global_alignment(a: str, b: str) -> tuple[str, int, int]:
     while i or j:
         here = best[state, i, j]
         if state == 0:
-            matches += bool(x[i - 1] & y[j - 1])
+            matches += bool(_fits(x[i - 1], y[j - 1]))
             out.append(_CODE.get(int(x[i - 1] | y[j - 1]), "N"))
             i, j = i - 1, j - 1
             state = int(best[:, i, j].argmax())
@@ -82,7 +88,7 @@ def overlap_alignment(a: str, b: str, match: int = 1, mismatch: int = -2, gap: i
     i, j, matches = n, end, 0
     while i and j:
         if h[i, j] == h[i - 1, j - 1] + score[i - 1, j - 1]:
-            matches += bool(x[i - 1] & y[j - 1])
+            matches += bool(_fits(x[i - 1], y[j - 1]))
             i, j = i - 1, j - 1
         elif h[i, j] == h[i - 1, j] + gap:
             i -= 1

@@ -341,8 +341,7 @@ _O = f"WITH {X.ORIENTED_SQL}, e AS (SELECT src AS u, dst AS v FROM oe), od AS (S
 
 @query(_O + " SELECT u, v FROM e")
 def graph_complements(spark, sf_dir):
-    e = _oe(spark, sf_dir)
-    return C.add_complements(e)
+    return C.add_complements(X.oriented_links(spark, sf_dir).toDF("u", "v"))
 
 
 @query(_O + " SELECT w, CAST(outs AS BIGINT) AS outs, CAST(ins AS BIGINT) AS ins FROM dg")
@@ -459,7 +458,8 @@ def graph_assemble_paths(spark, sf_dir):
 
 
 def _contig_lengths(spark, sf_dir):
-    return X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("contig_id"), (F.col("p_size") * 20).cast("long").alias("length"))
+    part = X.table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    return part.select((F.col("p_partkey") * 10 + F.col("i")).alias("contig_id"), (F.col("p_size") * 20).cast("long").alias("length"))
 
 
 def _scaffold_input(spark, sf_dir):
@@ -679,20 +679,26 @@ def path_overlaps(spark, sf_dir):
     return P.path_overlaps(_paths(spark, sf_dir), 3)
 
 
-_LEN = "ln AS (SELECT p_partkey AS c, p_size * 20 AS length FROM part)"
+_LEN = "ln AS (SELECT p_partkey * 10 + i AS c, p_size * 20 AS length FROM part, range(10) t(i))"
+#: Longest walks; the graph of the tables has cycles of no length, which a walk does not follow twice.
+_WALK = 300
 
 
 @query(
-    _E
-    + f""", {_LEN}, pr AS (SELECT DISTINCT u, v FROM e WHERE distance > 20), one AS (SELECT pr.u, pr.v, x.distance AS d, [pr.u, pr.v] AS nodes FROM pr JOIN e x ON x.u = pr.u AND x.v = pr.v WHERE x.distance <= 900),
- two AS (SELECT pr.u, pr.v, x.distance + length + y.distance AS d, [pr.u, x.v, pr.v] AS nodes FROM pr JOIN e x ON x.u = pr.u JOIN e y ON y.u = x.v AND y.v = pr.v JOIN ln ON c = x.v WHERE x.v <> pr.v AND x.distance + length <= 900 AND x.distance + length + y.distance <= 900),
- alls AS (SELECT * FROM one UNION ALL SELECT * FROM two) SELECT u, v, array_to_string(nodes, ' ') AS nodes, CAST(d AS BIGINT) AS distance FROM alls"""
+    "WITH RECURSIVE" + _E.removeprefix("WITH")
+    + f""", {_LEN}, pr AS (SELECT DISTINCT u, v FROM e WHERE distance > 20),
+ w AS (SELECT pr.u, pr.v, pr.u AS last, CAST(0 AS BIGINT) AS d, [pr.u] AS nodes, [{{'w': pr.u, 'd': CAST(0 AS BIGINT)}}] AS trail, false AS fin FROM pr
+  UNION ALL SELECT w.u, w.v, e.v, CAST(w.d + e.distance + CASE WHEN e.v = w.v THEN 0 ELSE ln.length END AS BIGINT), list_append(w.nodes, e.v), list_append(w.trail, {{'w': e.v, 'd': CAST(w.d + e.distance + ln.length AS BIGINT)}}), e.v = w.v
+   FROM w JOIN e ON e.u = w.last JOIN ln ON ln.c = e.v
+   WHERE NOT w.fin AND (e.v = w.v AND w.d + e.distance <= {_WALK} OR e.v <> w.v AND w.d + e.distance + ln.length <= {_WALK}
+    AND len(list_filter(w.trail, lambda x: x.w = e.v AND x.d >= w.d + e.distance + ln.length)) = 0)),
+ f AS (SELECT *, count(*) OVER (PARTITION BY u, v) AS m FROM w WHERE fin)
+ SELECT u, v, array_to_string(nodes, ' ') AS nodes, d AS distance FROM f WHERE m <= 200"""
 )
 def constrained_walks(spark, sf_dir):
     e = _est(spark, sf_dir)
     pairs = e.where("distance > 20").select(F.struct("u", "v").alias("pair"), "u", "v").distinct()
-    lengths = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("w"), (F.col("p_size") * 20).cast("long").alias("length"))
-    found = P.walks(e, pairs, lengths, 900, 2, most_walks=None)
+    found = P.walks(e, pairs, _contig_lengths(spark, sf_dir).withColumnRenamed("contig_id", "w"), _WALK, most_steps=None)
     return found.select("pair.u", "pair.v", F.array_join(F.transform("nodes", lambda w: w.cast("string")), " ").alias("nodes"), "distance")
 
 
