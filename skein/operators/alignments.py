@@ -88,11 +88,30 @@ def linking_fragments(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
     return met.select(u.alias("u"), v.alias("v"), a0.alias("begin"), (F.col("length") + a1).alias("end")).distinct().select("u", "v", (F.col("end") - F.col("begin")).alias("size"))
 
 
+def _agreeing(hist: DataFrame, shift: DataFrame, pmf: DataFrame) -> DataFrame:
+    """u, v, n: how many fragments (u, v, value, n), moved by their pair's distance, have a size of more than the least probability."""
+    least = pmf.agg(F.min("p")).first()[0]
+    likely = pmf.where(F.col("p") > (least or 0.0)).select(F.col("value").cast("long").alias("at"))
+    moved = hist.join(shift, ["u", "v"]).withColumn("at", F.col("value") + F.col("distance"))
+    return moved.join(likely, "at", "left_semi").groupBy("u", "v").agg(F.sum("n").alias("n"))
+
+
+def _supported(hist: DataFrame, shift: DataFrame, pmf: DataFrame, least_pairs: int) -> DataFrame:
+    """u, v, distance, n of the pairs of which least_pairs fragments or more agree with the population."""
+    return shift.join(_agreeing(hist, shift, pmf), ["u", "v"]).where(F.col("n") >= least_pairs).select("u", "v", "distance", "n")
+
+
+def _sizes(fragments: DataFrame) -> DataFrame:
+    return fragments.groupBy("u", "v", F.col("size").alias("value")).agg(F.count("*").alias("n"))
+
+
 def estimate_by_mean(fragments: DataFrame, pmf: DataFrame, least_pairs: int = 1) -> DataFrame:
-    """U, v, distance, n: rounded difference of the population's and the sample's mean."""
+    """U, v, distance, n: rounded difference of the population's and the sample's mean, and how many fragments agree
+    with the population then: those of a size of more than its least probability."""
     mean = pmf.agg(F.sum(F.col("value") * F.col("p")) / F.sum("p")).first()[0]
-    e = fragments.groupBy("u", "v").agg(F.count("*").alias("n"), F.avg("size").alias("m")).where(F.col("n") >= least_pairs)
-    return e.select("u", "v", F.round(F.lit(mean) - F.col("m")).cast("long").alias("distance"), "n")
+    hist = _sizes(fragments)
+    shift = hist.groupBy("u", "v").agg(F.round(F.lit(mean) - F.sum(F.col("value") * F.col("n")) / F.sum("n")).cast("long").alias("distance"))
+    return _supported(hist, shift, pmf, least_pairs)
 
 
 def estimate_by_median(fragments: DataFrame, pmf: DataFrame, least_pairs: int = 1) -> DataFrame:
@@ -101,9 +120,9 @@ def estimate_by_median(fragments: DataFrame, pmf: DataFrame, least_pairs: int =
 
     total = pmf.select("value", (F.col("p") * 1e12).cast("long").alias("n"))
     median = percentiles(total, [0.5]).first()[0]
-    hist = fragments.groupBy("u", "v", F.col("size").alias("value")).agg(F.count("*").alias("n"))
-    e = percentiles(hist, [0.5], ["u", "v"]).join(hist.groupBy("u", "v").agg(F.sum("n").alias("n")), ["u", "v"]).where(F.col("n") >= least_pairs)
-    return e.select("u", "v", (F.lit(median) - F.col("p50")).cast("long").alias("distance"), "n")
+    hist = _sizes(fragments)
+    shift = percentiles(hist, [0.5], ["u", "v"]).select("u", "v", (F.lit(median) - F.col("p50")).cast("long").alias("distance"))
+    return _supported(hist, shift, pmf, least_pairs)
 
 
 #: Sizes that are laid against all distances at once.

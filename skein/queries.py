@@ -544,22 +544,25 @@ def linking_fragments(spark, sf_dir):
     return A.linking_fragments(_pairs(spark, sf_dir), _targets(spark))
 
 
-def _flat(spark):
-    return spark.range(250_000).select(F.col("id").alias("value"), F.lit(1.0).alias("p"))
+def _population(spark):
+    """Sizes from 0 to 249,999 of which the middle ones are twice as likely."""
+    return spark.range(250_000).select(F.col("id").alias("value"), F.when(F.col("id").between(100_000, 149_999), 2.0).otherwise(1.0).alias("p"))
 
 
-@query(_LINKS + " SELECT u, v, CAST(round(124999.5 - avg(e - b)) AS BIGINT) AS distance, count(*) AS n FROM f GROUP BY 1, 2 HAVING count(*) >= 3")
+@query(_LINKS + """, m AS (SELECT u, v, CAST(round(124999.5 - avg(e - b)) AS BIGINT) AS distance FROM f GROUP BY 1, 2)
+ SELECT f.u, f.v, distance, count(*) AS n FROM f JOIN m ON f.u = m.u AND f.v = m.v WHERE e - b + distance BETWEEN 100000 AND 149999 GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
 def distance_by_mean(spark, sf_dir):
-    return A.estimate_by_mean(A.linking_fragments(_pairs(spark, sf_dir), _targets(spark)), _flat(spark), 3)
+    return A.estimate_by_mean(A.linking_fragments(_pairs(spark, sf_dir), _targets(spark)), _population(spark), 3)
 
 
 @query(
     _LINKS
     + """, h AS (SELECT u, v, e - b AS value, count(*) AS n FROM f GROUP BY 1, 2, 3), r AS (SELECT *, sum(n) OVER (PARTITION BY u, v ORDER BY value) AS run, sum(n) OVER (PARTITION BY u, v) AS total FROM h)
- SELECT u, v, CAST(124999 - min(value) FILTER (run >= ceil(0.5::DOUBLE * total)) AS BIGINT) AS distance, CAST(any_value(total) AS BIGINT) AS n FROM r GROUP BY 1, 2 HAVING any_value(total) >= 3"""
+, m AS (SELECT u, v, CAST(124999 - min(value) FILTER (run >= ceil(0.5::DOUBLE * total)) AS BIGINT) AS distance FROM r GROUP BY 1, 2)
+ SELECT f.u, f.v, distance, count(*) AS n FROM f JOIN m ON f.u = m.u AND f.v = m.v WHERE e - b + distance BETWEEN 100000 AND 149999 GROUP BY 1, 2, 3 HAVING count(*) >= 3"""
 )
 def distance_by_median(spark, sf_dir):
-    return A.estimate_by_median(A.linking_fragments(_pairs(spark, sf_dir), _targets(spark)), _flat(spark), 3)
+    return A.estimate_by_median(A.linking_fragments(_pairs(spark, sf_dir), _targets(spark)), _population(spark), 3)
 
 
 @query()

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from skein.functions.sequence import has_flag, quality_64_to_33, reverse_complement
+from skein.plans.iterate import materialize
 
 READ_SCHEMA = "id string, comment string, seq string, qual string"
 
@@ -28,27 +29,33 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], chastity: bool = True) -> DataFrame:
-    """Id, comment, seq, qual of FASTQ records; malformed ones (no '+', lengths that differ) are dropped.
+    """Id, comment, seq, qual of FASTQ records of four lines, from plain or compressed files.
 
-    Records are cut at a line that starts with '@' after a quality line, which '+' two lines before
-    tells from a quality that starts with '@'. Comments of the form 1:Y:0:IDX mark filtered reads, dropped if
-    chastity, and give the read number."""
+    A file is one task's, which holds its text: a quality line may begin as a record does, so a file cannot be cut
+    anywhere. Blank lines between records are passed over and records whose lengths differ are dropped; any other line out
+    of place and a missing '+' are errors, as what follows could not be told apart. Comments of the form 1:Y:0:IDX mark filtered reads,
+    dropped if chastity, and give the read number."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rows = []
-            for content in x["content"].to_pylist():
-                lines = content.decode("latin-1").split("\n")
-                for i in range(0, len(lines) - 3, 4):
-                    head, seq, plus, qual = (s.rstrip("\r") for s in lines[i : i + 4])
-                    if head[:1] == "@" and plus[:1] == "+" and len(seq) == len(qual):
+            for content, file in zip(x["value"].to_pylist(), x["file"].to_pylist(), strict=True):
+                rows, lines, i = [], [s.rstrip("\r") for s in content.split("\n")], 0
+                while i < len(lines):
+                    if not lines[i]:
+                        i += 1
+                        continue
+                    head, seq, plus, qual = (lines[i : i + 4] + [""] * 4)[:4]
+                    if head[0] != "@" or plus[:1] != "+":
+                        raise ValueError(f"{file}: no FASTQ record at line {i + 1}")
+                    if len(seq) == len(qual):
                         name, _, comment = head[1:].partition(" ")
                         rows.append((name, comment or None, seq, qual))
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["id", "comment", "seq", "qual"])
+                    i += 4
+                columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["id", "comment", "seq", "qual"])
 
     paths = [path] if isinstance(path, str) else path
-    df = spark.read.format("binaryFile").load(paths).select("content").mapInArrow(parse, READ_SCHEMA)
+    df = spark.read.text(paths, wholetext=True).select("value", F.input_file_name().alias("file")).mapInArrow(parse, READ_SCHEMA)
     return casava(df, chastity)
 
 
@@ -202,6 +209,39 @@ def read_dist(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return side(0, "+").union(side(1, "-"))
 
 
+def numbered(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A read graph as operators and writers take it: (contigs(contig_id, name ...), edges(u, v ...)) of vertices (name ...) and edges
+    (u, v ...) between names with + or -. A vertex becomes 2 * contig_id + strand; contig_ids are unique, with
+    gaps. Names that only edges have are contigs too, with nulls. Of parallel edges all stay."""
+    plain = lambda c: F.expr(f"left({c}, length({c}) - 1)")
+    names = vertices.select("name").union(edges.select(plain("u"))).union(edges.select(plain("v"))).distinct()
+    ids = materialize(names.withColumn("contig_id", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    end = lambda x: ids.select(F.col("name").alias(f"__{x}"), (F.col("contig_id") * 2).alias(f"__id_{x}"))
+    met = edges.withColumns({"__u": plain("u"), "__v": plain("v")}).join(end("u"), "__u").join(end("v"), "__v")
+    strand = lambda c: F.when(F.col(c).endswith("-"), F.lit(1)).otherwise(F.lit(0))
+    e = met.withColumns({"u": F.col("__id_u") + strand("u"), "v": F.col("__id_v") + strand("v")}).select(*edges.columns)
+    return ids.join(vertices, "name", "left"), e
+
+
+def named(contigs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The inverse of numbered() for edges: u and v as names with + or -, by contigs (contig_id, name)."""
+    end = lambda x: contigs.select(F.col("contig_id").alias(f"__{x}"), F.col("name").alias(f"__name_{x}"))
+    met = edges.withColumns({"__u": F.shiftright("u", 1), "__v": F.shiftright("v", 1)}).join(end("u"), "__u").join(end("v"), "__v")
+    sign = lambda c: F.when(F.col(c) % 2 == 1, "-").otherwise("+")
+    return met.withColumns({"u": F.concat("__name_u", sign("u")), "v": F.concat("__name_v", sign("v"))}).select(*edges.columns)
+
+
+def numbered_paths(paths: DataFrame, contigs: DataFrame) -> DataFrame:
+    """path_id, nodes of read paths (path_id, nodes as names with + or -, runs of N as 12N) as numbers, by contigs (contig_id, name): vertices,
+    and gaps as negative lengths, as merge_contigs() takes them."""
+    each = paths.select("path_id", F.posexplode("nodes").alias("at", "n"))
+    gap = F.col("n").rlike("^[0-9]+N$")
+    size = F.expr("left(n, length(n) - 1)")
+    met = each.select("path_id", "at", "n", gap.alias("gap"), size.alias("name")).join(contigs.select("name", "contig_id"), "name", "left")
+    vertex = F.when(F.col("gap"), -F.col("name").try_cast("long")).otherwise(F.col("contig_id") * 2 + F.when(F.col("n").endswith("-"), 1).otherwise(0))
+    return met.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("at", vertex.alias("w")))).alias("x")).select("path_id", F.transform("x", lambda s: s["w"]).alias("nodes"))
+
+
 def read_histogram(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Value, n of a two-column file."""
     return spark.read.csv(path, sep="\t", schema="value long, n long")

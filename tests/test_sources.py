@@ -90,3 +90,33 @@ def test_assembly_plan(spark):
     assert [r.seq for r in u.collect()] == [min(g, rc)]
     assert [r.seq for r in assembly.contigs_of(u, p).collect()] == [min(g, rc)]
     assert assembly.statistics({"unitigs": u}, 100).first()["n50"] == 500
+
+
+def test_compressed_and_broken_fastq(spark, tmp_path):
+    import gzip
+
+    import pytest
+
+    with gzip.open(tmp_path / "a.fastq.gz", "wt") as f:
+        f.write("@r1 1:N:0:A\nACGT\n+\n@III\n\n@r2\nAC\n+r2\n@@\n")
+    got = [(r.id, r.seq, r.qual) for r in R.read_fastq(spark, str(tmp_path / "a.fastq.gz")).orderBy("id").collect()]
+    assert got == [("r1/1", "ACGT", "@III"), ("r2", "AC", "@@")]
+    (tmp_path / "b.fastq").write_text("@r1\nACGT\n+\nIIII\nACGT\n@r2\nAC\n+\nII\n")
+    with pytest.raises(Exception, match="no FASTQ record at line 5"):
+        R.read_fastq(spark, str(tmp_path / "b.fastq")).collect()
+
+
+def test_a_read_graph_is_rewritten_and_named_again(spark, tmp_path):
+    from skein.operators import contigs as C
+
+    (tmp_path / "g.adj").write_text("x 10 2\t; y+ z-\t;\ny 12 3\t;\t; x-\nz 9 1\t; x-\t;\n")
+    vertices, edges = R.read_adj(spark, str(tmp_path / "g.adj"))
+    contigs, e = R.numbered(vertices, edges)
+    assert {r.name: r.length for r in contigs.collect()} == {"x": 10, "y": 12, "z": 9}
+    ids = {r.name: r.contig_id for r in contigs.collect()}
+    assert all(isinstance(r.u, int) for r in e.collect())
+    closed = C.add_complements(e.select("u", "v").distinct())
+    back = {(r.u, r.v) for r in R.named(contigs, closed).collect()}
+    assert {("x+", "y+"), ("x+", "z-"), ("z+", "x-"), ("y-", "x-")} <= back
+    paths = spark.createDataFrame([(1, ["x+", "12N", "z-"])], "path_id long, nodes array<string>")
+    assert R.numbered_paths(paths, contigs).first().nodes == [2 * ids["x"], -12, 2 * ids["z"] + 1]
