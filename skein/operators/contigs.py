@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skein.functions.sequence import reverse_complement
 from skein.operators.debruijn import chains, unambiguous_edges
-from skein.plans.iterate import fixpoint, materialize
+from skein.plans.iterate import NotSettled, fixpoint, materialize
 
 
 def complement(v: Column) -> Column:
@@ -206,7 +206,7 @@ def invalid_edges(e: DataFrame, contigs: DataFrame) -> DataFrame:
     return met.where((F.col("distance") + F.col("la") <= 0) | (F.col("distance") + F.col("lb") <= 0)).select(*e.columns)
 
 
-def remove_shims(e: DataFrame, contigs: DataFrame, longest: int, most_degree: int, least_overlap: int, max_rounds: int = 20) -> DataFrame:
+def remove_shims(e: DataFrame, contigs: DataFrame, longest: int, most_degree: int, least_overlap: int, max_rounds: int = 1000) -> DataFrame:
     """C14: without short contigs that only link others: each is replaced by edges between its neighbours.
 
     A shim is at most `longest` long, has 1 to most_degree edges at its smaller side, is not its own
@@ -225,14 +225,14 @@ def remove_shims(e: DataFrame, contigs: DataFrame, longest: int, most_degree: in
         beaten = near.join(ranked, "a").join(ranked.select(F.col("a").alias("b"), F.col("rank").alias("other")), "b").where("a <> b and other < rank").select("a").distinct()
         gone = materialize(ranked.join(beaten, "a", "left_anti").select((F.col("a") * 2).alias("w")))
         if gone.isEmpty():
-            break
+            return e
         both = gone.union(gone.select(complement(F.col("w"))))
         a = e.join(both.withColumnRenamed("w", "v"), "v", "left_semi").select("u", F.col("v").alias("w"), F.col("distance").alias("d1"))
         b = e.join(both.withColumnRenamed("w", "u"), "u", "left_semi").select(F.col("u").alias("w"), "v", F.col("distance").alias("d2"))
         length = size.union(size.select(complement(F.col("w")), "length"))
         bridged = a.join(b, "w").join(length, "w").select("u", "v", (F.col("d1") + F.col("d2") + F.col("length")).cast("long").alias("distance")).where(F.col("distance") <= -least_overlap)
         e = drop_vertices(e, gone).select("u", "v", "distance").union(bridged).groupBy("u", "v").agg(F.min("distance").alias("distance"))
-    return e
+    raise NotSettled(f"shims still go after {max_rounds} rounds")
 
 
 def filter_graph(e: DataFrame, contigs: DataFrame, k: int, least_length: int = 0, most_length: int = 0, least_coverage: float = 0, most_coverage: float = 0, drop_islands: bool = False, tip_length: int = 0) -> tuple[DataFrame, DataFrame]:
