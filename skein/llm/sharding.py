@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from skein.plans.iterate import materialize
+from skein.plans.iterate import shared_folder
 
 SHARDS = 16
 
@@ -39,9 +39,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ).withColumn("place", F.monotonically_increasing_id())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", "text_crc32", "size", "place"]
-    ordered = materialize(
-        narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("place").withColumn("pid", F.spark_partition_id())
-    )
+    ordered = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("place").withColumn("pid", F.spark_partition_id())
+    shared_folder(docs.sparkSession)
+    ordered = ordered.checkpoint(eager=True)  # unlike a written table, it keeps partitions and their order
     totals = sorted(ordered.groupBy("pid").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect())
     offsets, done, rows = {}, 0, 0
     for pid, b, n in totals:
