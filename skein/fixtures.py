@@ -82,20 +82,20 @@ ESTIMATES_SQL = (
 )
 
 
-def oriented_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """oe0(src, dst): contigs that follow each other in orders, oriented; not closed under complement.
+def oriented_links(spark: SparkSession, sf_dir: str, apart: int = 1) -> DataFrame:
+    """oe0(src, dst): contigs that follow each other in orders, or so many items apart, oriented; not closed under complement.
 
     A vertex is 2 * contig + strand, as everywhere in skein; its complement is the vertex xor 1."""
     li = line_items(spark, sf_dir)
     nxt = Window.partitionBy("l_orderkey").orderBy("rn")
     vertex = F.col("contig") * 2 + (F.col("l_returnflag") == "R").cast("long")
-    steps = li.select(F.col("contig").alias("a"), F.lead("contig").over(nxt).alias("b"), vertex.alias("src"), F.lead(vertex).over(nxt).alias("dst"))
+    steps = li.select(F.col("contig").alias("a"), F.lead("contig", apart).over(nxt).alias("b"), vertex.alias("src"), F.lead(vertex, apart).over(nxt).alias("dst"))
     return steps.where("b is not null and a <> b").select("src", "dst").distinct()
 
 
-def oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+def oriented(spark: SparkSession, sf_dir: str, apart: int = 1) -> DataFrame:
     """oe(src, dst): oriented_links() closed under complement."""
-    e = oriented_links(spark, sf_dir)
+    e = oriented_links(spark, sf_dir, apart)
     return e.union(e.select(F.col("dst").bitwiseXOR(F.lit(1)), F.col("src").bitwiseXOR(F.lit(1)))).distinct()
 
 
@@ -108,6 +108,13 @@ oe AS (SELECT src, dst FROM oe0 UNION SELECT xor(dst, 1), xor(src, 1) FROM oe0)"
 )
 
 
+#: sk(src, dst): as oe, of items two apart.
+SKIPPING_SQL = """sk0 AS (SELECT DISTINCT a.contig * 2 + CAST(a.l_returnflag = 'R' AS BIGINT) AS src, b.contig * 2 + CAST(b.l_returnflag = 'R' AS BIGINT) AS dst
+ FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND b.rn = a.rn + 2
+ WHERE a.contig <> b.contig),
+sk AS (SELECT src AS u, dst AS v FROM sk0 UNION SELECT xor(dst, 1), xor(src, 1) FROM sk0)"""
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """al(qname, read, rname, pos, reverse, unmapped): items 1 and 2, 3 and 4 ... of each order as read pairs, a last odd one as a mateless read."""
     return line_items(spark, sf_dir).select(

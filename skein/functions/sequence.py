@@ -135,6 +135,17 @@ def mate_name(name: Column) -> Column:
     return F.when(name.startswith("SRR"), name).otherwise(out)
 
 
+def strand_flip(name: Column, seq: Column) -> Column:
+    """a strand-specific library's read turned to its transcript's strand: first reads of pairs, whose names end in /1, are
+    reverse-complemented. A null name is no first read."""
+    return F.when(name.endswith("/1"), reverse_complement(seq)).otherwise(seq)
+
+
+def max_length_trim(seq: Column, longest: int) -> Column:
+    """F16: the first `longest` bases, or qualities, of each read; shorter ones stay whole."""
+    return F.left(seq, F.lit(longest))
+
+
 def count_acgt(seq: Column) -> Column:
     """number of unambiguous bases."""
     return F.length(F.regexp_replace(seq, "[^ACGTacgt]", ""))

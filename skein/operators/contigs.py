@@ -93,6 +93,33 @@ def reduce_transitive(e: DataFrame) -> DataFrame:
     return drop_edges(e, transitive_edges(e))
 
 
+def layout(e: DataFrame, vertices: DataFrame | None = None, reduce: bool = True) -> DataFrame:
+    """Paths (head, nodes) of an overlap graph: of the vertices (w) that are given, or all, without transitive
+    edges if they are to be reduced, assembled where no end leaves a choice."""
+    if vertices is not None:
+        both = vertices.select("w").union(vertices.select(complement(F.col("w")))).distinct()
+        e = e.join(both.select(F.col("w").alias("u")), "u", "left_semi").join(both.select(F.col("w").alias("v")), "v", "left_semi").select(*e.columns)
+    return assemble_paths(reduce_transitive(e) if reduce else e)
+
+
+def junctions(e: DataFrame, scaffold: DataFrame) -> DataFrame:
+    """U, v, w: a vertex v with one predecessor u and one successor w, where the scaffold graph (u, v) has the edge (u, w).
+
+    A vertex has one such row at most, so nothing grows with a hot vertex's degree."""
+    near = e.select("u", "v")
+    before = near.groupBy("v").agg(F.count("*").alias("ins"), F.min("u").alias("u")).where("ins = 1").select(F.col("v").alias("m"), "u")
+    after = near.groupBy("u").agg(F.count("*").alias("outs"), F.min("v").alias("w")).where("outs = 1").select(F.col("u").alias("m"), "w")
+    through = before.join(after, "m").select("u", F.col("m").alias("v"), "w")
+    return through.join(scaffold.select("u", F.col("v").alias("w")), ["u", "w"], "left_semi").select("u", "v", "w")
+
+
+def junction_paths(e: DataFrame, scaffold: DataFrame) -> DataFrame:
+    """Paths (head, nodes) along the edges of supported junctions, as far as no end leaves a choice."""
+    found = junctions(e, scaffold)
+    edges = found.select("u", "v").union(found.select("v", F.col("w").alias("v")))
+    return assemble_paths(add_complements(edges))
+
+
 def well_supported(e: DataFrame, n: int) -> DataFrame:
     """Edges of n pairs or more."""
     return e.where(F.col("n") >= n)

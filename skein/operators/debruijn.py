@@ -189,6 +189,20 @@ def assemble_multi(reads: DataFrame, ks: list[int], **options) -> DataFrame:
     return found
 
 
+def oriented_pairs(pairs: DataFrame) -> DataFrame:
+    """Both orientations of paired k-mers (a, b): a, b. The other one has the halves' complements in the other order."""
+    return pairs.select("a", "b").union(pairs.select(reverse_complement(F.col("b")), reverse_complement(F.col("a")))).distinct()
+
+
+def pair_edges(pairs: DataFrame) -> DataFrame:
+    """Oriented edges ua, ub, va, vb of paired k-mers: both halves move on by a base, an equi-join on the two overlaps together."""
+    o = oriented_pairs(pairs)
+    tail, head = (lambda c: F.substr(c, F.lit(2))), (lambda c: F.substr(c, F.lit(1), F.length(c) - 1))
+    out = o.select(F.col("a").alias("ua"), F.col("b").alias("ub"), tail("a").alias("x"), tail("b").alias("y"))
+    into = o.select(F.col("a").alias("va"), F.col("b").alias("vb"), head("a").alias("x"), head("b").alias("y"))
+    return out.join(into, ["x", "y"]).select("ua", "ub", "va", "vb")
+
+
 def graph_statistics(e: DataFrame, vertices: DataFrame) -> DataFrame:
     """out_degree, n: how many vertices (column w) have how many successors in edges (u, v)."""
     degree = e.groupBy(F.col("u").alias("w")).agg(F.count("*").alias("d"))

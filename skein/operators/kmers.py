@@ -139,6 +139,18 @@ def member_windows(seqs: DataFrame, kmers: DataFrame, k: int, key: str, inverse:
     return met.select(key, "pos", (F.col("pos") + k).alias("end"), "kmer")
 
 
+def substitutions(kmers: DataFrame, solid: DataFrame) -> DataFrame:
+    """Kmer, other: the canonical k-mers that are not in the set `solid` (kmer), with each one of it that differs in one base.
+
+    Each different k-mer is asked for once, under its three other bases at every place, so a common one is no hot
+    key; a k-mer with a base other than ACGT has no neighbours. Both strands of `other` are one k-mer."""
+    missing = kmers.select("kmer").distinct().join(solid, "kmer", "left_anti")
+    places = missing.where(~F.col("kmer").rlike("[^ACGT]")).select("kmer", F.posexplode(F.split("kmer", "")).alias("at", "own"))
+    each = places.where("own <> ''").select("kmer", "at", "own", F.explode(F.array(*map(F.lit, "ACGT"))).alias("base")).where("base <> own")
+    near = each.select("kmer", canonical(F.overlay("kmer", "base", F.col("at") + 1, F.lit(1))).alias("other")).distinct()
+    return near.join(solid.select(F.col("kmer").alias("other")), "other", "left_semi").select("kmer", "other")
+
+
 def solid_runs(reads: DataFrame, kmers: DataFrame, k: int, key: str, seq: str = "seq") -> DataFrame:
     """Maximal runs of windows in a k-mer set, by gaps and islands: key, start, n (windows)."""
     hits = member_windows(reads, kmers, k, key, seq=seq)

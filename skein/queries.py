@@ -153,6 +153,16 @@ def kmer_pair_counts(spark, sf_dir):
     return K.kmer_pairs(X.contigs(spark, sf_dir), 4, 20)
 
 
+@query(
+    f"""WITH {X.contigs_sql('benchmark', 'item_id')}, {_canon_sql(9)}, n AS (SELECT kmer, count(*) AS n FROM canon GROUP BY 1), solid AS (SELECT kmer FROM n WHERE n >= 2), missing AS (SELECT kmer FROM n WHERE n < 2),
+ p AS (SELECT kmer, unnest(range(1, 10)) AS i FROM missing), near AS (SELECT kmer, substr(kmer, 1, i - 1) || b || substr(kmer, i + 1) AS x FROM p, (VALUES ('A'), ('C'), ('G'), ('T')) t(b) WHERE substr(kmer, i, 1) <> b)
+ SELECT DISTINCT kmer, least(x, {_RC.format('x')}) AS other FROM near WHERE least(x, {_RC.format('x')}) IN (SELECT kmer FROM solid)"""
+)
+def kmer_substitutions(spark, sf_dir):
+    c = X.contigs(spark, sf_dir, "benchmark", "item_id")
+    return K.substitutions(K.kmer_set(c, 9), K.kmer_set(c, 9, 2))
+
+
 # --- de Bruijn graph ----------------------------------------------------------------------------------------
 
 _DBG = f"""WITH {X.contigs_sql('benchmark', 'item_id')}, {_canon_sql(9)}, k AS (SELECT DISTINCT kmer FROM canon),
@@ -193,6 +203,15 @@ def dbg_unambiguous_edges(spark, sf_dir):
     return e.where(F.col("u") != S.reverse_complement(F.col("v")))
 
 
+@query(
+    f"""WITH {X.contigs_sql('benchmark', 'item_id')}, {_windows_sql(20)}, f AS (SELECT DISTINCT substr(w, 1, 5) AS a, substr(w, 16, 5) AS b FROM wins), o AS (SELECT a, b FROM f UNION SELECT {_RC.format('b')}, {_RC.format('a')} FROM f),
+ d AS (SELECT o.a, o.b, count(n.a) AS d FROM o LEFT JOIN o n ON substr(n.a, 1, 4) = substr(o.a, 2) AND substr(n.b, 1, 4) = substr(o.b, 2) GROUP BY 1, 2) SELECT d AS out_degree, count(*) AS n FROM d GROUP BY 1"""
+)
+def dbg_pair_statistics(spark, sf_dir):
+    pairs = K.kmer_pairs(X.contigs(spark, sf_dir, "benchmark", "item_id"), 5, 20)
+    return G.graph_statistics(G.pair_edges(pairs).select(F.struct("ua", "ub").alias("u")), G.oriented_pairs(pairs).select(F.struct(F.col("a").alias("ua"), F.col("b").alias("ub")).alias("w")))
+
+
 @query()
 def dbg_unitigs(spark, sf_dir):
     return G.unitigs(K.count_kmers(X.contigs(spark, sf_dir, "benchmark", "item_id"), 15))
@@ -310,6 +329,17 @@ def quality_mask(spark, sf_dir):
     return X.reads(spark, sf_dir).select("id", S.quality_mask(F.col("seq"), F.col("qual"), 15).alias("seq"))
 
 
+@query(f"WITH {X.READS_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN {_RC.format('seq')} ELSE seq END AS seq FROM reads")
+def strand_flip(spark, sf_dir):
+    name = F.concat(F.col("id").cast("string"), F.lit("/"), (F.col("id") % 2 + 1).cast("string"))
+    return X.reads(spark, sf_dir).select("id", S.strand_flip(name, F.col("seq")).alias("seq"))
+
+
+@query(f"WITH {X.READS_SQL} SELECT id, substr(seq, 1, 100) AS seq, substr(qual, 1, 100) AS qual FROM reads")
+def max_length_trim(spark, sf_dir):
+    return X.reads(spark, sf_dir).select("id", S.max_length_trim(F.col("seq"), 100).alias("seq"), S.max_length_trim(F.col("qual"), 100).alias("qual"))
+
+
 @query(f"WITH {X.READS_SQL} SELECT id, regexp_replace(masked, '^[a-z]+|[a-z]+$', '', 'g') AS seq FROM reads")
 def trim_masked(spark, sf_dir):
     return X.reads(spark, sf_dir).select("id", S.trim_masked(F.col("masked")).alias("seq"))
@@ -376,6 +406,21 @@ def graph_transitive_reduction(spark, sf_dir):
     return C.reduce_transitive(_oe(spark, sf_dir))
 
 
+@query(_O + f", {X.SKIPPING_SQL} SELECT a.u, a.v, b.v AS w FROM e a JOIN e b ON b.u = a.v JOIN dg ON dg.w = a.v AND outs = 1 AND ins = 1 JOIN sk ON sk.u = a.u AND sk.v = b.v")
+def graph_junctions(spark, sf_dir):
+    return C.junctions(_oe(spark, sf_dir), X.oriented(spark, sf_dir, 2).toDF("u", "v"))
+
+
+@query()
+def graph_junction_paths(spark, sf_dir):
+    return C.junction_paths(_oe(spark, sf_dir), X.oriented(spark, sf_dir, 2).toDF("u", "v"))
+
+
+@query()
+def graph_layout(spark, sf_dir):
+    return C.layout(_oe(spark, sf_dir))
+
+
 @query(_E + " SELECT a.u, a.v, a.n, a.distance FROM e a JOIN e b ON a.u = b.v AND a.v = b.u")
 def graph_two_cycles(spark, sf_dir):
     return C.two_cycles(_est(spark, sf_dir))

@@ -222,3 +222,50 @@ def test_repeat_support(spark):
     ways = P.repeat_paths(e).where("r = 2")
     got = {(r.a, r.b): r.state for r in P.path_support(ways, c, reads_of(spark, g, 80, 3), 40, 10).collect()}
     assert got[0, 4] == "supported" and got[6, 8] == "unsupported"
+
+
+def test_substitutions_against_brute_force(spark):
+    rnd = random.Random(3)
+    g = genome(400, 5)
+    other = "".join(b if rnd.random() > 0.05 else rnd.choice("ACGT") for b in g)
+    kmers = {canon(other[i : i + 9]) for i in range(len(g) - 8)} | {canon(g[i : i + 9]) for i in range(0, 300)}
+    solid = {canon(g[i : i + 9]) for i in range(len(g) - 8)}
+    want = set()
+    for x in kmers - solid:
+        for i in range(9):
+            for b in "ACGT".replace(x[i], ""):
+                y = canon(x[:i] + b + x[i + 1 :])
+                if y in solid:
+                    want.add((x, y))
+    frame = lambda s: spark.createDataFrame([(x,) for x in s], "kmer string")
+    got = [tuple(r) for r in K.substitutions(frame([*kmers, *kmers, "ACGTNACGT"]), frame(solid)).collect()]
+    assert want and sorted(got) == sorted(want)
+    assert K.substitutions(frame([]), frame([])).count() == 0
+
+
+def test_pair_edges_against_brute_force(spark):
+    g = genome(200, 8)
+    pairs = K.kmer_pairs(spark.createDataFrame([(g,)], "seq string"), 3, 10)
+    both = {(g[i : i + 3], g[i + 7 : i + 10]) for i in range(len(g) - 9)}
+    both |= {(rc(b), rc(a)) for a, b in both}
+    want = {(a, b, x, y) for a, b in both for x, y in both if a[1:] == x[:-1] and b[1:] == y[:-1]}
+    got = [tuple(r) for r in G.pair_edges(pairs).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_junctions_and_layout(spark):
+    # 0 - 2 - 4 is a chain through 2; 6 has two successors, so 8 has no say over it
+    e = [(0, 2), (2, 4), (6, 8), (6, 10), (8, 12)]
+    closed = e + [(v ^ 1, u ^ 1) for u, v in e]
+    frame = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    graph = frame(closed)
+    found = {tuple(r) for r in C.junctions(graph, frame([(0, 4), (6, 12), (0, 8)])).collect()}
+    assert found == {(0, 2, 4), (6, 8, 12)}
+    paths = [r["nodes"] for r in C.junction_paths(graph, frame([(0, 4)])).collect()]
+    assert paths in ([[0, 2, 4]], [[5, 3, 1]])
+    assert C.junctions(graph, frame([])).count() == 0
+    extra = closed + [(0, 4), (5, 1)]
+    forms = lambda rows: {min(tuple(r["nodes"]), tuple(x ^ 1 for x in reversed(r["nodes"]))) for r in rows.collect()}
+    assert forms(C.layout(frame(extra))) == {(0, 2, 4), (8, 12)}
+    assert (0, 2, 4) not in forms(C.layout(frame(extra), reduce=False))
+    assert forms(C.layout(frame(extra), spark.createDataFrame([(0,), (2,)], "w long"))) == {(0, 2)}
