@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from skein.llm.decontamination import WINDOW
 from skein.llm.secrets import BASE, RULES, Rule
+from skein.llm.sharding import SHARDS
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -68,4 +69,22 @@ comp AS (SELECT a, min(b) AS least FROM reach GROUP BY 1)
 SELECT k.doc_id, k.n AS n_shingles, coalesce(comp.least, k.doc_id) AS component_id, coalesce(comp.least, k.doc_id) = k.doc_id AS kept
 FROM k LEFT JOIN c ON k.c = c.c AND k.n > 0 LEFT JOIN comp ON c.rep = comp.a"""
 
-ORACLES = {"op2_decontamination": CONTAMINATION, "op3_secrets": SECRETS, "op6_minhash": NEAR_DUPLICATES}
+
+
+def _crc_step(n: int) -> int:
+    """What four bits of a message add to its reflected CRC-32, whose polynomial is 0xEDB88320."""
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+_NIBBLES = r"list_transform(string_split(regexp_replace(hex(encode(text)), '(.)(.)', '\2\1', 'g'), ''), lambda x: strpos('0123456789ABCDEF', x) - 1)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, {_NIBBLES}), lambda c, x: xor(c >> 4, {[_crc_step(n) for n in range(16)]}[(xor(c, x) & 15) + 1])), 4294967295)"
+
+SHARDING = f"""
+WITH d AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size, CASE WHEN text = '' THEN 0 ELSE CAST({_CRC} AS BIGINT) END AS text_crc32 FROM documents),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start_byte, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, CAST(start_byte * {SHARDS} // total AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start_byte) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+ORACLES = {"op1_sharding": SHARDING, "op2_decontamination": CONTAMINATION, "op3_secrets": SECRETS, "op6_minhash": NEAR_DUPLICATES}

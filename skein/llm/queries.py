@@ -15,7 +15,7 @@ from skein.llm.language import identify
 from skein.llm.minhash import near_duplicates
 from skein.llm.pii import KINDS, pseudonymise
 from skein.llm.secrets import digest, find_secrets
-from skein.llm.sharding import shard_by_bytes
+from skein.llm.sharding import SHARDS, shard_by_bytes
 from skein.llm.urls import judge
 
 
@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shard_by_bytes(table(spark, sf_dir, "documents"), 16)
+    placed = shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
