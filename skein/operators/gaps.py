@@ -106,11 +106,16 @@ def mask_new(seq, original):
 
 def merge_pairs(pairs: DataFrame, least_match: int = 10, identity: float = 0.9) -> DataFrame:
     """L4: id, seq of read pairs (id, seq1, seq2) that overlap without gaps: of the overlaps of least_match bases or more whose
-    identity is enough, the one with most matches; the first read's base wins."""
-    second = reverse_complement(F.col("seq2"))
-    n = F.least(F.length("seq1"), F.length("seq2"))
-    tried = pairs.select("id", "seq1", second.alias("mate"), n.alias("n")).where(F.col("n") >= least_match).withColumn("o", F.explode(F.sequence(F.lit(least_match), F.col("n"))))
-    same = F.aggregate(F.zip_with(F.split(F.right("seq1", F.col("o")), ""), F.split(F.left("mate", F.col("o")), ""), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    ok = tried.withColumn("same", same).where(F.col("same") >= F.lit(identity) * F.col("o"))
-    best = ok.groupBy("id").agg(F.max(F.struct("same", (-F.col("o")).alias("back"), "seq1", "mate")).alias("x"))
-    return best.select("id", F.concat("x.seq1", F.substr("x.mate", (1 - F.col("x.back")).cast("int"), F.length("x.mate"))).alias("seq"))
+    identity is enough, the one with most matches, and of such the shortest; the first read's base wins. Each pair is judged where
+    it lies, without a shuffle. Null and too short reads are not merged."""
+    first, mate = F.split("seq1", ""), F.split("mate", "")
+    n = F.least(F.length("seq1"), F.length("mate"))
+
+    def judged(o):
+        agree = F.filter(F.zip_with(F.slice(first, F.length("seq1") - o + 1, o), F.slice(mate, 1, o), lambda a, b: a == b), lambda x: x)
+        return F.struct(F.size(agree).alias("same"), (-o).alias("back"))
+
+    turned = pairs.select("id", "seq1", reverse_complement(F.col("seq2")).alias("mate")).where(n >= least_match)
+    tried = F.transform(F.sequence(F.lit(least_match), n), judged)
+    best = turned.select("id", "seq1", "mate", F.array_max(F.filter(tried, lambda x: x["same"] >= F.lit(-identity) * x["back"])).alias("x"))
+    return best.where("x is not null").select("id", F.concat("seq1", F.substr("mate", 1 - F.col("x.back"), F.length("mate"))).alias("seq"))

@@ -6,6 +6,7 @@ its SQL says the same over the adapter's SQL form.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skein import fixtures as X
 from skein.functions import sequence as S
 from skein.operators import align as L, alignments as A, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, paths as P
+from skein.plans.iterate import shared_folder
+from skein.sources import readers as R, writers as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -772,8 +775,148 @@ def overlap_alignment(spark, sf_dir):
     return items.join(nxt, "id").withColumn("x", L.align_overlap(F.col("seq"), F.col("next"))).select("id", "x.*")
 
 
-@query()
+@query(
+    f"""WITH {X.contigs_sql('benchmark', 'item_id', 'items')}, t AS (SELECT contig_id AS item, seq, unnest(range(0, length(seq), 60)) AS start FROM items),
+ p AS (SELECT item, start, substr(seq, start + 1, 60) AS a, substr(seq, start + 31, 60) AS b FROM t), o AS (SELECT *, unnest(range(20, least(length(a), length(b)) + 1)) AS o FROM p),
+ s AS (SELECT *, len(list_filter(range(1, o + 1), lambda j: substr(a, length(a) - o + j, 1) = substr(b, j, 1))) AS same FROM o),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item, start ORDER BY same DESC, o) AS r FROM s WHERE same >= 0.9 * o)
+ SELECT item, start, a || substr(b, o + 1) AS seq FROM r WHERE r = 1"""
+)
 def merge_read_pairs(spark, sf_dir):
-    cut = _items(spark, sf_dir).where(F.length("seq") >= 60)
-    pairs = cut.select("id", F.left("seq", F.lit(60)).alias("seq1"), S.reverse_complement(F.substr("seq", F.lit(31), F.lit(60))).alias("seq2"))
-    return B.merge_pairs(pairs, 20, 0.9)
+    """Pairs of 60 bases from both ends of fragments of 90, which are tiled over the whole of each item."""
+    tiles = _items(spark, sf_dir).where(F.length("seq") > 0).select("id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(60))).alias("start"))
+    second = S.reverse_complement(F.substr("seq", F.col("start") + 31, F.lit(60)))
+    pairs = tiles.select(F.struct("id", F.col("start").cast("long").alias("start")).alias("id"), F.substr("seq", F.col("start") + 1, F.lit(60)).alias("seq1"), second.alias("seq2"))
+    return B.merge_pairs(pairs, 20, 0.9).select(F.col("id.id").alias("item"), "id.start", "seq")
+
+
+# --- files: what writers write, readers read -------------------------------------------------------------------
+
+
+def _written(lines: DataFrame) -> str:
+    """A folder of text files of the lines."""
+    folder = f"{shared_folder(lines.sparkSession)}/lines-{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    return folder
+
+
+@query(f"WITH {X.contigs_sql()} SELECT CAST(contig_id AS VARCHAR) AS id, length(seq) || ' 1' AS comment, seq FROM contigs")
+def fasta_file(spark, sf_dir):
+    lines = W.fasta(X.contigs(spark, sf_dir).withColumn("coverage", F.lit(1)))
+    return R.read_fasta(spark, _written(lines)).select("id", "comment", "seq")
+
+
+@query(f"WITH {X.READS_SQL} SELECT id || '/1' AS id, '1:N:0:A' AS comment, seq, qual FROM reads WHERE left(seq, 1) <> 'A'")
+def fastq_file(spark, sf_dir):
+    """Reads that begin with A are marked as filtered, and chastity drops them."""
+    marked = X.reads(spark, sf_dir).withColumn("comment", F.when(F.left("seq", F.lit(1)) == "A", "1:Y:0:A").otherwise("1:N:0:A"))
+    return R.read_fastq(spark, _written(W.fastq(marked, bx=True))).select("id", "comment", "seq", "qual")
+
+
+@query(
+    f"WITH {X.READS_SQL} SELECT id || '/1' AS id, CASE WHEN left(seq, 1) = 'A' THEN {_RC.format('seq')} ELSE seq END AS seq, CASE WHEN left(seq, 1) = 'A' THEN reverse(qual) ELSE qual END AS qual"
+    " FROM reads WHERE left(seq, 1) NOT IN ('C', 'G') AND seq <> ''"
+)
+def sam_file(spark, sf_dir):
+    """Reads that begin with A lie on the other strand, those with C are secondary and those with G failed."""
+    first = F.left("seq", F.lit(1))
+    flag = F.lit(0x41) + F.when(first == "A", 0x10).when(first == "C", 0x100).when(first == "G", 0x200).otherwise(0)
+    nothing = {c: F.lit(None).cast("string") for c in ("rname", "cigar", "mrnm")} | {c: F.lit(None).cast("long") for c in ("pos", "mpos", "isize")}
+    records = X.reads(spark, sf_dir).where("seq <> ''").withColumnRenamed("id", "qname").withColumns({"flag": flag, "mapq": F.lit(0)} | nothing)
+    return R.sam_reads(R.read_sam(spark, _written(W.sam(records)))).select("id", "seq", "qual")
+
+
+@query(f"WITH {X.READS_SQL} SELECT 'M_1:2:3:' || id || ':0/1' AS id, replace(seq, 'A', 'N') AS seq, qual FROM reads WHERE left(seq, 1) <> 'C'")
+def qseq_file(spark, sf_dir):
+    """Qualities are written from 64 on; reads that begin with C have failed."""
+    up = F.array_join(F.transform(F.filter(F.split("qual", ""), lambda c: F.length(c) > 0), lambda c: F.chr(F.ascii(c) + 31)), "")
+    passed = F.when(F.left("seq", F.lit(1)) == "C", "0").otherwise("1")
+    lines = X.reads(spark, sf_dir).select(F.concat_ws("\t", *map(F.lit, "M123"), "id", *map(F.lit, "0A1"), F.replace("seq", F.lit("A"), F.lit(".")), up, passed).alias("value"))
+    return R.read_qseq(spark, _written(lines)).select("id", "seq", "qual")
+
+
+@query(f"WITH {X.contigs_sql()}, {_canon_sql(9)} SELECT kmer, least(count(*) FILTER (w = kmer), 32767) + least(count(*) FILTER (w <> kmer), 32767) AS n FROM canon GROUP BY 1")
+def kmer_count_file(spark, sf_dir):
+    counts = K.count_kmers(X.contigs(spark, sf_dir), 9)
+    lines = counts.select(F.concat(F.lit(">"), (F.col("cov_fwd") + F.col("cov_rev")).cast("string"), F.lit("\n"), "kmer").alias("value"))
+    return R.read_kmer_counts(spark, _written(lines))
+
+
+@query(f"WITH {X.contigs_sql()} SELECT contig_id, CAST(contig_id AS VARCHAR) AS id, CAST(sum(length(seq)) OVER (ORDER BY contig_id) - length(seq) AS BIGINT) AS \"offset\", CAST(length(seq) AS BIGINT) AS size FROM contigs")
+def fasta_offsets(spark, sf_dir):
+    return R.fasta_index(X.contigs(spark, sf_dir).withColumn("id", F.col("contig_id").cast("string")), "contig_id")
+
+
+@query(
+    f"WITH {X.READS_SQL} SELECT id AS turn, file, CASE file WHEN 0 THEN seq ELSE {_RC.format('seq')} END AS seq FROM reads, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS file)"
+)
+def interleaved_reads(spark, sf_dir):
+    reads = X.reads(spark, sf_dir).select(F.col("id").alias("at"), "seq")
+    return R.interleave(reads, reads.withColumn("seq", S.reverse_complement(F.col("seq")))).select("turn", "file", "seq")
+
+
+@query(f"WITH {X.HISTOGRAM_SQL} SELECT value, n FROM hist")
+def histogram_file(spark, sf_dir):
+    return R.read_histogram(spark, _written(W.table_lines(X.histogram(spark, sf_dir), "\t")))
+
+
+@query(_PATHS + " SELECT CAST(path_id AS VARCHAR) AS path_id, array_to_string(list_transform(nodes, lambda w: w // 2 || CASE WHEN w % 2 = 1 THEN '-' ELSE '+' END), ' ') AS nodes FROM p")
+def path_file(spark, sf_dir):
+    """Paths are written by name, read, turned into numbers, and named again."""
+    lines = _paths(spark, sf_dir).select(F.concat(F.col("path_id").cast("string"), F.lit("\t"), F.array_join(F.transform("nodes", W.name_of), " ")).alias("value"))
+    names = spark.range(40).select(F.col("id").alias("contig_id"), F.col("id").cast("string").alias("name"))
+    read = R.numbered_paths(R.read_paths(spark, _written(lines)), names)
+    return read.select("path_id", F.array_join(F.transform("nodes", W.name_of), " ").alias("nodes"))
+
+
+def _drawn(spark, sf_dir):
+    """Oriented links as overlaps of 15 bases, and their contigs."""
+    contigs = _contig_lengths(spark, sf_dir).withColumns({"coverage": F.lit(1), "seq": F.repeat(F.lit("ACGT"), (F.col("length") / 4).cast("int"))})
+    return _oe(spark, sf_dir).withColumns({"distance": F.lit(-15).cast("long"), "n": F.lit(3).cast("long"), "sd": F.lit(1.5)}), contigs
+
+
+_NAMED = "SELECT u // 2 || CASE WHEN u % 2 = 1 THEN '-' ELSE '+' END AS u, v // 2 || CASE WHEN v % 2 = 1 THEN '-' ELSE '+' END AS v, CAST(-15 AS BIGINT) AS distance"
+#: Formats that hold an edge and its complement once hold the one that begins at the smaller vertex.
+_ONCE = _O + f" {_NAMED} FROM e WHERE u <= xor(v, 1)"
+
+
+def _back(spark, graph):
+    """Edges of a read graph by name, after they were turned into numbers."""
+    contigs, e = R.numbered(*graph)
+    return R.named(contigs, e)
+
+
+@query(_O + f" {_NAMED} FROM e")
+def graph_adj_file(spark, sf_dir):
+    return _back(spark, R.read_adj(spark, _written(W.adj(*_drawn(spark, sf_dir))))).select("u", "v", "distance")
+
+
+@query(_O + f" {_NAMED}, CAST(1.5 AS DOUBLE) AS sd, CAST(3 AS BIGINT) AS n FROM e")
+def graph_dot_file(spark, sf_dir):
+    return _back(spark, R.read_dot(spark, _written(W.dot(*_drawn(spark, sf_dir))))).select("u", "v", "distance", "sd", "n")
+
+
+@query(_O + f" {_NAMED}, CAST(3 AS BIGINT) AS n, CAST(1.5 AS DOUBLE) AS sd FROM e")
+def graph_dist_file(spark, sf_dir):
+    return R.read_dist(spark, _written(W.dist(_drawn(spark, sf_dir)[0]))).select("u", "v", "distance", "n", "sd")
+
+
+@query(_ONCE)
+def graph_gfa1_file(spark, sf_dir):
+    return _back(spark, R.read_gfa(spark, _written(W.gfa1(*_drawn(spark, sf_dir))))).select("u", "v", "distance")
+
+
+@query(_ONCE)
+def graph_gfa2_file(spark, sf_dir):
+    return _back(spark, R.read_gfa(spark, _written(W.gfa2(*_drawn(spark, sf_dir))))).select("u", "v", "distance")
+
+
+@query(_ONCE)
+def graph_asqg_file(spark, sf_dir):
+    return _back(spark, R.read_asqg(spark, _written(W.asqg(*_drawn(spark, sf_dir))))).select("u", "v", "distance")
+
+
+@query(_AGP + """ SELECT 'scaffold' || scaffold_id || chr(9) || begin || chr(9) || fin || chr(9) || part || chr(9) || CASE WHEN kind = 'N' THEN concat_ws(chr(9), 'N', length(r), 'scaffold', 'yes', 'paired-ends')
+ ELSE concat_ws(chr(9), 'W', 'contig' || scaffold_id || '_' || (part + 1) // 2, 1, length(r), '+') END AS value FROM (SELECT *, fin - begin + 1 AS size, repeat('x', CAST(fin - begin + 1 AS INTEGER)) AS r FROM agp)""")
+def agp_file(spark, sf_dir):
+    return spark.read.text(_written(W.agp_lines(B.agp(X.scaffolds(spark, sf_dir)))))
