@@ -257,9 +257,12 @@ def consensus(contigs: DataFrame, piled: DataFrame, least_agreement: float = 0.9
     Contigs whose best bases are under `least_agreement` of best and second best are left out."""
     ranked = F.array_sort(F.array(*[F.struct((-F.col(b.lower())).alias("n"), F.lit(b).alias("b")) for b in "ACGT"]))
     each = piled.withColumn("r", ranked).select("contig_id", "pos", F.when(F.col("r")[0]["n"] < 0, F.col("r")[0]["b"]).otherwise("N").alias("b"), (-F.col("r")[0]["n"]).alias("best"), (-F.col("r")[1]["n"]).alias("second"))
-    by = each.groupBy("contig_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "b"))).alias("called"), (F.sum("best") / (F.sum("best") + F.sum("second"))).alias("agreement")).where(F.col("agreement") >= least_agreement)
+    by = each.groupBy("contig_id").agg(F.array_sort(F.collect_list(F.struct("pos", "b"))).alias("called"), (F.sum("best") / (F.sum("best") + F.sum("second"))).alias("agreement")).where(F.col("agreement") >= least_agreement)
     met = by.join(contigs.select("contig_id", F.length("seq").alias("length")), "contig_id")
-    seq = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("length").cast("long") - 1), lambda i: F.coalesce(F.col("called")[i], F.lit("N"))), "")
+    # each called base with the run of N before it
+    before = F.transform("called", lambda x, i: F.coalesce(F.get("called", i - 1)["pos"], F.lit(-1)))
+    pieces = F.zip_with("called", before, lambda x, last: F.concat(F.repeat(F.lit("N"), (x["pos"] - last - 1).cast("int")), x["b"]))
+    seq = F.rpad(F.array_join(pieces, ""), F.col("length"), F.lit("N"))
     return met.select("contig_id", seq.alias("seq"), "agreement")
 
 

@@ -235,6 +235,23 @@ def dbg_pop_bubbles(spark, sf_dir):
     return G.pop_bubbles(K.count_kmers(X.contigs(spark, sf_dir, "benchmark", "item_id"), 11), 11, 30)[1]
 
 
+@query(_DBG + " SELECT kmer, CAST(bit_count(ext_out) AS INTEGER) AS outs, CAST(bit_count(ext_in) AS INTEGER) AS ins FROM adj")
+def dbg_branches(spark, sf_dir):
+    return G.adjacency(_small_graph(spark, sf_dir)).select("kmer", F.bit_count("ext_out").alias("outs"), F.bit_count("ext_in").alias("ins"))
+
+
+@query(
+    "WITH RECURSIVE" + _DBG.removeprefix("WITH")
+    + f""", st AS (SELECT least(u, {_RC.format('u')}) AS a, least(v, {_RC.format('v')}) AS b FROM e UNION SELECT least(v, {_RC.format('v')}), least(u, {_RC.format('u')}) FROM e),
+ near AS (SELECT kmer, 0 AS depth FROM k WHERE left(kmer, 4) = 'AAAA' UNION SELECT b, depth + 1 FROM near JOIN st ON a = near.kmer WHERE depth < 3)
+ SELECT kmer, CAST(min(depth) AS INTEGER) AS depth FROM near GROUP BY 1"""
+)
+def dbg_neighbourhood(spark, sf_dir):
+    """All k-mers within three steps of those that begin with four A."""
+    k = _small_graph(spark, sf_dir)
+    return K.neighbourhood(k, k.where("left(kmer, 4) = 'AAAA'"), 3)
+
+
 # --- histograms ---------------------------------------------------------------------------------------------
 
 _H = f"WITH {X.HISTOGRAM_SQL}"
@@ -357,6 +374,38 @@ def colour_space(spark, sf_dir):
     return c.select("contig_id", "colours", S.colour_decode(F.left("seq", F.lit(1)), F.col("colours")).alias("decoded"))
 
 
+@query(
+    f"""WITH {X.contigs_sql()}, {_windows_sql(5)}, w AS (SELECT DISTINCT w FROM wins)
+ SELECT w AS kmer, substr(w, 2) = {_RC.format('substr(w, 2)')} AS onward, left(w, 4) = {_RC.format('left(w, 4)')} AS backward FROM w"""
+)
+def edge_palindromes(spark, sf_dir):
+    w = S.windows(X.contigs(spark, sf_dir), 5).select("kmer").distinct()
+    return w.select("kmer", S.is_edge_palindrome(F.col("kmer")).alias("onward"), S.is_edge_palindrome(F.col("kmer"), False).alias("backward"))
+
+
+@query(f"WITH {X.contigs_sql()} SELECT contig_id, replace(seq, 'T', 'C') AS seq FROM contigs")
+def flattened_codes(spark, sf_dir):
+    """A, C and T are turned into codes that hold them first, or C first, and back into single bases."""
+    return X.contigs(spark, sf_dir).select("contig_id", S.flatten_ambiguity(F.translate("seq", "ACT", "RYB")).alias("seq"))
+
+
+@query(f"WITH {X.READS_SQL} SELECT id || '/1' AS name, CAST(id AS VARCHAR) AS pair, id || '/2' AS mate FROM reads")
+def read_names(spark, sf_dir):
+    name = F.concat(F.col("id").cast("string"), F.lit("/1"))
+    return X.reads(spark, sf_dir).select(name.alias("name"), S.pair_name(name).alias("pair"), S.mate_name(name).alias("mate"))
+
+
+@query(
+    f"""WITH {X.contigs_sql('benchmark', 'item_id', 'items')}, p AS (SELECT a.contig_id, replace(right(a.seq, 3), 'A', 'R') AS u, left(b.seq, 3) AS v FROM items a JOIN items b ON b.contig_id = a.contig_id + 1 WHERE length(a.seq) >= 3 AND length(b.seq) >= 3)
+ SELECT contig_id, len(list_filter(range(1, 4), lambda i: CASE u[i] WHEN 'R' THEN v[i] IN ('C', 'T') ELSE u[i] <> v[i] END)) > 0 AS inconsistent FROM p"""
+)
+def inconsistent_overlaps(spark, sf_dir):
+    """Overlaps of three bases between items that follow each other, A standing for a purine in the first."""
+    items = X.contigs(spark, sf_dir, "benchmark", "item_id").where("length(seq) >= 3")
+    met = items.join(items.select((F.col("contig_id") - 1).alias("contig_id"), F.col("seq").alias("v")), "contig_id")
+    return met.select("contig_id", S.inconsistent_overlap(F.translate("seq", "A", "R"), F.col("v"), F.lit(3)).alias("inconsistent"))
+
+
 # --- contig graphs ------------------------------------------------------------------------------------------
 
 
@@ -372,6 +421,12 @@ _E = f"WITH {X.ESTIMATES_SQL}, e AS (SELECT src AS u, dst AS v, n, distance FROM
 _O = f"WITH {X.ORIENTED_SQL}, e AS (SELECT src AS u, dst AS v FROM oe), od AS (SELECT u AS w, count(*) AS outs FROM e GROUP BY 1), idg AS (SELECT v AS w, count(*) AS ins FROM e GROUP BY 1), dg AS (SELECT coalesce(od.w, idg.w) AS w, coalesce(outs, 0) AS outs, coalesce(ins, 0) AS ins FROM od FULL JOIN idg ON od.w = idg.w)"
 
 
+@query(_E + " SELECT u, v, repeat(CASE WHEN distance < 20 THEN 'n' ELSE 'N' END, distance) AS gap, CAST(3 * n + 6 AS BIGINT) AS error FROM e WHERE distance > 0")
+def gap_sequences(spark, sf_dir):
+    """The pairs of an estimate stand in for its deviation."""
+    return _est(spark, sf_dir).where("distance > 0").select("u", "v", S.gap_sequence(F.col("distance").cast("int"), 20).alias("gap"), S.allowed_error(F.col("n").cast("double")).alias("error"))
+
+
 @query(_O + " SELECT u, v FROM e")
 def graph_complements(spark, sf_dir):
     return C.add_complements(X.oriented_links(spark, sf_dir).toDF("u", "v"))
@@ -671,17 +726,42 @@ def map_reads(spark, sf_dir):
     return A.map_reads(_items(spark, sf_dir), X.contigs(spark, sf_dir), 24)
 
 
-@query()
+@query(
+    _MATCH
+    + f""", l AS (SELECT m.contig_id, tstart - qstart AS start, CASE WHEN reverse THEN {_RC.format('seq')} ELSE seq END AS seq FROM m JOIN items ON items.contig_id = m.id),
+ x AS (SELECT contig_id, start, seq, unnest(range(length(seq))) AS i FROM l), c AS (SELECT x.contig_id, start + i AS pos, substr(x.seq, i + 1, 1) AS b FROM x JOIN contigs ON contigs.contig_id = x.contig_id WHERE start + i BETWEEN 0 AND length(contigs.seq) - 1),
+ n AS (SELECT contig_id, pos, b, count(*) AS n, row_number() OVER (PARTITION BY contig_id, pos ORDER BY count(*) DESC, b) AS r FROM c GROUP BY 1, 2, 3),
+ g AS (SELECT contig_id, sum(n) FILTER (r = 1) / (sum(n) FILTER (r = 1) + coalesce(sum(n) FILTER (r = 2), 0)) AS agreement FROM n GROUP BY 1),
+ p AS (SELECT contig_id, agreement, unnest(range(length(seq))) AS pos FROM contigs JOIN g USING (contig_id) WHERE agreement >= 0.9)
+ SELECT p.contig_id, string_agg(coalesce(b, 'N'), '' ORDER BY p.pos) AS seq, CAST(any_value(agreement) AS DOUBLE) AS agreement FROM p LEFT JOIN n ON n.contig_id = p.contig_id AND n.pos = p.pos AND r = 1 GROUP BY 1"""
+)
 def pile_up_consensus(spark, sf_dir):
     reads, contigs = _items(spark, sf_dir), X.contigs(spark, sf_dir)
     return A.consensus(contigs, A.pile_up(contigs, A.exact_matches(reads, contigs, 24), reads), 0.9)
 
 
-@query()
+@query(
+    f"""WITH {X.contigs_sql()}, c AS (SELECT contig_id, seq, {_RC.format('seq')} AS rc FROM contigs WHERE length(seq) >= 25)
+ SELECT DISTINCT a.contig_id FROM c a JOIN c b ON a.contig_id <> b.contig_id AND (length(b.seq) > length(a.seq) OR length(b.seq) = length(a.seq) AND b.contig_id < a.contig_id) AND (contains(b.seq, a.seq) OR contains(b.seq, a.rc))"""
+)
 def contained_sequences(spark, sf_dir):
     return A.contained_sequences(X.contigs(spark, sf_dir))
 
 
+@query(
+    _MATCH
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY qend - qstart DESC, reverse, contig_id, tstart, qstart) AS r FROM m)
+ SELECT id, CAST(length(seq) AS INTEGER) AS query_length, CAST(qend - qstart AS INTEGER) AS query_span, CAST(qend - qstart AS INTEGER) AS target_span, CAST(qstart AS INTEGER) AS clip_start, CAST(length(seq) - qend AS INTEGER) AS clip_end,
+ CASE WHEN reverse THEN tstart + length(seq) - qstart ELSE tstart - qstart END AS start FROM items JOIN r ON items.contig_id = r.id AND r = 1"""
+)
+def cigar_spans(spark, sf_dir):
+    mapped = A.map_reads(_items(spark, sf_dir), X.contigs(spark, sf_dir), 24).where("cigar is not null")
+    x = S.cigar_fields(F.col("cigar"))
+    fields = {c: x[c] for c in ("query_length", "query_span", "target_span", "clip_start", "clip_end")}
+    at = S.target_at_query_start(F.col("pos"), F.col("clip_start"), F.col("target_span"), F.col("query_length"), F.col("reverse"))
+    return mapped.withColumns(fields).select("id", *fields, at.alias("start"))
+
+
 # --- scaffolds and gaps -------------------------------------------------------------------------------------
 
 _AGP = f"""WITH {X.SCAFFOLDS_SQL}, t AS (SELECT scaffold_id, regexp_replace(seq, '^[Nn]+|[Nn]+$', '', 'g') AS seq FROM scaffolds), r AS (SELECT scaffold_id, regexp_extract_all(seq, '[Nn]+|[^Nn]+') AS l FROM t WHERE length(seq) > 0),
