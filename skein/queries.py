@@ -555,9 +555,14 @@ def shorter_overlaps(spark, sf_dir):
     return C.shorter_overlaps(c, C.exact_overlaps(c, 5), 3, 4)
 
 
-@query()
+@query(
+    "WITH RECURSIVE" + _O.removeprefix("WITH")
+    + """, l AS (SELECT u, v FROM e WHERE u IN (SELECT u FROM e GROUP BY 1 HAVING count(*) = 1) AND v IN (SELECT v FROM e GROUP BY 1 HAVING count(*) = 1) AND v <> xor(u, 1)),
+ c AS (SELECT u AS head, [u, v] AS nodes, v AS last FROM l WHERE u NOT IN (SELECT v FROM l) UNION ALL SELECT head, list_append(nodes, l.v), l.v FROM c JOIN l ON l.u = c.last)
+ SELECT head, array_to_string(nodes, ' ') AS nodes FROM c WHERE last NOT IN (SELECT u FROM l) AND head < xor(last, 1)"""
+)
 def graph_assemble_paths(spark, sf_dir):
-    return C.assemble_paths(_oe(spark, sf_dir))
+    return C.assemble_paths(_oe(spark, sf_dir)).select("head", F.array_join(F.transform("nodes", lambda w: w.cast("string")), " ").alias("nodes"))
 
 
 def _contig_lengths(spark, sf_dir):
