@@ -215,7 +215,16 @@ def dbg_pair_statistics(spark, sf_dir):
     return G.graph_statistics(G.pair_edges(pairs).select(F.struct("ua", "ub").alias("u")), G.oriented_pairs(pairs).select(F.struct(F.col("a").alias("ua"), F.col("b").alias("ub")).alias("w")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {X.contigs_sql('benchmark', 'item_id')}, {_canon_sql(15)}, k AS (SELECT kmer, least(count(*) FILTER (w = kmer), 32767) + least(count(*) FILTER (w <> kmer), 32767) AS n FROM canon GROUP BY 1),
+ o AS (SELECT kmer AS w, n FROM k UNION SELECT {_RC.format('kmer')}, n FROM k), e AS (SELECT a.w AS u, b.w AS v FROM o a JOIN o b ON substr(a.w, 2) = substr(b.w, 1, 14)),
+ l AS (SELECT u, v FROM e WHERE u IN (SELECT u FROM e GROUP BY 1 HAVING count(*) = 1) AND v IN (SELECT v FROM e GROUP BY 1 HAVING count(*) = 1) AND u <> {_RC.format('v')}),
+ c AS (SELECT w AS first, w AS last, w AS seq, n AS coverage, 1 AS n_kmers FROM o WHERE w NOT IN (SELECT v FROM l)
+  UNION ALL SELECT first, l.v, seq || right(l.v, 1), coverage + o.n, n_kmers + 1 FROM c JOIN l ON l.u = c.last JOIN o ON o.w = l.v),
+ outs AS (SELECT u AS last, count(*) AS d FROM e GROUP BY 1), ins AS (SELECT v AS first, count(*) AS d FROM e GROUP BY 1)
+ SELECT DISTINCT seq, length(seq) AS length, CAST(coverage AS BIGINT) AS coverage, CAST(n_kmers AS BIGINT) AS n_kmers, coalesce(outs.d, 0) AS out_degree, coalesce(ins.d, 0) AS in_degree
+ FROM c LEFT JOIN outs USING (last) LEFT JOIN ins USING (first) WHERE last NOT IN (SELECT u FROM l) AND seq <= {_RC.format('seq')}"""
+)
 def dbg_unitigs(spark, sf_dir):
     return G.unitigs(K.count_kmers(X.contigs(spark, sf_dir, "benchmark", "item_id"), 15))
 
