@@ -6,8 +6,10 @@ The SQL takes no shortcut: it joins all windows, all shingles and all positions
 from __future__ import annotations
 
 from skein.llm.decontamination import WINDOW
+from skein.llm.fim import RATE, SEED, SPM_RATE
 from skein.llm.secrets import BASE, RULES, Rule
 from skein.llm.sharding import SHARDS
+from skein.llm.spelling import LEAST_COUNT, LEAST_LENGTH, MODULUS, RATIO
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -87,4 +89,42 @@ p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FI
 s AS (SELECT *, CAST(start_byte * {SHARDS} // total AS INTEGER) AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start_byte) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
 
-ORACLES = {"op1_sharding": SHARDING, "op2_decontamination": CONTAMINATION, "op3_secrets": SECRETS, "op6_minhash": NEAR_DUPLICATES}
+_PIECE = "array_to_string(l[{0}:{1}], '')"
+_FIM_OUT = f"CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END"
+
+
+def _between(first: str, second: str | None) -> str:
+    """What of output o stands after one mark and before another, or up to the end."""
+    begin = f"strpos(o, '{first}') + 3"
+    return f"substr(o, {begin}, strpos(o, '{second}') - ({begin}))" if second else f"substr(o, {begin})"
+
+
+FIM = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS l, sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, l, len(l) AS n, {', '.join(f"CAST('0x' || substr(x, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS c1, greatest(h1 % (n + 1), h2 % (n + 1)) AS c2,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {RATE} THEN 'plain' WHEN h4 % 100 < {SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM h),
+q AS (SELECT *, {_PIECE.format('1', 'c1')} AS p, {_PIECE.format('c1 + 1', 'c2')} AS m, {_PIECE.format('c2 + 1', 'n')} AS s FROM c),
+o AS (SELECT *, {_FIM_OUT} AS o FROM q),
+r AS (SELECT *, CASE form WHEN 'plain' THEN o WHEN 'psm' THEN {_between('<P>', '<S>')} || {_between('<M>', None)} || {_between('<S>', '<M>')} ELSE {_between('<P>', '<M>')} || {_between('<M>', None)} || {_between('<S>', '<P>')} END AS back FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(o) AS output_sha256, sha256(back) AS restored_sha256 FROM r"""
+
+# near words share what a deleted letter leaves: at the same place if a letter is replaced, or one word is what it leaves of the other
+_RUN_CRC = _CRC.replace("encode(text)", "encode(k)")
+SPELLING = f"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+g AS (SELECT doc_id, {_LOWER.format('r')} AS w, count(*) AS n FROM r WHERE length(r) >= {LEAST_LENGTH} GROUP BY 1, 2),
+k AS (SELECT w, n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS k FROM g),
+h AS (SELECT w, n, CAST({_RUN_CRC} AS BIGINT) AS h FROM k),
+o AS (SELECT CASE WHEN h % {MODULUS} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= {LEAST_LENGTH} GROUP BY 1 HAVING sum(n) >= {LEAST_COUNT}),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM p),
+e AS (SELECT a.word AS a, b.word AS b, b.n AS m FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.v = w.word UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.v = w.word),
+b AS (SELECT a AS word, count(*) AS n_near, max(m) AS m, arg_min(b, ROW(-m, b)) AS best FROM e GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {RATIO} * w.n THEN best END AS form, CASE WHEN m >= {RATIO} * w.n THEN m END AS form_n FROM w LEFT JOIN b USING (word)),
+s AS (SELECT word, word AS at, form AS nxt FROM f UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON s.nxt = f.word)
+SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word AND s.nxt IS NULL"""
+
+ORACLES = {"op11_fim": FIM, "op13_spelling": SPELLING, "op1_sharding": SHARDING, "op2_decontamination": CONTAMINATION, "op3_secrets": SECRETS, "op6_minhash": NEAR_DUPLICATES}

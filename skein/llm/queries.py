@@ -10,12 +10,15 @@ from skein.llm import oracles
 from skein.llm.ann import nearest_neighbours
 from skein.llm.bpe import encode_decode
 from skein.llm.decontamination import find_contamination
+from skein.llm.fim import restore, transform
 from skein.llm.html import extract_main_text
 from skein.llm.language import identify
 from skein.llm.minhash import near_duplicates
 from skein.llm.pii import KINDS, pseudonymise
 from skein.llm.secrets import digest, find_secrets
 from skein.llm.sharding import SHARDS, shard_by_bytes
+from skein.llm.spelling import spelling_variants
+from skein.llm.token_files import write_token_files
 from skein.llm.urls import judge
 
 
@@ -79,6 +82,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = restore(transform(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{name}_sha256") for c, name in (("output", "output"), ("text", "restored"))]
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return write_token_files(docs).fetch(docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -90,5 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_html": op9_html,
     "op10_bpe": op10_bpe,
+    "op11_fim": op11_fim,
+    "op12_token_files": op12_token_files,
+    "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
