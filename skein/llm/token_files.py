@@ -31,8 +31,8 @@ from skein.llm.bpe import ROWS, VOCABULARY, _byte_letters
 from skein.plans.iterate import discard, materialize, shared_folder
 
 END_ID = 0
-#: Bytes of ids that a shard is to have, about; small tables still get a shard for each shuffle partition.
-SHARD_BYTES = 128 << 20
+#: Bytes of text that a shard is to have, about; small tables still get a shard for each shuffle partition.
+SHARD_BYTES = 256 << 20
 #: Keys of an index part, about; a part is built in one task.
 PART_KEYS = 1 << 18
 #: Bytes of ids read and given at once, or one document.
@@ -267,10 +267,10 @@ def _keyed(keys: DataFrame, parts: int) -> DataFrame:
 def write_token_files(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> TokenFiles:
     """Write the ids of every text of docs (doc_id, an integer; text), end_id after each, in ascending order of doc_id, and the index.
 
-    folder must be shared by driver and executors; by default a new one in the cluster's checkpoint folder. Texts are encoded
-    once, into a table; its rows are dealt out by ranges of (doc_id, place in the input), so a doc_id that many rows have spreads
-    over shards. Each task writes its shard and gives the places; the index is built of these by parts of the
-    hash space, each of about PART_KEYS keys. The driver sees one row for each shard and each part.
+    folder must be shared by driver and executors; by default a new one in the cluster's checkpoint folder. Texts are dealt out by
+    ranges of (doc_id, place in the input), so a doc_id that many rows have spreads over shards. Each task encodes
+    its texts in order, writes its shard and gives the places; the index is built of these by parts of the hash space, each
+    of about PART_KEYS keys. The driver sees one row for each shard and each part.
 
     Cases: null and empty texts have the end id alone; documents without doc_id come first and are found under the key
     null; repeated doc_ids lie next to each other, in the order of the input, and are found together; an
@@ -289,46 +289,35 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
     kind = np.dtype(f"<u{width}")
     end = np.array([end_id], kind).tobytes()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _load(path)
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _opened(folder)
+        encoder, out = _load(path), None
         encode = encoder.encode if encoder.kind == kind else lambda t: np.frombuffer(encoder.encode(t), encoder.kind).astype(kind).tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                x = whole.slice(at, ROWS)
+            for first in range(0, whole.num_rows, ROWS):
+                x = whole.slice(first, ROWS)
+                if out is None:
+                    shard, row, at = x["shard"][0].as_py(), 0, 0
+                    out, begins = _Writing(fs, f"{root}/ids-{shard:06d}.bin"), _Writing(fs, f"{root}/docs-{shard:06d}.bin")
                 ids = [encode(t) + end if t else end for t in x["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([x["doc_id"], x["place"], pa.array([len(i) // width for i in ids], pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "place", "n", "ids"])
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
-    table = materialize(narrow.mapInArrow(encoded, "doc_id long, place long, n int, ids binary"))
-    size = table.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * width // shard_bytes))
-
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _opened(folder)
-        out = None
-        for x in batches:
-            if not x.num_rows:
-                continue
-            if out is None:
-                shard, row, at = x["shard"][0].as_py(), 0, 0
-                out, begins = _Writing(fs, f"{root}/ids-{shard:06d}.bin"), _Writing(fs, f"{root}/docs-{shard:06d}.bin")
-            ids = x["ids"]
-            edge = np.frombuffer(ids.buffers()[1], np.int64 if pa.types.is_large_binary(ids.type) else np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
-            out.out.write(memoryview(ids.buffers()[2])[edge[0] : edge[-1]])
-            begin = at + (edge - edge[0]) // width
-            begins.out.write(begin[:-1].astype("<u8").tobytes())
-            rows = np.arange(row, row + len(ids), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([x["doc_id"], x["shard"], pa.array(rows), pa.array(begin[:-1]), x["n"]], ["doc_id", "shard", "row", "offset", "n"])
-            row, at = row + len(ids), int(begin[-1])
+                n = np.array([len(i) // width for i in ids], np.int64)
+                begin = at + np.cumsum(n) - n
+                out.out.write(b"".join(ids))
+                begins.out.write(begin.astype("<u8").tobytes())
+                rows = pa.array(np.arange(row, row + len(ids), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([x["doc_id"], x["shard"], rows, pa.array(begin), pa.array(n)], ["doc_id", "shard", "row", "offset", "n"])
+                row, at = row + len(ids), at + int(n.sum())
         if out is not None:
             begins.out.write(np.array([at], "<u8").tobytes())
             out.close()
             begins.close()
 
-    ordered = table.repartitionByRange(shards, "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", F.spark_partition_id().alias("shard"), "n", "ids")
-    places = materialize(ordered.mapInArrow(written, "doc_id long, shard int, row int, offset long, n int"))
-    discard(table)
-    totals = {r.shard: (r.docs, r.ids, r.bare) for r in places.groupBy("shard").agg(F.count("*").alias("docs"), F.sum(F.col("n").cast("long")).alias("ids"), F.count_if(F.col("doc_id").isNull()).alias("bare")).collect()}
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+    ordered = narrow.repartitionByRange(shards, "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", F.spark_partition_id().alias("shard"), "text")
+    places = materialize(ordered.mapInArrow(written, "doc_id long, shard int, row int, offset long, n long"))
+    totals = {r.shard: (r.docs, r.ids, r.bare) for r in places.groupBy("shard").agg(F.count("*").alias("docs"), F.sum("n").alias("ids"), F.count_if(F.col("doc_id").isNull()).alias("bare")).collect()}
     count, bare = (sum(t[i] for t in totals.values()) for i in (0, 2))
     parts = -(-count // PART_KEYS)
 
