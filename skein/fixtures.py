@@ -115,6 +115,30 @@ SKIPPING_SQL = """sk0 AS (SELECT DISTINCT a.contig * 2 + CAST(a.l_returnflag = '
 sk AS (SELECT src AS u, dst AS v FROM sk0 UNION SELECT xor(dst, 1), xor(src, 1) FROM sk0)"""
 
 
+def seed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seeds(path_id, nodes): for each contig, the items up to two before and after its first one in the first order that has it."""
+    li = line_items(spark, sf_dir).withColumn("w", F.col("contig") * 2 + (F.col("l_returnflag") == "R").cast("long"))
+    near = Window.partitionBy("l_orderkey").orderBy("rn").rowsBetween(-2, 2)
+    around = li.select("contig", "w", "l_orderkey", "rn", F.collect_list("w").over(near).alias("nodes"))
+    first = around.groupBy("contig").agg(F.min_by(F.struct("w", "nodes"), F.struct("l_orderkey", "rn")).alias("f"))
+    turned = F.reverse(F.transform("f.nodes", lambda v: v.bitwiseXOR(F.lit(1))))
+    return first.select(F.col("contig").alias("path_id"), F.when(F.col("f.w") % 2 == 1, turned).otherwise(F.col("f.nodes")).alias("nodes"))
+
+
+def seed_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lengths(contig_id, length) of the contigs of seed_paths()."""
+    return line_items(spark, sf_dir).select(F.col("contig").alias("contig_id"), (F.col("contig") % 50 + 1).alias("length")).distinct()
+
+
+SEED_PATHS_SQL = (
+    LINE_ITEMS_SQL
+    + """, lw AS (SELECT contig, l_orderkey, rn, contig * 2 + CAST(l_returnflag = 'R' AS BIGINT) AS w FROM li),
+ar AS (SELECT *, list(w) OVER (PARTITION BY l_orderkey ORDER BY rn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS nodes FROM lw),
+fi AS (SELECT * FROM ar QUALIFY row_number() OVER (PARTITION BY contig ORDER BY l_orderkey, rn) = 1),
+seeds AS (SELECT contig AS path_id, CASE WHEN w % 2 = 1 THEN list_reverse(list_transform(nodes, lambda v: xor(v, 1))) ELSE nodes END AS nodes FROM fi)"""
+)
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """al(qname, read, rname, pos, reverse, unmapped): items 1 and 2, 3 and 4 ... of each order as read pairs, a last odd one as a mateless read."""
     return line_items(spark, sf_dir).select(

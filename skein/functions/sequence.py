@@ -199,16 +199,17 @@ def _cigar_sum(cigar: Column, ops: str) -> Column:
 def cigar_fields(cigar: Column) -> dict[str, Column]:
     """of a CIGAR string: whether it is valid, the lengths of query, aligned query and target span,
     and the clips at its ends. Other fields are null if it is invalid."""
-    valid = cigar.rlike("^([0-9]+[MIDNSHPX=])+$")
+    # no repeated groups that Java would recurse for: long reads have many thousand operations
+    valid = (F.length(cigar) > 0) & (F.regexp_replace(cigar, "[0-9]+[MIDNSHPX=]", "") == "")
     of = lambda c: F.when(valid, c)
-    clip = lambda rx: F.coalesce(F.when(cigar.rlike(rx), F.aggregate(F.regexp_extract_all(F.regexp_extract(cigar, rx, 0), F.lit("([0-9]+)"), F.lit(1)), F.lit(0), lambda a, x: a + x.cast("int"))), F.lit(0))
+    clip = lambda rx, i: _cigar_sum(F.regexp_extract(cigar, rx, i), "SH")
     return {
         "valid": F.coalesce(valid, F.lit(False)),
         "query_length": of(_cigar_sum(cigar, "MISHX=")),
         "query_span": of(_cigar_sum(cigar, "MIX=")),
         "target_span": of(_cigar_sum(cigar, "MDNX=")),
-        "clip_start": of(clip("^([0-9]+[SH])+")),
-        "clip_end": of(clip("([0-9]+[SH])+$")),
+        "clip_start": of(clip("^(?:[0-9]+[SH])++", 0)),
+        "clip_end": of(clip("(?:^|[MIDNPX=])((?:[0-9]+[SH])*+)$", 1)),
     }
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein import fixtures as X
 from skein.functions import sequence as S
-from skein.operators import align as L, alignments as A, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, paths as P
+from skein.operators import align as L, alignments as A, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, merging as M, paths as P
 from skein.plans.iterate import shared_folder
 from skein.sources import readers as R, writers as W
 
@@ -468,7 +468,11 @@ def graph_transitive_edges(spark, sf_dir):
     return C.transitive_edges(_est(spark, sf_dir)).select("u", "v")
 
 
-@query(_O + _TRANS + ", g AS (SELECT u, v FROM tr UNION SELECT xor(v, 1), xor(u, 1) FROM tr) SELECT u, v FROM e WHERE (u, v) NOT IN (SELECT u, v FROM g)")
+_REDUCED = """, f AS MATERIALIZED (SELECT DISTINCT u, v FROM e WHERE u <> v), two AS MATERIALIZED (SELECT DISTINCT a.u, b.v FROM f a JOIN f b ON b.u = a.v WHERE a.u <> b.v),
+ tr AS (SELECT u, v FROM two SEMI JOIN f USING (u, v)), g AS (SELECT u, v FROM tr UNION SELECT xor(v, 1), xor(u, 1) FROM tr) SELECT u, v FROM e ANTI JOIN g USING (u, v)"""
+
+
+@query(_O + _REDUCED)
 def graph_transitive_reduction(spark, sf_dir):
     return C.reduce_transitive(_oe(spark, sf_dir))
 
@@ -1014,3 +1018,38 @@ def graph_asqg_file(spark, sf_dir):
  ELSE concat_ws(chr(9), 'W', 'contig' || scaffold_id || '_' || (part + 1) // 2, 1, length(r), '+') END AS value FROM (SELECT *, fin - begin + 1 AS size, repeat('x', CAST(fin - begin + 1 AS INTEGER)) AS r FROM agp)""")
 def agp_file(spark, sf_dir):
     return spark.read.text(_written(W.agp_lines(B.agp(X.scaffolds(spark, sf_dir)))))
+
+
+# --- merging of paths ---------------------------------------------------------------------------------------
+
+#: Paths here have no runs of N: they agree if what lies over each other is the same. A path inside another is taken where it lies first.
+_SEED_EDGES = f"""WITH {X.SEED_PATHS_SQL},
+ts AS (SELECT path_id, nodes AS a, unnest(list_distinct(nodes)) AS t FROM seeds),
+pr AS (SELECT 2 * ts.path_id AS s, t, a, CASE WHEN t % 2 = 1 THEN list_reverse(list_transform(o.nodes, lambda v: xor(v, 1))) ELSE o.nodes END AS b FROM ts JOIN seeds o ON o.path_id = t // 2 WHERE t <> 2 * ts.path_id),
+ij AS (SELECT *, unnest(range(1, len(a) + 1)) AS i, list_position(b, t) AS j FROM pr),
+ok AS (SELECT *, i >= j AND i - j + len(b) <= len(a) AS held FROM ij WHERE a[i] = t AND a[i - least(i, j) + 1:i + least(len(a) - i, len(b) - j)] = b[j - least(i, j) + 1:j + least(len(a) - i, len(b) - j)]),
+be AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY held DESC, i) = 1),
+ho AS (SELECT *, CASE WHEN a = b THEN 0 WHEN held AND i = j THEN -1 WHEN held AND i - j + len(b) = len(a) THEN 1 WHEN held THEN 0
+  WHEN i < j AND len(b) - j > len(a) - i THEN 0 ELSE sign(sign(i - j) + sign((len(b) - j) - (len(a) - i))) END AS way, CASE WHEN held THEN a ELSE b END AS c FROM be),
+dr AS (SELECT s, t, way > 0 OR (way = 0 AND coalesce(list_position(c, s), 0) < coalesce(list_position(c, t), 0)) AS fwd FROM ho),
+e1 AS (SELECT CASE WHEN fwd THEN s ELSE t END AS u, CASE WHEN fwd THEN t ELSE s END AS v FROM dr),
+e AS (SELECT u, v FROM e1 UNION SELECT xor(v, 1), xor(u, 1) FROM e1)"""
+
+
+@query(_SEED_EDGES + " SELECT u, v FROM e")
+def path_overlap_graph(spark, sf_dir):
+    return M.path_graph(X.seed_paths(spark, sf_dir), X.seed_lengths(spark, sf_dir), reduced=False)
+
+
+def _listed(paths):
+    return paths.select("path_id", F.size("nodes").cast("long").alias("contigs"), F.array_join(F.transform("nodes", lambda v: v.cast("string")), " ").alias("nodes"))
+
+
+@query()
+def merged_paths(spark, sf_dir):
+    return _listed(M.merge_paths(X.seed_paths(spark, sf_dir), X.seed_lengths(spark, sf_dir)))
+
+
+@query()
+def greedily_merged_paths(spark, sf_dir):
+    return _listed(M.merge_paths_greedily(X.seed_paths(spark, sf_dir), X.seed_lengths(spark, sf_dir)))

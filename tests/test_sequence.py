@@ -85,3 +85,12 @@ def test_packed_windows_equal_strings(spark):
             assert got == sorted(want)
     finally:
         Q.PIECE = piece
+
+
+def test_cigars_of_long_reads(spark):
+    n = 30_000
+    rows = [("2H5S" + "3M1D" * n,), ("1M" * n + "3S2H",), ("5S3H",), ("3M4",), ("M",), ("",), (None,), ("4S10M2I3D6N5S",)]
+    df = spark.createDataFrame(rows, "c string")
+    got = [tuple(r) for r in df.select(*[c.alias(k) for k, c in S.cigar_fields(F.col("c")).items()]).collect()]
+    none = (False, None, None, None, None, None)
+    assert got == [(True, 7 + 3 * n, 3 * n, 4 * n, 7, 0), (True, n + 5, n, n, 0, 5), (True, 8, 0, 0, 8, 8), none, none, none, none, (True, 21, 12, 19, 4, 5)]
