@@ -19,9 +19,10 @@ TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54
 
 _EDGE = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
-#: Kind -> what such a value looks like; the first that fits a place is taken.
+#: Kind -> what such a value looks like; the first that fits a place is taken. An unbounded repeated group is possessive, as
+#: Java's other ones recurse once for each repetition.
 FORMS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)++",
     "ip": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])",
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "iso_date": _EDGE + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _END,
@@ -192,9 +193,11 @@ def _pseudonym(key: str, kind: Column, s: Column) -> Column:
 
 
 def configured_key(spark: SparkSession) -> str:
-    """The key that KEY_SETTING names; without it, on one machine alone, the key of tests."""
+    """The key that KEY_SETTING names; without it, where all runs on one machine (a local master), the key of tests."""
     key = spark.conf.get(KEY_SETTING, None)
     if not key:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {KEY_SETTING} to a secret key")
         warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a key that is no secret", stacklevel=3)
     return key or TEST_KEY
 

@@ -11,12 +11,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; a regular expression; the group and the least characters that make a match valid."""
+    """kind; a regular expression; the group and the least characters that make a match valid.
+
+    run, if given, is a class whose maximal runs a match begins in, with `lead`, where only a run's first `lead` can begin a match: if
+    that one fails, later ones fail for the same reason. They are not tried, as each would read the run again."""
 
     kind: str
     regex: str
     group: int = 0
     least: int = 1
+    run: str = ""
+    lead: str = ""
+
+    @property
+    def once(self) -> str:
+        """The expression that tries a run once; a match has what stands before `lead` in its run at its begin."""
+        return f"(?<![{self.run}])(?>[{self.run}]*?(?={self.lead})){self.regex}" if self.run else self.regex
 
 
 #: The three kinds every caller relies on, in their order.
@@ -30,13 +40,13 @@ MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("github_pat", r"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", run="A-Za-z0-9_-", lead="eyJ"),
     Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("slack_hook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]+"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{24,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("google_oauth", r"[0-9]+-[a-z0-9_]{32}\.apps\.googleusercontent\.com"),
+    Rule("google_oauth", r"[0-9]+-[a-z0-9_]{32}\.apps\.googleusercontent\.com", run="0-9"),
     Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
     Rule("pypi", r"pypi-AgEI[A-Za-z0-9_-]{50,}"),
@@ -179,11 +189,12 @@ def trigram_query(rule: Rule) -> list[list[str]]:
 def _spans(text: Column, rule: Rule) -> Column:
     """(start, rank, kind, end) of the rule's matches, leftmost and non-overlapping, in code points."""
     # what lies between matches, and the matches: running lengths give the places
-    gaps = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x))
-    match = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    valid = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else match
+    gaps = F.transform(F.split(text, rule.once, -1), lambda x: F.length(x))
+    match = F.regexp_extract_all(text, F.lit(rule.once), F.lit(0))
+    valid = F.regexp_extract_all(text, F.lit(rule.once), F.lit(rule.group)) if rule.group else match
+    before = lambda m: F.instr(m, rule.lead) - 1 if rule.lead else F.lit(0)
     rank = [r.kind for r in RULES].index(rule.kind) if rule in RULES else len(RULES)
-    steps = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(match), F.lit(0))), F.transform(F.arrays_zip(match.alias("m"), valid.alias("v")), lambda p: F.struct(F.length(p["m"]).alias("m"), F.length(p["v"]).alias("v"))), lambda g, p: F.struct(g.alias("gap"), p["m"].alias("len"), p["v"].alias("valid")))
+    steps = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(match), F.lit(0))), F.transform(F.arrays_zip(match.alias("m"), valid.alias("v")), lambda p: F.struct(before(p["m"]).alias("b"), F.length(p["m"]).alias("m"), F.length(p["v"]).alias("v"))), lambda g, p: F.struct((g + p["b"]).alias("gap"), (p["m"] - p["b"]).alias("len"), p["v"].alias("valid")))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     walked = F.aggregate(
         steps,
@@ -197,7 +208,7 @@ def _spans(text: Column, rule: Rule) -> Column:
         ),
         lambda a: a["found"],
     )
-    return F.when(text.rlike(rule.regex), walked).otherwise(empty)
+    return F.when(text.rlike(rule.once), walked).otherwise(empty)
 
 
 def _joined(spans: Column) -> Column:

@@ -728,3 +728,34 @@ def test_stages_on_empty_tables_and_null_texts(spark):
         assert stage(spark, docs.where("false"), SF).count() == 0
         nulls = docs.withColumn("text", F.lit(None).cast("string"))
         assert stage(spark, nulls, SF).count() == (0 if name == "language_id" else docs.count())
+
+
+# long runs of the letters that the forms and rules look for
+
+
+def test_secrets_and_pseudonyms_of_long_runs(spark):
+    n = 1_000_000
+    runs = ["1" * n + " apps.googleusercontent.com", "eyJ" * (n // 3), "x" + "eyJ" * (n // 3) + "." + "eyJ" * 1000 + ".z eyJa.eyJb.c", "AKIA" * (n // 4), "-----BEGIN " * (n // 11), "password" + " " * n]
+    runs += ["a@" + "b." * (n // 2) + "com", "1 " * (n // 2), "+1 " * (n // 3), "a." * (n // 2)]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    for r in secrets.find_secrets(df).collect():
+        want = sorted((m.start(), m.end()) for rule in secrets.MORE if rule.kind in ("jwt", "google_oauth") for m in ([] if r.doc_id in (0, 1) else re.finditer(rule.regex, runs[r.doc_id])))
+        assert sorted((s.start, s.end) for s in r.found if s.kind in ("jwt", "google_oauth")) == want
+    got = {r.doc_id: [x.kind for x in r.pii] for r in pii.pseudonymise(df, key="k").select("doc_id", "pii").collect()}
+    assert got.pop(6) == ["email"] and not any(got.values())
+
+
+def test_runs_are_tried_once_with_equal_results(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["eyJ", "eyJa", ".", "b", "-", " ", "12", "apps", "\n"]) for _ in range(60)) for _ in range(400)]
+    texts += [f"9{i}-{'a' * (30 + i % 4)}.apps.googleusercontent.com 12-{'b' * 32}.apps.googleusercontent.com" for i in range(8)]
+    rules = tuple(r for r in secrets.RULES if r.run)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = 0
+    for r in secrets.find_secrets(df, rules).collect():
+        want = sorted((m.start(), m.end(), rule.kind) for rule in rules for m in re.finditer(rule.regex, texts[r.doc_id]))
+        assert sorted((s.start, s.end, s.kind) for s in r.found) == want
+        found += len(want)
+    assert found > 20 and len(rules) == 2
