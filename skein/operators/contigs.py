@@ -281,7 +281,11 @@ def filter_graph(e: DataFrame, contigs: DataFrame, k: int, least_length: int = 0
 
 
 def scaffold_graph(e: DataFrame, contigs: DataFrame, n: int, s: int, longest_gap: int | None = None) -> DataFrame:
-    """A scaffold graph made simple: filter, 2-cycles, forks, tips, repeats, transitive edges, tips, weak edges, long edges."""
+    """A scaffold graph made simple: filter, 2-cycles, forks, tips, repeats, transitive edges, tips, bubbles, weak edges, long edges.
+
+    An edge over a bubble has no pairs of its own: n is null, so it is never a weak edge."""
+    from skein.operators.bubbles import scaffold_over_bubbles
+
     full = materialize(e)
     g = materialize(well_supported(long_contigs_only(full, contigs, s), n))
     g = materialize(drop_edges(g, two_cycles(g)))
@@ -291,6 +295,7 @@ def scaffold_graph(e: DataFrame, contigs: DataFrame, n: int, s: int, longest_gap
     g = materialize(drop_repeats(g))
     g = materialize(reduce_transitive(g))
     g = materialize(prune_tips(g)[0])
+    g = materialize(scaffold_over_bubbles(g, contigs)[0])
     g = materialize(drop_edges(g, weak_edges(g)))
     return drop_long(g, longest_gap) if longest_gap is not None else g
 

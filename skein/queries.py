@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein import fixtures as X
 from skein.functions import sequence as S
-from skein.operators import align as L, alignments as A, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, merging as M, paths as P
+from skein.operators import align as L, alignments as A, bubbles as BU, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, merging as M, paths as P
 from skein.plans.iterate import shared_folder
 from skein.sources import readers as R, writers as W
 
@@ -588,6 +588,12 @@ def _scaffold_input(spark, sf_dir):
     return C.add_complements(d), _contig_lengths(spark, sf_dir)
 
 
+@query()
+def graph_bubbles(spark, sf_dir):
+    e, c = _scaffold_input(spark, sf_dir)
+    return BU.find_bubbles(e, c)[0]
+
+
 @query()
 def scaffold_simplify(spark, sf_dir):
     e, c = _scaffold_input(spark, sf_dir)
