@@ -48,6 +48,7 @@ def find_bubbles(e: DataFrame, contigs: DataFrame, max_rounds: int = 10_000) ->
     Cases: loops end a region, as a vertex that waits for itself; circles without an entrance have no bubble; contigs without
     a length count as 0; no edges give no rows; regions still open after max_rounds raise NotSettled."""
     lengths = contigs.select(F.explode(F.array((2 * F.col("contig_id")).cast("long"), (2 * F.col("contig_id") + 1).cast("long"))).alias("w"), "length")
+    e = materialize(e)
     edge, chain, member = _contracted(e, lengths)
     ins = edge.groupBy(F.col("b").alias("c")).agg(F.count("*").alias("ins"))
     outs = edge.groupBy(F.col("a").alias("c")).agg(F.count("*").alias("outs"))
@@ -90,7 +91,7 @@ def find_bubbles(e: DataFrame, contigs: DataFrame, max_rounds: int = 10_000) ->
     inner = inside.join(good.select("s"), "s", "left_semi")
     outer = materialize(good.join(inner.select(F.col("c").alias("s")).distinct(), "s", "left_anti"))
     vertices = materialize(inner.join(outer.select("s", "u", "v"), "s").join(member, "c").select("u", "v", "w"))
-    discard(waiting, edge, chain, known, *tables)
+    discard(e, waiting, edge, chain, known, *tables)
     return outer.select("u", "v", "distance"), vertices
 
 
