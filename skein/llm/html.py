@@ -25,6 +25,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
+#: Of these, the ones that are lines of a text and no part of a page of their own.
+LINE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li dt dd blockquote pre address figcaption caption tr tbody thead tfoot".split())
 #: Elements and roles that are beside the main text by their meaning.
 ASIDE = frozenset("nav footer aside form dialog menu search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
@@ -149,9 +151,11 @@ def _style(tag: str, attrs: dict[str, str], inside: tuple[float, float]) -> tupl
 def blocks(page: str | None) -> list[tuple[int, tuple[float, float], str]]:
     """(path, what presentation tells, text) of each block of text that is shown.
 
-    A path is a hash of the open block elements with their first class or id, and role. Elements left
-    open end with what they stand in; a block element ends an open paragraph. One pass, whose
-    time is in proportion to the page."""
+    A path is a hash of the open block elements with their first class or id, and role. Lines of an
+    article or main element, as paragraphs and headings, are contents of what holds them and no
+    branches: a byline or heading that all articles of a host share is weighed with their texts, and stays
+    with them. Elements left open end with what they stand in; a block element ends an open paragraph.
+    One pass, whose time is in proportion to the page."""
     out: list[tuple[int, tuple[float, float], str]] = []
     stack = [_Open("", 0, PLAIN, False, True, 0)]
     text: list[str] = []
@@ -206,7 +210,9 @@ def blocks(page: str | None) -> list[tuple[int, tuple[float, float], str]]:
                 continue  # read to its end already
             style, means = _style(tag, told, holder.told)
             if block:
-                path = xxhash.xxh3_64_intdigest(style.encode("utf-8", "surrogatepass"), seed=stack[holder.above].path)
+                path = stack[holder.above].path
+                if not (tag in LINE and holder.told == means == MAIN):
+                    path = xxhash.xxh3_64_intdigest(style.encode("utf-8", "surrogatepass"), seed=path)
                 stack.append(_Open(tag, path, means, unseen, True, len(stack)))
                 count[tag] = count.get(tag, 0) + 1
             else:

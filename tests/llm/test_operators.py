@@ -603,6 +603,18 @@ def test_main_text_of_repeated_pages(spark):
     assert all(got[i] == "same story" for i in range(90)) and all(got[100 + i] == f"own text {i}" for i in range(90))
 
 
+@pytest.mark.parametrize("n", [2, 10, 60, 200])
+def test_lines_that_articles_share_stay(spark, n):
+    """Of random class names: a menu goes, a branch of the article that all pages share goes, its shared lines stay."""
+    article = "<article class=q7><h1>Title {0}</h1><p class=byline>By the desk</p><p>Story {0}</p><h2>Summary</h2><ul><li>Point {0}<li>Same point</ul><p>End {0}</p>{1}</article>"
+    page = "<div class=k3>Home</div><div class=k3>Shop</div>" + article
+    ad = "<div class=z9>Buy now</div>" if n >= 200 else ""  # where pages are few, presentation decides
+    rows = [(i, f"http://r.net/{i}", page.format(i, ad)) for i in range(n)]
+    got = {r.page_id: r.text for r in pages_html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    menu = "Home\nShop\n" if n == 2 else ""
+    assert all(got[i] == f"{menu}Title {i}\nBy the desk\nStory {i}\nSummary\nPoint {i}\nSame point\nEnd {i}" for i in range(n))
+
+
 # 10
 
 
