@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.functions.sequence import reverse_complement
-from skein.plans.iterate import materialize
+from skein.plans.iterate import discard, materialize, together
 
 
 def agp(scaffolds: DataFrame, least_piece: int = 0, least_scaffold: int = 0) -> DataFrame:
@@ -35,27 +35,48 @@ def gap_table(scaffolds: DataFrame, flank: int) -> DataFrame:
 
 
 def connect(pairs: DataFrame, kmers: DataFrame, k: int, longest: int, most_paths: int = 2) -> DataFrame:
-    """Pair, seq, n_paths: a walk of the de Bruijn graph (canonical kmers) from the last k-mer of left to the first of
-    right, `longest` bases at most between them, for pairs (pair, left, right) with just one such walk; n_paths counts
-    up to most_paths.
+    """Pair, seq, n_paths: walks of the de Bruijn graph (canonical kmers) from the last k-mer of left to the first of right,
+    of one to longest + k steps, that reach it once, for pairs (pair, left, right); n_paths counts them up to most_paths, and seq is the
+    smallest of them in text order, the only one where n_paths is 1.
 
-    A breadth-first search by joins on (k-1)-mers, all pairs in step; a pair with more than 64 open
-    walks is given up, as a search limit of the assembler."""
+    Both ends search in step and meet in the middle; the front of right is that of its reverse complement, as the graph has both
+    strands. A front has a row for each k-mer that a pair reaches in so many steps, with the number of walks to it and the smallest
+    of them: it does not grow with the number of walks, no pair is given up and no walk is lost.
+
+    Cases: pairs of one name, nulls included, have their walks together, equal ones once; pairs with a null or short flank or an
+    end that is not in the graph have no row, nor have any where kmers is empty; other columns are left aside."""
     from skein.operators.debruijn import oriented_kmers
 
-    step = materialize(oriented_kmers(kmers).select(F.left("w", F.lit(k - 1)).alias("m"), F.right("w", F.lit(1)).alias("b")).distinct())
-    start = pairs.select("pair", F.upper(F.right("left", F.lit(k))).alias("walk"), F.upper(F.left("right", F.lit(k))).alias("goal")).where((F.length("walk") == k) & (F.length("goal") == k))
-    front, found = materialize(start), None
-    for _ in range(longest + k):
-        met = front.join(step, F.right("walk", F.lit(k - 1)) == step["m"]).select("pair", F.concat("walk", "b").alias("walk"), "goal")
-        many = met.groupBy("pair").agg(F.count("*").alias("n")).where("n > 64").select("pair")
-        front = materialize(met.join(many, "pair", "left_anti"))
-        done = materialize(front.where(F.endswith(F.col("walk"), F.col("goal"))))
-        found = done if found is None else found.union(done)
-        front = front.where(~F.endswith(F.col("walk"), F.col("goal")))
+    most_steps = longest + k
+    half = (most_steps + 1) // 2
+    step = materialize(oriented_kmers(kmers).select("w", F.left("w", F.lit(k - 1)).alias("m"), F.right("w", F.lit(1)).alias("b")).distinct())
+    ends = pairs.select("pair", F.upper(F.right("left", F.lit(k))).alias("from"), F.upper(F.left("right", F.lit(k))).alias("to")).distinct()
+    for end in ("from", "to"):
+        ends = ends.join(step.select(F.col("w").alias(end)), end, "left_semi")
+    ends = materialize(ends)
+    # bases: of the walk so far on the left, what is left of it after the node on the right; a front's goal is that of its pair
+    left = ends.select("pair", F.lit(0).alias("side"), F.col("from").alias("node"), F.col("to").alias("goal"), F.col("from").alias("bases"))
+    turned = reverse_complement(F.col("to"))
+    right = ends.select("pair", F.lit(1).alias("side"), turned.alias("node"), turned.alias("goal"), F.lit("").alias("bases")).distinct()
+    front = left.union(right).withColumn("n", F.lit(1).cast("long"))
+    layers = []
+    for steps in range(1, half + 1):
+        met = front.where((F.col("side") == 0) | F.lit(steps <= most_steps - half)).join(step, F.substr("node", F.lit(2)) == F.col("m"))
+        bases = F.when(F.col("side") == 0, F.concat("bases", "b")).otherwise(F.concat(F.translate(F.left("node", F.lit(1)), "ACGT", "TGCA"), "bases"))
+        on = met.select("pair", "side", F.col("w").alias("node"), "goal", bases.alias("bases"), "n")
+        layer = materialize(on.groupBy("pair", "side", "node", "goal").agg(F.min("bases").alias("bases"), F.least(F.sum("n"), F.lit(most_paths)).alias("n")).withColumn("steps", F.lit(steps)))
+        layers.append(layer)
+        front = layer.where("node <> goal").drop("steps")
         if front.isEmpty():
             break
-    by = found.groupBy("pair").agg(F.min("walk").alias("seq"), F.least(F.count("*"), F.lit(most_paths)).alias("n_paths"))
+    reached = together(layers)
+    done = reached.where("side = 0 and node = goal").select("pair", "bases", "n")
+    ahead = reached.where((F.col("side") == 0) & (F.col("steps") == half) & (F.col("node") != F.col("goal")))
+    back = reached.where("side = 1 and node <> goal").select(F.col("pair").alias("p"), reverse_complement(F.col("node")).alias("x"), reverse_complement(F.col("goal")).alias("y"), F.col("bases").alias("rest"), F.col("n").alias("ways"))
+    over = ahead.join(back, F.col("pair").eqNullSafe(F.col("p")) & (F.col("node") == F.col("x")) & (F.col("goal") == F.col("y")))
+    found = done.union(over.select("pair", F.concat("bases", "rest"), F.col("n") * F.col("ways")))
+    by = materialize(found.groupBy("pair").agg(F.min("bases").alias("seq"), F.least(F.sum("n"), F.lit(most_paths)).alias("n_paths")))
+    discard(step, ends, *layers)
     return by
 
 

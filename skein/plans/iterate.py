@@ -56,6 +56,11 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of tables of the same columns, made by materialize(), in one scan however many they are."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._skein_folder for t in tables])
+
+
 class NotSettled(RuntimeError):
     """An iteration did not end within its rounds; its unfinished state is no result."""
 

@@ -894,6 +894,27 @@ def merge_read_pairs(spark, sf_dir):
     return B.merge_pairs(pairs, 20, 0.9).select(F.col("id.id").alias("item"), "id.start", "seq")
 
 
+_GAP_K, _GAP_LONGEST = 15, 17
+
+
+@query(
+    f"""WITH RECURSIVE {X.contigs_sql('benchmark', 'item_id')}, {_canon_sql(15)}, k AS (SELECT DISTINCT kmer FROM canon),
+ o AS (SELECT kmer AS w FROM k UNION SELECT {_RC.format('kmer')} FROM k), st AS (SELECT left(w, {_GAP_K - 1}) AS m, right(w, 1) AS b FROM o),
+ t AS (SELECT contig_id AS item, seq, CAST(unnest(range(0, length(seq), 60)) AS BIGINT) AS start FROM contigs),
+ p AS (SELECT item, start, substr(seq, start + 1, {_GAP_K}) AS l, substr(seq, start + 31, {_GAP_K}) AS goal FROM t),
+ w AS (SELECT item, start, l AS walk, goal, 0 AS n FROM p WHERE length(goal) = {_GAP_K}
+  UNION ALL SELECT item, start, walk || b, goal, n + 1 FROM w JOIN st ON right(walk, {_GAP_K - 1}) = m WHERE n < {_GAP_K + _GAP_LONGEST} AND (n = 0 OR right(walk, {_GAP_K}) <> goal))
+ SELECT item, start, min(walk) AS seq, least(count(*), 2) AS n_paths FROM w WHERE n > 0 AND right(walk, {_GAP_K}) = goal GROUP BY item, start"""
+)
+def gap_walks(spark, sf_dir):
+    """Walks between both ends of fragments of 45 bases, one each 60 bases of every item, in the graph of all items."""
+    c = X.contigs(spark, sf_dir, "benchmark", "item_id")
+    tiles = c.where("length(seq) > 0").select("contig_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(60))).alias("start"))
+    left, right = (F.substr("seq", F.col("start") + at, F.lit(_GAP_K)) for at in (1, 31))
+    pairs = tiles.select(F.struct("contig_id", F.col("start").cast("long").alias("start")).alias("pair"), left.alias("left"), right.alias("right"))
+    return B.connect(pairs, K.kmer_set(c, _GAP_K), _GAP_K, _GAP_LONGEST).select(F.col("pair.contig_id").alias("item"), "pair.start", "seq", "n_paths")
+
+
 # --- files: what writers write, readers read -------------------------------------------------------------------
 
 
