@@ -73,28 +73,31 @@ def align_global(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "consensus string, matches long, columns long")(a, b)
 
 
-def overlap_alignment(a: str, b: str, match: int = 1, mismatch: int = -2, gap: int = -2) -> tuple[int, int, int, int]:
-    """L3: (score, begin in a, end in b, matches) of the best alignment of a suffix of a with a prefix of b."""
+def overlap_alignment(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> tuple[int, int, int, int]:
+    """L3: (score, begin in a, end in b, matches) of the best alignment of a suffix of a with a prefix of b.
+
+    Bases match if one's IUPAC set holds the other's. A cell keeps its best step alone: a pair, else a gap in b, else one in a; a gap
+    is extended where that step was the same gap. Of ends of one score the first counts. Without a score over 0, as with an empty
+    sequence, there is no overlap: score 0, begin at a's end, end 0. Rows run along anti-diagonals; a cell takes five bytes."""
     x, y = _masks(a), _masks(b)
     n, m = len(x), len(y)
-    score = np.where((x[:, None] & y[None, :]) > 0, match, mismatch)
-    h = np.zeros((n + 1, m + 1), np.int64)
-    h[0, 1:] = gap * np.arange(1, m + 1)
+    h, step = np.zeros((n + 1, m + 1), np.int32), np.zeros((n + 1, m + 1), np.int8)
+    h[0, 1:] = -(10**9)  # b begins inside a or at its start
     for d in range(2, n + m + 1):
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
         j = d - i
-        h[i, j] = np.maximum(h[i - 1, j - 1] + score[i - 1, j - 1], np.maximum(h[i - 1, j], h[i, j - 1]) + gap)
+        pair = h[i - 1, j - 1] + np.where(_fits(x[i - 1], y[j - 1]), match, mismatch)
+        down = h[i - 1, j] + np.where(step[i - 1, j] == 1, gap_extend, gap_open)
+        right = h[i, j - 1] + np.where(step[i, j - 1] == 2, gap_extend, gap_open)
+        ways = np.stack([pair, down, right])
+        step[i, j], h[i, j] = ways.argmax(axis=0), ways.max(axis=0)
     end = int(h[n].argmax())
     i, j, matches = n, end, 0
-    while i and j:
-        if h[i, j] == h[i - 1, j - 1] + score[i - 1, j - 1]:
+    while j:
+        if step[i, j] == 0:
             matches += bool(_fits(x[i - 1], y[j - 1]))
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return int(h[n, end]), i, end, matches
+        i, j = i - (step[i, j] != 2), j - (step[i, j] != 1)
+    return int(h[n, end]), int(i), end, matches
 
 
 def align_overlap(a: Column, b: Column) -> Column:
