@@ -853,7 +853,7 @@ _WALK = 300
 def constrained_walks(spark, sf_dir):
     e = _est(spark, sf_dir)
     pairs = e.where("distance > 20").select(F.struct("u", "v").alias("pair"), "u", "v").distinct()
-    found = P.walks(e, pairs, _contig_lengths(spark, sf_dir).withColumnRenamed("contig_id", "w"), _WALK, most_steps=None)
+    found = P.walks(e, pairs, _contig_lengths(spark, sf_dir).withColumnRenamed("contig_id", "w"), _WALK, most_walks=200)
     return found.select("pair.u", "pair.v", F.array_join(F.transform("nodes", lambda w: w.cast("string")), " ").alias("nodes"), "distance")
 
 
