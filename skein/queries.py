@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein import fixtures as X
 from skein.functions import sequence as S
-from skein.operators import align as L, alignments as A, bubbles as BU, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, merging as M, paths as P
+from skein.operators import align as L, alignments as A, branches as BR, bubbles as BU, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, merging as M, paths as P
 from skein.plans.iterate import shared_folder
 from skein.sources import readers as R, writers as W
 
@@ -261,6 +261,24 @@ def dbg_neighbourhood(spark, sf_dir):
     return K.neighbourhood(k, k.where("left(kmer, 4) = 'AAAA'"), 3)
 
 
+@query()
+def dbg_branch_spans(spark, sf_dir):
+    return BR.branch_spans(G.edges(K.kmer_set(X.contigs(spark, sf_dir, "benchmark", "item_id"), 15)), 5)
+
+
+@query()
+def dbg_extensions(spark, sf_dir):
+    """How far a path from each k-mer of the benchmark goes, with tips of up to five k-mers passed over, and why it ends."""
+    kmers = K.kmer_set(X.contigs(spark, sf_dir, "benchmark", "item_id"), 15)
+    steps = BR.next_vertices(BR.branch_spans(G.edges(kmers), 5), G.oriented_kmers(kmers).select("w"), 5)
+    return BR.extensions(steps)
+
+
+@query()
+def dbg_branch_contigs(spark, sf_dir):
+    return BR.branch_contigs(K.kmer_set(X.contigs(spark, sf_dir, "benchmark", "item_id"), 15), 15, 5)
+
+
 # --- histograms ---------------------------------------------------------------------------------------------
 
 _H = f"WITH {X.HISTOGRAM_SQL}"
