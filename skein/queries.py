@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein import fixtures as X
 from skein.functions import sequence as S
-from skein.operators import align as L, alignments as A, branches as BR, bubbles as BU, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, merging as M, paths as P
+from skein.operators import align as L, alignments as A, branches as BR, bubbles as BU, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, merging as M, overlaps as OV, paths as P
 from skein.plans.iterate import shared_folder
 from skein.sources import readers as R, writers as W
 
@@ -586,6 +586,59 @@ def shorter_overlaps(spark, sf_dir):
     return C.shorter_overlaps(c, C.exact_overlaps(c, 5), 3, 4)
 
 
+_OW = f"o AS (SELECT contig_id * 2 AS w, seq FROM contigs UNION ALL SELECT contig_id * 2 + 1, {_RC.format('seq')} FROM contigs)"
+
+
+@query(
+    f"""WITH {X.contigs_sql('benchmark', 'item_id')}, {_OW}, s AS (SELECT unnest(range(8, 40)) AS size),
+ t AS (SELECT w, length(seq) AS n, size, right(seq, size) AS m FROM o, s WHERE length(seq) > size), h AS (SELECT w, size, left(seq, size) AS m FROM o, s WHERE length(seq) > size),
+ e AS (SELECT t.w AS u, h.w AS v, CAST(-max(size) AS BIGINT) AS distance FROM t JOIN h USING (size, m) GROUP BY 1, 2),
+ x AS (SELECT DISTINCT a.u, b.v FROM e a JOIN e b ON a.v = b.u WHERE a.u <> a.v AND b.u <> b.v AND a.u <> b.v), g AS (SELECT u, v FROM e SEMI JOIN x USING (u, v)), d AS (SELECT u, v FROM g UNION SELECT xor(v, 1), xor(u, 1) FROM g)
+ SELECT u, v, distance FROM e ANTI JOIN d USING (u, v)"""
+)
+def all_overlaps(spark, sf_dir):
+    return OV.all_overlaps(X.contigs(spark, sf_dir, "benchmark", "item_id"), 8, 40)
+
+
+def _part_contigs(spark, sf_dir):
+    """Sequences for the contigs of X.estimates(): a part's name and the number of the contig as bases."""
+    part = X.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    name = F.translate(F.lower(F.regexp_replace("p_name", "[^a-zA-Z]", "")), X.ALPHABET, X.BASES)
+    contig = F.col("p_partkey") * 10 + F.col("i")
+    return part.select(contig.alias("contig_id"), F.concat(name, F.translate(contig.cast("string"), "0123456789", "ACGTACGTAC")).alias("seq"))
+
+
+@query(
+    f"""WITH {X.ESTIMATES_SQL}, contigs AS (SELECT p_partkey * 10 + i AS contig_id, translate(lower(regexp_replace(p_name,'[^a-zA-Z]','','g')),'{X.ALPHABET}','{X.BASES}') || translate(CAST(p_partkey * 10 + i AS VARCHAR),'0123456789','ACGTACGTAC') AS seq FROM part, range(10) t(i)), {_OW},
+ e AS (SELECT a.w AS u, b.w AS v FROM o a JOIN o b ON right(a.seq, 8) = left(b.seq, 8) WHERE length(a.seq) > 8 AND length(b.seq) > 8),
+ g AS (SELECT src * 2 AS u, dst * 2 + (src + dst) % 2 AS v, distance, CAST(4 AS DOUBLE) / n AS sd FROM est),
+ m AS (SELECT least(u, xor(v, 1)) AS u, CASE WHEN u <= xor(v, 1) THEN v ELSE xor(u, 1) END AS v, distance, sd FROM g WHERE u // 2 <> v // 2),
+ c AS (SELECT u, v, distance, sd FROM m WHERE u NOT IN (SELECT u FROM e) AND v NOT IN (SELECT v FROM e) QUALIFY row_number() OVER (PARTITION BY u, v ORDER BY distance, sd) = 1),
+ z AS (SELECT c.u, c.v, distance, CASE WHEN distance - ceil(3 * sd + 6) <= 0 THEN list_filter(range(least(length(a.seq), length(b.seq)), 0, -1), lambda n: right(a.seq, n) = left(b.seq, n)) ELSE [] END AS s FROM c JOIN o a ON a.w = c.u JOIN o b ON b.w = c.v),
+ k AS (SELECT u, v, distance, coalesce(s[1], 0) AS overlap FROM z WHERE len(s) < 3 OR s[1] - s[2] <> s[2] - s[3]),
+ b AS (SELECT * FROM k UNION SELECT xor(v, 1), xor(u, 1), distance, overlap FROM k), f AS (SELECT * FROM b WHERE overlap > 0),
+ j AS (SELECT * FROM f WHERE u IN (SELECT u FROM f GROUP BY 1 HAVING count(*) = 1) AND v IN (SELECT v FROM f GROUP BY 1 HAVING count(*) = 1)),
+ l AS (SELECT * FROM b WHERE u NOT IN (SELECT u FROM j) AND v NOT IN (SELECT v FROM j))
+ SELECT u, v, CAST(-overlap AS BIGINT) AS distance, CAST(overlap AS BIGINT) AS overlap FROM j
+ UNION ALL SELECT u, v, distance, CAST(0 AS BIGINT) FROM l WHERE overlap = 0 AND u IN (SELECT u FROM l GROUP BY 1 HAVING count(*) = 1) AND v IN (SELECT v FROM l GROUP BY 1 HAVING count(*) = 1)"""
+)
+def guided_overlaps(spark, sf_dir):
+    contigs = _part_contigs(spark, sf_dir)
+    strand = (F.col("src") + F.col("dst")) % 2
+    est = X.estimates(spark, sf_dir).select((F.col("src") * 2).alias("u"), (F.col("dst") * 2 + strand).alias("v"), "distance", (F.lit(4.0) / F.col("n")).alias("sd"))
+    return OV.guided_overlaps(est, C.exact_overlaps(contigs, 8), contigs, scaffold=True)
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT CAST(floor(value) AS BIGINT) AS w, user_id FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL), n AS (SELECT w, count(*) AS n FROM r GROUP BY 1),
+ s AS (SELECT x.w AS a, y.w AS b, count(*) AS shared FROM r x JOIN r y ON x.user_id = y.user_id AND x.w < y.w GROUP BY 1, 2)
+ SELECT a, b, shared, p.n + q.n - shared AS total FROM s JOIN n p ON p.w = a JOIN n q ON q.w = b WHERE 100 * shared >= 40 * (p.n + q.n - shared)"""
+)
+def barcode_links(spark, sf_dir):
+    """Whole parts of the events' values as contig ends, users as barcodes."""
+    return OV.barcode_links(X.table(spark, sf_dir, "events").select(F.floor("value").cast("long").alias("w"), F.col("user_id").alias("barcode")), 40)
+
+
 @query(
     "WITH RECURSIVE" + _O.removeprefix("WITH")
     + """, l AS (SELECT u, v FROM e WHERE u IN (SELECT u FROM e GROUP BY 1 HAVING count(*) = 1) AND v IN (SELECT v FROM e GROUP BY 1 HAVING count(*) = 1) AND v <> xor(u, 1)),
