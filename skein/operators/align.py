@@ -9,6 +9,7 @@ from skein.functions.sequence import IUPAC
 # The scores of the global alignment.
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 5, -4, -12, -4
 
+_LOW = -(10**9)
 _MASK = np.zeros(256, np.uint8)
 for _c, _m in IUPAC.items():
     _MASK[ord(_c)] = _MASK[ord(_c.lower())] = _m
@@ -25,41 +26,65 @@ def _fits(x, y):
     return (both == x) | (both == y)
 
 
+def _next_row(row: np.ndarray, i: int, x: np.uint8, y: np.ndarray) -> np.ndarray:
+    """Row i of the table of best scores (0 pairs, 1 gap in b, 2 gap in a) from the one before; a gap in a opens at the best place before."""
+    at = np.arange(len(y) + 1, dtype=np.int32)
+    new = np.empty_like(row)
+    new[:, 0] = _LOW
+    new[0, 1:] = row[:, :-1].max(axis=0) + np.where(_fits(x, y), MATCH, MISMATCH)
+    new[1, 1:] = np.maximum(row[1] + GAP_EXTEND, np.maximum(row[0], row[2]) + GAP_OPEN)[1:]
+    new[1, 0] = GAP_OPEN + GAP_EXTEND * (i - 1)
+    opened = np.maximum.accumulate(np.maximum(new[0], new[1]) + GAP_OPEN - GAP_EXTEND * at)
+    new[2, 1:] = opened[:-1] + GAP_EXTEND * at[:-1]
+    return new
+
+
 def global_alignment(a: str, b: str) -> tuple[str, int, int]:
     """L1: (consensus, matches, columns) of the best global alignment with affine gaps.
 
     Bases match if one's IUPAC set holds the other's; the consensus has the union of both, lower case
-    where one has a gap. Rows run along anti-diagonals, so each is one vector operation."""
+    where one has a gap. A row is a few vector operations. Every so many rows one is kept, as many as there are rows between
+    two, and those between are made again on the way back: memory is the length of b times the root of that of a."""
     x, y = _masks(a), _masks(b)
     n, m = len(x), len(y)
-    low = -(10**9)
-    best = np.full((3, n + 1, m + 1), low, np.int64)  # 0 pairs, 1 gap in b, 2 gap in a
-    best[0, 0, 0] = 0
-    best[1, 1:, 0] = GAP_OPEN + GAP_EXTEND * np.arange(n)
-    best[2, 0, 1:] = GAP_OPEN + GAP_EXTEND * np.arange(m)
-    score = np.where(_fits(x[:, None], y[None, :]), MATCH, MISMATCH)
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        best[0, i, j] = best[:, i - 1, j - 1].max(axis=0) + score[i - 1, j - 1]
-        best[1, i, j] = np.maximum(best[1, i - 1, j] + GAP_EXTEND, np.maximum(best[0, i - 1, j], best[2, i - 1, j]) + GAP_OPEN)
-        best[2, i, j] = np.maximum(best[2, i, j - 1] + GAP_EXTEND, np.maximum(best[0, i, j - 1], best[1, i, j - 1]) + GAP_OPEN)
-    i, j, state, out, matches = n, m, int(best[:, n, m].argmax()), [], 0
+    row = np.full((3, m + 1), _LOW, np.int32)
+    row[0, 0] = 0
+    row[2, 1:] = GAP_OPEN + GAP_EXTEND * np.arange(m)
+    stride = max(1, int(n**0.5))
+    kept = {0: row}
+    for i in range(1, n + 1):
+        row = _next_row(row, i, x[i - 1], y)
+        if i % stride == 0:
+            kept[i] = row
+    block: dict[int, np.ndarray] = {n: row}
+
+    def best(i: int) -> np.ndarray:
+        if i not in block:
+            block.clear()
+            first = i // stride * stride
+            block[first] = kept[first]
+            for r in range(first + 1, i + 1):
+                block[r] = _next_row(block[r - 1], r, x[r - 1], y)
+        return block[i]
+
+    i, j, state, out, matches = n, m, int(row[:, m].argmax()), [], 0
     while i or j:
-        here = best[state, i, j]
+        here = best(i)[state, j]
         if state == 0:
             matches += bool(_fits(x[i - 1], y[j - 1]))
             out.append(_CODE.get(int(x[i - 1] | y[j - 1]), "N"))
             i, j = i - 1, j - 1
-            state = int(best[:, i, j].argmax())
+            state = int(best(i)[:, j].argmax())
         elif state == 1:
             out.append(a[i - 1].lower())
             i -= 1
-            state = 1 if best[1, i, j] + GAP_EXTEND == here else (0 if best[0, i, j] >= best[2, i, j] else 2)
+            now = best(i)[:, j]
+            state = 1 if now[1] + GAP_EXTEND == here else (0 if now[0] >= now[2] else 2)
         else:
             out.append(b[j - 1].lower())
             j -= 1
-            state = 2 if best[2, i, j] + GAP_EXTEND == here else (0 if best[0, i, j] >= best[1, i, j] else 1)
+            now = best(i)[:, j]
+            state = 2 if now[2] + GAP_EXTEND == here else (0 if now[0] >= now[1] else 1)
     return "".join(reversed(out)), matches, len(out)
 
 
@@ -79,6 +104,12 @@ def overlap_alignment(a: str, b: str, match: int = MATCH, mismatch: int = MISMAT
     Bases match if one's IUPAC set holds the other's. A cell keeps its best step alone: a pair, else a gap in b, else one in a; a gap
     is extended where that step was the same gap. Of ends of one score the first counts. Without a score over 0, as with an empty
     sequence, there is no overlap: score 0, begin at a's end, end 0. Rows run along anti-diagonals; a cell takes five bytes."""
+    score, begin, end, consensus, matches = _overlap(a, b, match, mismatch, gap_open, gap_extend)
+    return score, begin, end, matches
+
+
+def _overlap(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> tuple[int, int, int, str, int]:
+    """Score, begin in a, end in b, consensus (unions, lower case where a base is or where one has a gap) and matches of overlap_alignment()."""
     x, y = _masks(a), _masks(b)
     n, m = len(x), len(y)
     h, step = np.zeros((n + 1, m + 1), np.int32), np.zeros((n + 1, m + 1), np.int8)
@@ -92,12 +123,53 @@ def overlap_alignment(a: str, b: str, match: int = MATCH, mismatch: int = MISMAT
         ways = np.stack([pair, down, right])
         step[i, j], h[i, j] = ways.argmax(axis=0), ways.max(axis=0)
     end = int(h[n].argmax())
-    i, j, matches = n, end, 0
+    i, j, matches, out = n, end, 0, []
     while j:
         if step[i, j] == 0:
             matches += bool(_fits(x[i - 1], y[j - 1]))
+            c = _CODE.get(int(x[i - 1] | y[j - 1]), "N")
+            out.append(c.lower() if a[i - 1].islower() or b[j - 1].islower() else c)
+        else:
+            out.append((a[i - 1] if step[i, j] == 1 else b[j - 1]).lower())
         i, j = i - (step[i, j] != 2), j - (step[i, j] != 1)
-    return int(h[n, end]), int(i), end, matches
+    return int(h[n, end]), int(i), end, "".join(reversed(out)), matches
+
+
+def agreed(a: str, b: str) -> str | None:
+    """The consensus of two sequences of one length, if at each place one set of bases holds the other: the union, but the other's
+    base for an N; lower case where either is. None if they disagree."""
+    if a == b:
+        return a
+    x, y = _masks(a), _masks(b)
+    if not _fits(x, y).all():
+        return None
+    x, y = np.where(x == _MASK[ord("N")], y, x), np.where(y == _MASK[ord("N")], x, y)
+    codes = (_CODE.get(int(c), "N") for c in x | y)
+    return "".join(c.lower() if s.islower() or t.islower() else c for c, s, t in zip(codes, a, b, strict=True))
+
+
+def joined(pieces: list[str], overlaps: list[int], least_match: int = 20, identity: float = 0.9) -> str:
+    """Pieces laid over each other by so many bases each (0: put behind it; -1: one n between). Where the bases of an overlap do not agree, n at
+    the end of what there is are taken off one by one, as long as they do not; else the overlap is aligned and its consensus taken if matches and
+    identity are enough; else there is one n between."""
+    out = pieces[0]
+    for s, o in zip(pieces[1:], overlaps[1:], strict=True):
+        o = int(min(o, len(out), len(s)))
+        if o <= 0:
+            out += ("n" if o < 0 else "") + s
+            continue
+        tail, cut = out[len(out) - o :], out
+        both = agreed(tail, s[:o])
+        while both is None and cut.endswith("n") and len(cut) > o:
+            cut = cut[:-1]
+            both = agreed(cut[len(cut) - o :], s[:o])
+        if both is not None:
+            out = cut[: len(cut) - o] + both + s[o:]
+            continue
+        _, begin, end, consensus, matches = _overlap(tail, s[:o])
+        good = matches >= least_match and matches >= identity * len(consensus)
+        out = out[: len(out) - o + begin] + consensus + s[end:] if good else out + "n" + s
+    return out
 
 
 def align_overlap(a: Column, b: Column) -> Column:
