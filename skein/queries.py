@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein import fixtures as X
 from skein.functions import sequence as S
-from skein.operators import align as L, alignments as A, branches as BR, bubbles as BU, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, merging as M, overlaps as OV, paths as P
+from skein.operators import align as L, alignments as A, branches as BR, bubbles as BU, contigs as C, debruijn as G, gaps as B, histogram as H, kmers as K, merging as M, overlaps as OV, paths as P, repeats as RE
+from skein.plans import assembly as AS
 from skein.plans.iterate import shared_folder
 from skein.sources import readers as R, writers as W
 
@@ -936,6 +937,28 @@ def repeat_paths(spark, sf_dir):
     return P.repeat_paths(_oe(spark, sf_dir))
 
 
+@query()
+def walk_consensus(spark, sf_dir):
+    """What the walks of constrained_walks make of the gap between their ends, contigs as in guided_overlaps."""
+    e = _est(spark, sf_dir)
+    pairs = e.where("distance > 20").select(F.struct("u", "v").alias("pair"), "u", "v").distinct()
+    found = P.walks(e, pairs, _contig_lengths(spark, sf_dir).withColumnRenamed("contig_id", "w"), _WALK)
+    doubled = found.select(F.col("pair").alias("gap"), F.transform("nodes", lambda w: w * 2).alias("nodes"))
+    contigs = _part_contigs(spark, sf_dir).withColumn("coverage", F.lit(1))
+    edges = e.select((F.col("u") * 2).alias("u"), (F.col("v") * 2).alias("v"), "distance")
+    text = lambda c: F.array_join(F.transform(c, lambda w: w.cast("string")), " ").alias(c)
+    return P.path_consensus(doubled, contigs, edges, 10, 0.6).select("gap.u", "gap.v", "n", "code", text("before"), "seq", text("after"))
+
+
+@query()
+def resolved_repeats(spark, sf_dir):
+    """Unitigs of the benchmark, and in how many copies they are there when windows of 24 bases of all items have taken repeats apart."""
+    items = X.contigs(spark, sf_dir, "benchmark", "item_id")
+    unitig = AS.number(G.unitigs(K.count_kmers(items, 11)).select("seq", "coverage"))
+    _, made = RE.resolve_repeats(AS.overlap_graph(unitig, 11), unitig, items, 24, 10, least=1)
+    return made.groupBy("seq").agg(F.count("*").alias("copies"))
+
+
 @query(
     f"WITH {X.contigs_sql('benchmark', 'item_id', 'items')} SELECT contig_id AS id, matches, columns FROM (SELECT contig_id, CAST(length(seq) AS BIGINT) AS matches, CAST(length(seq) AS BIGINT) AS columns FROM items)"
 )
