@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame
 VOCABULARY = "byte_bpe_50k.json"
 #: Rows taken through the encoder at once, which bounds a task's memory.
 ROWS = 256
-#: Words and token pairs remembered at most before a memory is emptied.
-MEMORY = 400_000
+#: Words and token pairs remembered at most before a memory is emptied, and those that a worker process keeps between tasks.
+MEMORY, KEPT = 400_000, 50_000
 
 #: Fixed value: the pattern that splits texts before byte-level merges.
 PATTERN = regex.compile(public_tokenizers.PATTERN, regex.V0)
@@ -116,6 +117,14 @@ class Bpe:
             self.special[part].to_bytes(4, "little") if i % 2 else b"".join(map(self.words.__getitem__, PATTERN.findall(part))) for i, part in enumerate(parts)
         )
 
+    def forget(self) -> None:
+        """Keeps the first KEPT words and pairs of each memory, as frequent ones come early: a worker process outlives
+        its task, and other operators' tasks follow in it."""
+        for memory in (self.words, self.fits):
+            kept = dict(islice(memory.items(), KEPT))
+            memory.clear()
+            memory.update(kept)
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -162,11 +171,14 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                x = whole.slice(at, ROWS)
-                ids = [bpe.encode(t) if t else b"" for t in x["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([x["doc_id"], pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    x = whole.slice(at, ROWS)
+                    ids = [bpe.encode(t) if t else b"" for t in x["text"].to_pylist()]
+                    yield pa.RecordBatch.from_arrays([x["doc_id"], pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+        finally:
+            bpe.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")

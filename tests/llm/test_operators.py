@@ -683,6 +683,30 @@ def test_query_runs(spark, name):
         assert not queries.QUERIES[name](spark, SF).isEmpty()
 
 
+def test_pipeline_bounds_what_workers_hold(spark):
+    import corpus_pipeline as c
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, " ".join(f"{i}q" for i in range(bpe.KEPT + 9_000)))], "doc_id long, text string").coalesce(1)
+    try:
+        assert c.bpe(spark, docs, SF).collect()[0].n_tokens > bpe.KEPT
+
+        def sizes(batches):
+            for x in batches:
+                from skein.llm import bpe as there
+
+                yield x.assign(id=max([len(m) for b in there._LOADED.values() for m in (b.words, b.fits)], default=0))
+
+        held = [r.id for r in spark.range(0, 16, 1, 16).mapInPandas(sizes, "id long").collect()]
+        assert 0 < max(held) <= bpe.KEPT
+        assert int(spark.conf.get(setting)) == c.BATCH_ROWS
+        spark.conf.set(setting, 10)
+        c.bpe(spark, docs, SF)
+        assert spark.conf.get(setting) == "10"
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as c
 
