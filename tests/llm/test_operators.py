@@ -411,6 +411,22 @@ def test_ibans_keys_and_clashing_columns(spark):
         spark.conf.unset(pii.KEY_SETTING)
 
 
+def test_without_a_key_a_cluster_has_a_random_one_for_each_application():
+    from types import SimpleNamespace
+
+    def session(master, application, key=None):
+        conf = SimpleNamespace(get=lambda name, default: key if key and name == pii.KEY_SETTING else default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=application))
+
+    with pytest.warns(UserWarning, match="random key"):
+        one = pii.configured_key(session("spark://host:7077", "app-1"))
+    with pytest.warns(UserWarning):
+        assert pii.configured_key(session("yarn", "app-1")) == one and len(one) == 64
+        assert pii.configured_key(session("yarn", "app-2")) not in (one, pii.TEST_KEY)
+        assert pii.configured_key(session("local-cluster[2,1,1024]", "app-1")) == pii.TEST_KEY
+    assert pii.configured_key(session("yarn", "app-1", "mine")) == "mine"
+
+
 # 6
 
 
