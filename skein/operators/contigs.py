@@ -62,8 +62,9 @@ def prune_tips(e: DataFrame, vertices: DataFrame | None = None) -> tuple[DataFra
 
 
 def drop_vertices(e: DataFrame, gone: DataFrame) -> DataFrame:
-    """The graph without the contigs of the vertices (w) in either orientation."""
-    both = gone.select("w").union(gone.select(complement(F.col("w")))).distinct()
+    """The graph without the contigs of the vertices (w) in either orientation. They may be many more than Spark expects, so
+    they are never broadcast."""
+    both = gone.select("w").union(gone.select(complement(F.col("w")))).distinct().hint("merge")
     return e.join(both.select(F.col("w").alias("u")), "u", "left_anti").join(both.select(F.col("w").alias("v")), "v", "left_anti").select(*e.columns)
 
 
@@ -223,7 +224,8 @@ def shorter_overlaps(contigs: DataFrame, e: DataFrame, least: int, most: int) ->
 
 
 def _oriented(contigs: DataFrame) -> DataFrame:
-    return contigs.select((F.col("contig_id") * 2).alias("w"), "seq").union(contigs.select(F.col("contig_id") * 2 + 1, reverse_complement(F.col("seq"))))
+    """Both orientations; a union has none of its parts' hints, so it is told anew that it is not to be broadcast."""
+    return contigs.select((F.col("contig_id") * 2).alias("w"), "seq").union(contigs.select(F.col("contig_id") * 2 + 1, reverse_complement(F.col("seq")))).hint("merge")
 
 
 def invalid_edges(e: DataFrame, contigs: DataFrame) -> DataFrame:
