@@ -269,3 +269,29 @@ def test_junctions_and_layout(spark):
     assert forms(C.layout(frame(extra))) == {(0, 2, 4), (8, 12)}
     assert (0, 2, 4) not in forms(C.layout(frame(extra), reduce=False))
     assert forms(C.layout(frame(extra), spark.createDataFrame([(0,), (2,)], "w long"))) == {(0, 2)}
+
+
+def test_solid_runs_of_many_batches_make_no_row_for_a_window(spark, monkeypatch):
+    from skein.functions import packed
+
+    monkeypatch.setattr(packed, "LOOKUP", 300)
+    rng, k = random.Random(5), 7
+    texts = ["".join(rng.choices("ACGT" if i % 4 else "ACGTN", k=rng.choice([0, 3, 7, 40, 200, 900]))) for i in range(60)] + [None, "acgtacgtACGTAC", "A" * 500]
+    reads = spark.createDataFrame(list(enumerate(texts)), "id long, seq string").repartition(3)
+    seen = [canon(x) for t in texts for i in range(len(t or "") - k + 1) if "N" not in (x := t.upper()[i : i + k])]
+    solid = {x for x in seen if rng.random() < 0.8 and x != canon("ACGTACG")}
+    kmers = spark.createDataFrame([(x,) for x in solid], "kmer string")
+    runs, hits = {}, {}
+    for i, t in enumerate(texts):
+        ok = [canon(t.upper()[j : j + k]) in solid if "N" not in t[j : j + k] else False for j in range(len(t or "") - k + 1)]
+        hits[i], n = sum(ok), 0
+        for j, x in enumerate(ok):
+            n = n + 1 if x else 0
+            if n > runs.get(i, (0, 0))[0]:
+                runs[i] = n, j - n + 1
+    trimmed = K.trim_to_solid(reads, kmers, k, "id")
+    assert {(r.id, r.start, r.seq) for r in trimmed.collect()} == {(i, at, texts[i][at : at + n + k - 1]) for i, (n, at) in runs.items()}
+    judged = K.solidity(reads, kmers, k, "id")
+    assert {r.id: r.n_solid for r in judged.collect()} == hits
+    assert not any("forward#" in df._jdf.queryExecution().executedPlan().toString() for df in (trimmed, judged))
+    assert K.trim_to_solid(reads, kmers.where("false"), k, "id").count() == 0 and K.solidity(reads.where("false"), kmers, k, "id").count() == 0
