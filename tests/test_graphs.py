@@ -295,3 +295,29 @@ def test_solid_runs_of_many_batches_make_no_row_for_a_window(spark, monkeypatch)
     assert {r.id: r.n_solid for r in judged.collect()} == hits
     assert not any("forward#" in df._jdf.queryExecution().executedPlan().toString() for df in (trimmed, judged))
     assert K.trim_to_solid(reads, kmers.where("false"), k, "id").count() == 0 and K.solidity(reads.where("false"), kmers, k, "id").count() == 0
+
+
+def test_contained_sequences_by_digests(spark):
+    rng = random.Random(3)
+    base = ["".join(rng.choices("ACGT", k=n)) for n in (400, 300, 90)] + ["A" * 200, "ACGTTGCA" * 30 + "N" + "GATTACA" * 9]
+    cut = [s[i : i + n] for s in base for i, n in ((0, 25), (0, 60), (7, 40), (len(s) - 50, 50), (20, 24), (30, 55)) if i + n <= len(s)]
+    seqs = base + cut + [rc(s) for s in cut[::2]] + base[:1] + [rc(base[1]), base[0][:50] + base[1][:50], base[0][:80].lower(), None, "", "N" * 30, "ACGTNNNNNN" * 5, ("ACGTNNNNNN" * 5)[4:40]]
+    seqs += [base[2][:45] + x for x in ("A", "C", "G", "T", "")]
+    rng.shuffle(seqs)
+    up = {i: s.upper() for i, s in enumerate(seqs) if s and len(s) >= 25}
+    inside = lambda i, j: (len(up[j]) > len(up[i]) or (len(up[j]) == len(up[i]) and j < i)) and (up[i] in up[j] or rc(up[i]) in up[j])
+    want = {i for i in up if any(inside(i, j) for j in up if i != j)}
+    df = spark.createDataFrame(list(enumerate(seqs)), "contig_id long, seq string").repartition(4)
+    assert {r.contig_id for r in A.contained_sequences(df).collect()} == want and 10 < len(want) < len(up)
+    assert A.contained_sequences(df.where("false")).count() == 0
+
+
+def test_candidates_of_containment_carry_no_sequences(spark, monkeypatch):
+    """Each candidate had both sequences, and each window was a string: 300 texts of a common beginning made 300 squared such rows."""
+    rows, keep = [], A.packed_windows
+    monkeypatch.setattr(A, "packed_windows", lambda *a, **b: rows.append(keep(*a, **b)) or rows[-1])
+    rng = random.Random(8)
+    head = "".join(rng.choices("ACGT", k=60))
+    df = spark.createDataFrame([(i, head + "".join(rng.choices("ACGT", k=600 + i % 7))) for i in range(300)], "contig_id long, seq string")
+    assert A.contained_sequences(df).count() == 0
+    assert rows[0].count() < 300 * 60
