@@ -279,6 +279,30 @@ def packed_places(df: DataFrame, mask: str, seq: str = "seq") -> DataFrame:
     return df.select(seq).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def _flipped(codes: np.ndarray, k: int) -> np.ndarray:
+    """Codes of the reverse complements."""
+    x = codes.astype(np.uint64)
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F)):
+        x = (x >> np.uint64(shift)) & np.uint64(mask) | (x & np.uint64(mask)) << np.uint64(shift)
+    return ((x.byteswap() >> np.uint64(64 - 2 * k)) ^ np.uint64((1 << 2 * k) - 1)).astype(np.int64)
+
+
+def oriented_codes(codes: DataFrame, k: int) -> DataFrame:
+    """canon, w and the other columns: both orientations of each code (canon, ...), one of a palindrome."""
+    others = [f for f in codes.schema.fields if f.name != "canon"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            own = x["canon"].to_numpy()
+            other = _flipped(own, k)
+            at = np.concatenate([np.arange(len(own)), np.flatnonzero(other != own)])
+            w = np.concatenate([own, other[other != own]])
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(w), *[x[f.name].take(pa.array(at)) for f in others]], ["canon", "w", *[f.name for f in others]])
+
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
+    return codes.select("canon", *[f.name for f in others]).mapInArrow(run, f"canon long, w long{kinds}")
+
+
 def unpacked(code: Column, k: int) -> Column:
     """A code's bases as a string."""
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")

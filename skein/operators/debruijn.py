@@ -6,11 +6,12 @@ overlap by k - 1 bases; with (u, v) there always is the edge between the reverse
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from skein.functions.packed import MOST as MOST_PACKED, oriented_codes, packed, unpacked
 from skein.functions.sequence import canonical, reverse_complement
 from skein.operators.kmers import apply_threshold, count_kmers
-from skein.plans.iterate import materialize
+from skein.plans.iterate import discard, materialize, together
 
 BASES = "ACGT"
 
@@ -51,8 +52,14 @@ def erode(kmers: DataFrame, e: int, both: int = 0, max_rounds: int = 10_000) ->
     A weak k-mer whose only predecessor goes is an end itself, so a round takes all that hang on an end by weak
     only predecessors, found by pointer jumping; rounds do not grow with the length of what is eroded."""
     kmers = materialize(kmers)
+    low = (F.col("cov_fwd") + F.col("cov_rev") < e) | (F.least("cov_fwd", "cov_rev") < both)
+    k, most, odd = kmers.agg(F.min(F.length("kmer")), F.max(F.length("kmer")), F.bool_or(F.col("kmer").rlike("[^ACGT]"))).first()
+    if k is None:
+        return kmers
+    if k == most and not odd and k <= MOST_PACKED:
+        return _eroded(kmers, low, k, max_rounds)
     for _ in range(max_rounds):
-        weak = kmers.where((F.col("cov_fwd") + F.col("cov_rev") < e) | (F.least("cov_fwd", "cov_rev") < both))
+        weak = kmers.where(low)
         back = edges(kmers).groupBy(F.col("v").alias("w")).agg(F.count("*").alias("n"), F.min("u").alias("p"))
         w = materialize(oriented_kmers(weak).join(back, "w", "left"))
         ends = w.where("n is null").select(F.col("w").alias("head"))
@@ -64,6 +71,36 @@ def erode(kmers: DataFrame, e: int, both: int = 0, max_rounds: int = 10_000) ->
     return kmers
 
 
+def _eroded(kmers: DataFrame, low: Column, k: int, max_rounds: int) -> DataFrame:
+    """erode() of k-mers of up to 31 bases, as numbers. A strong k-mer never goes, so what follows one is no end on that side: only weak
+    ones whose predecessors are all weak are kept, each with these, found once; a round takes what goes out of that table."""
+    codes = kmers.select(packed(F.col("kmer")).alias("canon"), low.alias("weak"))
+    both = oriented_codes(codes, k)
+    before = both.groupBy(F.col("w").bitwiseAND(F.lit((1 << 2 * (k - 1)) - 1)).alias("m")).agg(F.bool_and("weak").alias("weak"), F.collect_list("w").alias("back"))
+    mine = oriented_codes(codes.where("weak").select("canon"), k).withColumn("m", F.shiftright("w", 2))
+    none = F.array().cast("array<bigint>")
+    state = materialize(mine.join(before, "m", "left").where(F.coalesce("weak", F.lit(True))).select("w", "canon", F.coalesce("back", none).alias("back")))
+    tables = []
+    for _ in range(max_rounds):
+        ends = state.where(F.size("back") == 0).select(F.col("w").alias("head"))
+        if ends.isEmpty():
+            break
+        links = state.where(F.size("back") == 1).select(F.col("back")[0].alias("u"), F.col("w").alias("v")).join(state.select(F.col("w").alias("u")), "u", "left_semi").select("u", "v")
+        gone = materialize(chains(links, state.select("w")).join(ends, "head", "left_semi").join(state.select("w", "canon"), "w").select("canon").distinct())
+        tables.append(gone)
+        left = state.join(gone, "canon", "left_anti")
+        back = left.select("w", F.explode("back").alias("p")).join(oriented_codes(gone, k).select(F.col("w").alias("p")), "p", "left_anti")
+        back = back.groupBy("w").agg(F.collect_list("p").alias("back"))
+        last, state = state, materialize(left.select("w", "canon").join(back, "w", "left").select("w", "canon", F.coalesce("back", none).alias("back")))
+        discard(last)
+    if not tables:
+        return kmers
+    away = together(tables).select(unpacked(F.col("canon"), k).alias("kmer"))
+    out = materialize(kmers.join(away, "kmer", "left_anti"))
+    discard(kmers, state, *tables)
+    return out
+
+
 def unambiguous_edges(e: DataFrame) -> DataFrame:
     """Edges whose start has no other successor and whose end has no other predecessor, palindromic ones left out."""
     once_out = e.groupBy("u").agg(F.count("*").alias("n")).where("n = 1").select("u")

@@ -321,3 +321,25 @@ def test_candidates_of_containment_carry_no_sequences(spark, monkeypatch):
     df = spark.createDataFrame([(i, head + "".join(rng.choices("ACGT", k=600 + i % 7))) for i in range(300)], "contig_id long, seq string")
     assert A.contained_sequences(df).count() == 0
     assert rows[0].count() < 300 * 60
+
+
+def test_erosion_of_random_sets_equals_plain_rounds(spark, monkeypatch):
+    """The edges of all k-mers were made in each round."""
+    calls = []
+    monkeypatch.setattr(G, "edges", lambda *a: calls.append(1))
+    for seed, k, e, both in ((1, 5, 3, 0), (2, 4, 3, 1), (3, 7, 2, 0)):
+        rng = random.Random(seed)
+        text = "".join(rng.choices("ACGT", k=45 if k == 4 else 260)) + "A" * 12
+        rows = {canon(text[i : i + k]): (rng.randint(0, 3), rng.randint(0, 2)) for i in range(len(text) - k + 1) if rng.random() < 0.9}
+        left = dict(rows)
+        while True:
+            weak = [x for x, (f, r) in left.items() if f + r < e or min(f, r) < both]
+            end = lambda x: any(all(canon(b + w[:-1]) not in left for b in "ACGT") for w in (x, rc(x)))
+            gone = [x for x in weak if end(x)]
+            if not gone:
+                break
+            for x in gone:
+                del left[x]
+        df = spark.createDataFrame([(x, *c) for x, c in rows.items()], "kmer string, cov_fwd long, cov_rev long")
+        assert {(r.kmer, r.cov_fwd, r.cov_rev) for r in G.erode(df, e, both).collect()} == {(x, *c) for x, c in left.items()} and len(left) < len(rows)
+    assert not calls and G.erode(df.where("kmer = 'none'"), 2).count() == 0
